@@ -73,7 +73,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        large = materialize(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
         small = (
@@ -84,7 +83,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         after = materialize(small)
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_materialized(large)
         drop_materialized(now)
         now = after
         if tuple(state) == seen:

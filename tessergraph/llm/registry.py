@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessergraph.llm import chat, quality, sharding
+from tessergraph.llm import bpe, chat, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": bpe.query,
+        "op5_best_fit_packing": packing.query,
+        "op7_simhash_near_dedup": simhash.query,
         "op8_sharding": sharding.query,
         "op9_chat_format": chat.query,
         "op10_quality_rules": quality.query,
