@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessergraph.llm import bpe, chat, packing, quality, sharding, simhash
+from tessergraph.llm import bpe, chat, embeddings, packing, quality, sharding, simhash, substrings
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": embeddings.query,
         "op2_byte_bpe": bpe.query,
         "op5_best_fit_packing": packing.query,
+        "op6_substring_dedup": substrings.query,
         "op7_simhash_near_dedup": simhash.query,
         "op8_sharding": sharding.query,
         "op9_chat_format": chat.query,
@@ -17,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_chat_format": chat.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
+    return {
+        "op1_embedding_near_dedup": embeddings.ORACLE_SQL,
+        "op6_substring_dedup": substrings.ORACLE_SQL,
+        "op9_chat_format": chat.ORACLE_SQL,
+        "op10_quality_rules": quality.ORACLE_SQL,
+    }
