@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessergraph.llm import bpe, chat, embeddings, packing, quality, sharding, simhash, substrings
+from tessergraph.llm import bpe, chat, embeddings, html, licenses, packing, quality, sharding, simhash, substrings
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": embeddings.query,
         "op2_byte_bpe": bpe.query,
+        "op3_license_scan": licenses.query,
+        "op4_html_extraction": html.query,
         "op5_best_fit_packing": packing.query,
         "op6_substring_dedup": substrings.query,
         "op7_simhash_near_dedup": simhash.query,

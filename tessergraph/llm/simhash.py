@@ -255,3 +255,75 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Near copies for dropping: five words, Jaccard similarity of shingle sets at least this.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: Candidates share a key within COPY_LIMIT bits on one of COPY_PARTS parts (complete to 11 bits) and differ in up to
+#: COPY_RADIUS bits in all; similar pairs differ in about 10 bits at 0.8 and in fewer above it.
+COPY_PARTS, COPY_LIMIT, COPY_RADIUS = 4, 2, 14
+
+
+def candidate_pairs(nodes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """Pairs a < b of nodes (node, fp, shingles) that may be similar: near fingerprints, and sizes that allow it."""
+    sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
+    groups = group_bits(sample if len(sample) > 1 else np.array([0, -1], np.int64), COPY_PARTS)
+
+    def compare(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, fp, size, flips = (rows[c].to_numpy() for c in ("node", "fp", "shingles", "flips"))
+        a, b = _near(rows, starts, COPY_RADIUS, SMALL_BUCKET)
+        left, right = [a], [b]
+        sizes = np.diff(np.append(starts, len(rows)))
+        for s, n in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
+            for k in range(s, s + n, 512):
+                top = min(k + 512, s + n)
+                x, y = np.nonzero(_popcount(fp[k:top, None] ^ fp[None, s : s + n]) <= COPY_RADIUS)
+                x, y = x + k, y + s
+                left.append(x[x < y])
+                right.append(y[x < y])
+        a, b = np.concatenate(left), np.concatenate(right)
+        fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+        a, b = node[a[fit]], node[b[fit]]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+
+    return in_buckets(deal(nodes.select("node", "fp", "shingles"), [(g, COPY_LIMIT) for g in groups]), compare, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, s): the distinct shingles of each document, as 32-bit hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["doc_id"], "s": [np.unique(shingle_hashes(t, words).astype(np.uint32)).view(np.int32) for t in batch["text"]]})
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, "node long, s array<int>")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are similar enough, by exact comparison."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), words)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """One document of each group of near copies, the one of smallest doc_id, with the columns of docs.
+
+    First groups fingerprints within ``radius``; then the groups' first documents are linked where their shingle sets are
+    at least ``similarity`` alike. Rows of one doc_id count as one document. A null doc_id stays.
+    """
+    prints = materialize(fingerprints(docs, words))
+    near = materialize(near_components(prints.select("doc_id", "fp"), radius))
+    nodes = prints.join(near.where("doc_id = component").select("doc_id"), "doc_id", "left_semi")
+    nodes = materialize(nodes.groupBy(F.col("doc_id").alias("node")).agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")))
+    pairs = materialize(candidate_pairs(nodes, similarity))
+    linked = components(materialize(similar_pairs(docs, pairs, words, similarity)))
+    gone = near.where("doc_id <> component").select("doc_id").union(linked.where("node <> component").select("node")).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
