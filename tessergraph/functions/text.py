@@ -73,7 +73,7 @@ def normalize_ends(value: Column) -> Column:
 
 
 def clamp(value: Column, top: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(top), F.coalesce(value.cast("int"), F.lit(0))))
+    return F.greatest(F.lit(0), F.least(F.lit(top), F.coalesce(value.try_cast("int"), F.lit(0))))
 
 
 def json_object(content: Column) -> Column:

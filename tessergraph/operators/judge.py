@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.functions.text import clamp, json_object, string_or_list
+from tessergraph.functions.text import clamp, json_object, split_trimmed, string_or_list
 
 IDS = ["dataset", "query_id"]
 ASSESSMENT = ["api_fit", "ku_support", "keep", "missing_needs"]
@@ -88,7 +88,7 @@ def parse_labels(answers: DataFrame, content: str = "content") -> DataFrame:
     raw = F.from_json(body, "identified_relevance string, reasoning string")
     roles, clues = F.get_json_object(body, "$.roles"), F.get_json_object(body, "$.clues")
     bare = lambda x: F.when(F.trim(x).startswith("["), F.from_json(x, "array<string>"))
-    listed = F.coalesce(bare(roles), F.filter(F.transform(F.split(F.coalesce(roles, F.lit("")), r"\|"), F.trim), lambda x: x != ""))
+    listed = F.coalesce(bare(roles), split_trimmed(roles))
     return answers.withColumns(
         {
             "identified_relevance": F.coalesce(raw["identified_relevance"], F.lit("0")),

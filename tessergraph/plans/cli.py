@@ -165,6 +165,7 @@ def run_retrieve(spark: SparkSession, args) -> dict:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tessergraph").getOrCreate()
+    spark.conf.set("spark.sql.caseSensitive", "true")  # files may have columns that differ in case only
     runs = {"collect": run_collect, "label": run_label, "build": run_build, "retrieve": run_retrieve}
     print(json.dumps(runs[args.command](spark, args), ensure_ascii=False))
 
