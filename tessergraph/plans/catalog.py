@@ -298,6 +298,15 @@ def rrf_demonstrations(spark, d):
     return similarity.select_demonstrations(rows.where(labelled), rows.where(~labelled))
 
 
+@registered(with_views("v_lang", "v_overlap") + """SELECT o."left", o."right", a.canonical_api AS left_api, b.canonical_api AS right_api, length(a.ku) + length(b.ku) AS chars FROM v_overlap o
+    JOIN v_lang a ON a.pair_id = o."left" JOIN v_lang b ON b.pair_id = o."right" WHERE o."left" < o."right\"""")
+def candidate_rows(spark, d):
+    """All pairs that share a token, with what a relation judge is shown."""
+    rows = adapters.language_pairs(spark, d)
+    found = candidates.candidate_rows(rows, candidates.overlaps(rows).where("left < right").select("left", "right", "score"))
+    return found.select("left", "right", "left_api", "right_api", (F.length("left_ku") + F.length("right_ku")).cast("long").alias("chars"))
+
+
 @registered()
 def encoded_texts(spark, d):
     """Vectors of all documents from the offline encoder, and their lengths' squares."""
@@ -313,6 +322,23 @@ def neighbors(spark, d):
     return graph.neighbors(graph.index_edges(_graph(spark, d)[1])).select("node_id", "dir", "neighbor", "relation")
 
 
+@registered(
+    with_views("v_neighbors", "v_nodes")
+    + "SELECT a.api, n.dir, n.neighbor, n.relation FROM v_nodes a JOIN v_neighbors n ON n.node_id = a.node_id WHERE a.kind = 'API' AND n.relation IN ('subtype_of', 'accepts', 'returns')"
+)
+def api_neighbors(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graph.api_neighbors(graph.index_nodes(nodes), graph.index_edges(edges)).select("api", "dir", "neighbor", "relation")
+
+
+@registered(
+    with_views("v_neighbors")
+    + "SELECT node_id, dir, neighbor, relation FROM v_neighbors WHERE relation IN ('task_related', 'complements', 'constrains', 'contrasts_with', 'same_ku')"
+)
+def ku_neighbors(spark, d):
+    return graph.ku_neighbors(graph.index_edges(_graph(spark, d)[1])).select("node_id", "dir", "neighbor", "relation")
+
+
 @registered(with_views("v_nodes") + "SELECT pair_id, node_id FROM v_nodes WHERE kind = 'KU'")
 def pair_nodes(spark, d):
     return graph.first_node(graph.index_nodes(_graph(spark, d)[0]), "KU", "pair_id")
@@ -411,6 +437,32 @@ def parse_judgement(spark, d):
     return rows.select("doc_id", "pair_id", "api_fit", "ku_support", "keep", F.array_join("missing_needs", ",").alias("missing_needs"))
 
 
+@registered(
+    """SELECT doc_id, CAST(doc_id % 2 AS VARCHAR) AS identified_relevance, CASE WHEN doc_id % 3 = 0 THEN 'has_example|has_guidance' ELSE lang || '|' || source END AS lamic_role,
+    CASE WHEN doc_id % 5 = 0 THEN source ELSE lang || ' | ' || source END AS lamic_evidence, 'since ' || doc_id AS lamic_reasoning FROM documents"""
+)
+def parse_label_answers(spark, d):
+    roles = F.when(F.col("doc_id") % 3 == 0, '"has_example| has_guidance"').otherwise(F.format_string('["%s","%s"]', "lang", "source"))
+    clues = F.when(F.col("doc_id") % 5 == 0, F.format_string('"%s"', "source")).otherwise(F.format_string('["%s","%s"]', "lang", "source"))
+    head = F.format_string('Well, {"identified_relevance":"%d","reasoning":"since %d","roles":', F.col("doc_id") % 2, "doc_id")
+    rows = adapters.table(spark, d, "documents").select("doc_id", F.concat(head, roles, F.lit(',"clues":'), clues, F.lit("}")).alias("content"))
+    return judge.parse_labels(rows).drop("content")
+
+
+@registered(
+    """SELECT 'docs:KU:' || lang || ':' || doc_id AS source, 'docs:KU:' || source || ':' || (doc_id + 1) AS target, CASE doc_id % 3 WHEN 0 THEN 'complements' ELSE 'constrains' END AS relation,
+    lang AS evidence, 'llm_quote_grounded' AS basis, lang AS evidence_source, source AS evidence_target FROM documents WHERE doc_id % 3 <> 2"""
+)
+def judged_relation_edges(spark, d):
+    name = F.when(F.col("doc_id") % 3 == 0, " Complements ").when(F.col("doc_id") % 3 == 1, "constrains").otherwise("same_ku")
+    answer = F.format_string('{"relations":[{"relation":"%s","evidence_source":"%s","evidence_target":"%s"}]}', name, F.col("lang"), F.col("source"))
+    rows = adapters.table(spark, d, "documents").select(
+        F.col("doc_id").alias("_ord"), answer.alias("content"), F.lit("docs").alias("left_dataset"), F.lit("docs").alias("right_dataset"), F.col("lang").alias("left_api"), F.col("source").alias("right_api"),
+        F.col("doc_id").cast("string").alias("left"), (F.col("doc_id") + 1).cast("string").alias("right"),
+    )
+    return build.judged_edges(judge.parse_relations(rows)).drop("_rank", "_ord")
+
+
 def _retrieved(spark, d):
     nodes, edges = _graph(spark, d)
     index = retrieve.make_index(adapters.pairs(spark, d), _scores(spark, d), nodes, edges)
