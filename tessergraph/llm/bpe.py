@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessergraph.llm.common import table
+from tessergraph.llm.common import bounded_batches, plain_id, restored, table
 
 FREE, JOIN, LETTERS, NUMBERS, OTHERS, TAKE1, TAKE2, SPACES = range(8)
 LETTER, NUMBER, OTHER, SHORT, LONG, INNER_SPACE, LAST_BLANK, LAST_SPACE = range(8)
@@ -252,13 +252,15 @@ def decode(ids: list[int], path: str) -> bytes:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, offsets array<int>, counts array<int>): offsets of the slices and ids in each."""
 
+    bounded_batches(docs)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = list(encode(batch["text"].fillna("").tolist(), path))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [r[0] for r in rows], "offsets": [r[1] for r in rows], "counts": [r[2] for r in rows]})
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInPandas(run, "doc_id long, ids array<int>, offsets array<int>, counts array<int>")
+    picked = docs.select(plain_id(docs[id_col]).alias("doc_id"), docs[text_col].alias("text"))
+    return restored(picked.mapInPandas(run, "doc_id long, ids array<int>, offsets array<int>, counts array<int>"))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,6 +269,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A null text is empty and has no tokens. Repeated rows give repeated rows. No other column is read.
     """
 
+    bounded_batches(docs)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary(path)
         named: dict[int, str] = {i: str(i) for i in known.bytes_of}
@@ -278,8 +282,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             counts, ids_hash, text_hash = zip(*rows) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(counts, np.int64), "ids_sha256": ids_hash, "decoded_sha256": text_hash})
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    picked = docs.select(plain_id(docs[id_col]).alias("doc_id"), docs[text_col].alias("text"))
+    return restored(picked.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

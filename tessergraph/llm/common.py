@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -38,6 +40,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, before more of them are written."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_tessergraph_path", None)
@@ -47,6 +55,37 @@ def drop_materialized(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Bytes of an Arrow batch of texts; several copies of a batch are in memory at once, in the JVM and in Python.
+TEXT_BATCH = 4 << 20
+#: Rows of ids or host names that may be broadcast; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Keeps the session's Arrow batches small, whatever the length of the texts."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    plain = re.fullmatch(r"(\d+)b?", conf.get(name) or "")
+    if not plain or not 0 < int(plain[1]) <= TEXT_BATCH:
+        conf.set(name, str(TEXT_BATCH))
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A table of keys, broadcast if it has few enough rows. It is counted first, so it should be cheap to read."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+#: Stands for a null id in Python, where a null would turn a whole batch of ids into floating point.
+NO_ID = -(2**63)
+
+
+def plain_id(column: Column) -> Column:
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
+def restored(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) != NO_ID, F.col(column)))
+
+
 def split_words(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

@@ -100,12 +100,12 @@ def compare_blocks(pdf: pd.DataFrame, limit: float = LIMIT) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT, margin: float = MARGIN, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector; links are cosines of at least ``limit``, in doubles.
 
-    Null, zero or non-finite vectors, those with null components, and those of another length than most have no links.
+    Null, zero or non-finite vectors, those with null components or a null id, and those of another length than most have no links.
     Repeated vectors and rows are linked like any others. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    bad = F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
+    bad = F.col("vec_id").isNull() | F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("good", ~F.coalesce(bad, F.lit(True)))
     sizes = rows.where("good").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = sizes["n"] if sizes else 0

@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessergraph.llm.common import table
+from tessergraph.llm.common import bounded_batches, plain_id, restored, table
 
 #: Share of a template's words that must align, and the longest aligned part as a multiple of the template.
 MIN_COVERAGE, MAX_STRETCH = 0.8, 1.5
@@ -176,8 +176,9 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start_word", "end_word"])
             yield out.astype({"doc_id": batch["doc_id"].dtype, "coverage": "float64", "start_word": "Int64", "end_word": "Int64"})
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInPandas(run, "doc_id long, license string, coverage double, start_word long, end_word long")
+    bounded_batches(docs)
+    picked = docs.select(plain_id(docs[id_col]).alias("doc_id"), docs[text_col].alias("text"))
+    return restored(picked.mapInPandas(run, "doc_id long, license string, coverage double, start_word long, end_word long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

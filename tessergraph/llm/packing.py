@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import materialize, table
+from tessergraph.llm.common import bounded_batches, materialize, plain_id, restored, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -27,7 +27,7 @@ END_ID = 2
 TRIPLES = 4
 SWEEPS = 60
 #: Pieces of one length are ranked in so many parts, so that a frequent length is no hot key.
-SALTS = 64
+SALTS = 32
 
 
 @lru_cache(2)
@@ -50,6 +50,8 @@ def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenises whole texts (null: empty) and cuts them: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
+    bounded_batches(docs)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(path)
         for batch in batches:
@@ -64,8 +66,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
             yield out.astype({"doc_id": batch["doc_id"].dtype})
 
-    picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return picked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    picked = docs.select(plain_id(docs["doc_id"]).alias("doc_id"), docs["text"].alias("text"))
+    return restored(picked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
 
 
 def fit_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

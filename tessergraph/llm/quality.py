@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import SPACE_CLASS, WORD_CLASS, materialize, split_words, table
+from tessergraph.llm.common import SPACE_CLASS, WORD_CLASS, materialize, sized, split_words, table
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -62,10 +62,13 @@ def _positions(df: DataFrame) -> DataFrame:
 
 
 def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text has none of any."""
+    """One struct column ``row`` with all of docs, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    A null text has none of any.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = list(docs.columns)
-    df = docs.withColumn("__text", text).withColumn("words", split_words(F.col("__text")))
+    df = docs.select(F.struct(*docs.columns).alias("row"), text.alias("__text"))
+    df = df.withColumn("words", split_words(F.col("__text")))
     df = _positions(df.withColumn("packed", repeat_words(F.col("words"))))
     covered = F.aggregate(
         F.transform("at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - x, F.lit(WINDOW)))),
@@ -75,7 +78,7 @@ def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(WORD_CLASS))
     n = F.size("words").cast("long")
     df = df.select(
-        *[F.col(c) for c in kept],
+        "row",
         n.alias("n_words"),
         F.length(F.regexp_replace("__text", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -113,7 +116,7 @@ def judge(docs: DataFrame, host_col: str = "source") -> DataFrame:
     Repeated rows are judged like any others; a null host has no verdict. An empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", F.col(host_col).alias("source"))
-    judged = materialize(rule_columns(rows).drop("text"))
+    judged = materialize(rule_columns(rows).withColumns({"doc_id": F.col("row.doc_id"), "source": F.col("row.source")}).drop("row"))
     hosts = host_verdicts(judged).select("host", "rate", "host_rejected").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = judged.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(hosts, (salted["source"] == hosts["host"]) & (salted["salt"] == hosts["salt"]), "left")
@@ -131,9 +134,9 @@ def judge(docs: DataFrame, host_col: str = "source") -> DataFrame:
 
 def keep_good(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """The documents that the rules and their hosts' verdicts keep, with the columns of docs."""
-    judged = materialize(rule_columns(docs).select(*docs.columns, "base_failed"))
-    rejected = host_verdicts(judged, host_col).where("host_rejected").select(F.col("host").alias(host_col))
-    return judged.where(~F.col("base_failed")).select(*docs.columns).join(rejected, host_col, "left_anti").select(*docs.columns)
+    judged = materialize(rule_columns(docs).select("row", F.col(f"row.{host_col}").alias("host"), "base_failed"))
+    rejected = materialize(host_verdicts(judged, "host").where("host_rejected").select("host"))
+    return judged.where(~F.col("base_failed")).join(sized(rejected), "host", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
