@@ -13,17 +13,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from html import escape, unescape
-from math import exp, log, log1p
+from html import unescape
+from math import exp, log1p
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessergraph.llm.common import table
+from tessergraph.llm.common import bounded_batches, plain_id, restored, table
 
 #: Labelled pages the model is trained on.
-TRAIN_PAGES = 400
+TRAIN_PAGES = 600
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -287,7 +287,7 @@ def labelled_page(draw: random.Random) -> str:
     inside = [f"<h1>\1{words(1, 12)}</h1>"] if draw.random() < 0.9 else []
     inside += [content() for _ in range(draw.choice([1, 2, 4, 8, 16, 30]))]
     for kind in ("ad", "share", "form", "talk", "side", "note"):
-        if draw.random() < 0.15:
+        if draw.random() < 0.3:
             inside.insert(draw.randint(min(1, len(inside)), len(inside)), other(kind))
     body = "".join(inside)
     shape = draw.random()
@@ -367,8 +367,9 @@ def extract_pages(pages: DataFrame, model: Model | None = None, html_col: str =
             texts = [extract(h, own) for h in batch["html"].tolist()]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
-    picked = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", pages[html_col].alias("html"))
-    return picked.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    bounded_batches(pages)
+    picked = pages.select(plain_id(pages["page_id"]).alias("page_id"), "url", pages[html_col].alias("html"))
+    return restored(picked.mapInPandas(run, "page_id long, url string, text string, n_chars long"), "page_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
