@@ -10,7 +10,6 @@ rows as a stream, so a frequent passage is never held in memory.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,13 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import materialize, table
+from tessergraph.llm.common import bounded_batches, materialize, plain_id, restored, table
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 SIDE = PERIOD - 1
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
+ROW = "h long, c long, k long, p int, done boolean"
+#: Rows that are looked at together before they are dealt.
+MERGED_ROWS = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,15 +130,36 @@ def _deal_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def combined(frame: pd.DataFrame) -> pd.DataFrame:
+    """Adds ``done``: rows of a batch that repeat an earlier row's (h, c). Those are settled, and dealt evenly.
+
+    Of a passage that many documents share, a batch then sends one row by its hash, however often it holds it.
+    """
+    h, c, k, p = (frame[x].to_numpy() for x in "hckp")
+    order = np.lexsort((p, k, c, h))
+    h, c, k, p = h[order], c[order], k[order], p[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+    done = again & ((k != k[head]) | (p != p[head]))  # a repeated row of the first itself is not settled
+    spread = _mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64)).view(np.int64)
+    return pd.DataFrame({"h": np.where(done, spread, h), "c": c, "k": k, "p": p, "done": done})
+
+
 def repeated_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows sorted by (h, c, k, p): (k, p, whole), whole where an earlier anchor has equal surroundings.
 
-    Anchors that only repeat with other surroundings come out with whole = 0, once for each surroundings. Across batches
+    Anchors that only repeat with other surroundings come out with whole = 0, once for each surroundings. Rows that are done
+    come out whole, and count for no other row. Across batches
     it carries the last row's hashes, the first row of its (h, c), and whether its h was seen with more than one c.
     """
     last = None  # h, c, k and p of the first row of the last (h, c); emitted: whether its h is known to have several c
     emitted = False
     for batch in batches:
+        done = batch["done"].to_numpy(bool)
+        if done.any():
+            yield batch.loc[done, ["k", "p"]].assign(whole=True)
+            batch = batch[~done]
         n = len(batch)
         if not n:
             continue
@@ -203,7 +226,7 @@ def _deal_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _merged(frames: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+def _merged(frames: Iterator[pd.DataFrame], rows: int = MERGED_ROWS) -> Iterator[pd.DataFrame]:
     held, n = [], 0
     for frame in frames:
         held.append(frame)
@@ -236,30 +259,22 @@ def covered(n: int, whole, starts) -> np.ndarray:
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(k, text, keep..., whole, starts): each text with the anchors and windows that repeat an earlier one."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    texts = docs.select(key.alias("k"), F.col(text_col).alias("text"), *keep)
-    dealt = texts.select("k", "text").mapInPandas(lambda x: _merged(_deal_anchors(x)), "h long, c long, k long, p int")
+    bounded_batches(docs)
+    texts = docs.select(plain_id(F.col(id_col)).alias("k"), F.col(text_col).alias("text"), *keep)
+    dealt = texts.select("k", "text").mapInPandas(lambda x: map(combined, _merged(_deal_anchors(x))), ROW)
     found = dealt.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInPandas(repeated_anchors, "k long, p int, whole boolean")
     marks = materialize(
         found.groupBy("k").agg(
             F.collect_set(F.when(~F.col("whole"), F.col("p"))).alias("part"), F.collect_set(F.when(F.col("whole"), F.col("p"))).alias("whole")
         )
     )
-    del dealt, found
-    release(docs)
     joined = texts.join(marks, "k", "left")
-    windows = joined.where(F.size("part") > 0).select("k", "text", "part").mapInPandas(lambda x: _merged(_deal_windows(x)), "h long, c long, k long, p int")
+    windows = joined.where(F.size("part") > 0).select("k", "text", "part").mapInPandas(lambda x: map(combined, _merged(_deal_windows(x))), ROW)
     later = windows.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInPandas(_repeated_windows, "k long, p int")
     starts = later.groupBy("k").agg(F.collect_set("p").alias("starts"))
     return joined.drop("part").join(starts, "k", "left")
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document.
 
@@ -281,9 +296,8 @@ def digests(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    # The id again, as it may be null; a column of that name would clash with nothing inside marked().
-    rows = marked(docs.select("doc_id", "text")).withColumn("doc_id", F.when(F.col("k") != -(2**63), F.col("k")))
-    return rows.select("doc_id", "text", "whole", "starts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = marked(docs.select("doc_id", "text")).withColumnRenamed("k", "doc_id")
+    return restored(rows.select("doc_id", "text", "whole", "starts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 def cut_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
