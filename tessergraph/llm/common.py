@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessergraph.sources.durable import drop_materialized, materialize
+
 #: The six white-space characters that separate words; every other character belongs to a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -19,42 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessergraph-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessergraph_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more, before more of them are written."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_tessergraph_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 #: Bytes of an Arrow batch of texts; several copies of a batch are in memory at once, in the JVM and in Python.
 TEXT_BATCH = 4 << 20
 #: Rows of ids or host names that may be broadcast; larger tables are joined by a shuffle.
