@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import components, materialize, table
+from tessergraph.llm.common import bounded_batches, components, materialize, plain_id, restored, sized, table
 
 BITS = 64
 SEED = 42
@@ -67,8 +67,9 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             hashes = [shingle_hashes(t, words) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(h) for h in hashes], np.int64), "shingles": np.array([len(h) for h in hashes], np.int64)})
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInPandas(run, "doc_id long, fp long, shingles long")
+    bounded_batches(docs)
+    picked = docs.select(plain_id(docs[id_col]).alias("doc_id"), docs[text_col].alias("text"))
+    return restored(picked.mapInPandas(run, "doc_id long, fp long, shingles long"))
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -130,14 +131,14 @@ def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]
     return [(g, t) for g, t in best[1] if t >= 0]
 
 
-def deal(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """A row for each node and key: key, flips (bits changed), limit (the part's threshold) and the node's columns."""
+def deal(nodes: DataFrame, parts: list[tuple[list[int], int]], column: str = "fp", first: int = 0) -> DataFrame:
+    """A row for each node and key of a fingerprint column: key, flips (bits changed), limit (the part's threshold) and the node's columns."""
     out = None
-    for k, (bits, threshold) in enumerate(parts):
+    for k, (bits, threshold) in enumerate(parts, first):
         flips = [(_signed(_mask(c)), size) for size in range((threshold + 1) // 2 + 1) for c in combinations(bits, size)]
         masks = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(s).alias("s")) for m, s in flips])
         one = nodes.withColumn("flip", F.explode(masks)).select(
-            F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(_mask(bits))).cast("long")).bitwiseXOR(F.col("flip.m"))).alias("key"),
+            F.xxhash64(F.lit(k), F.col(column).bitwiseAND(F.lit(_signed(_mask(bits))).cast("long")).bitwiseXOR(F.col("flip.m"))).alias("key"),
             F.col("flip.s").alias("flips"),
             F.lit(threshold).alias("limit"),
             *nodes.columns,
@@ -150,10 +151,44 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def in_buckets(rows: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Deals rows by key, sorts them, and gives compare() whole buckets of at least two rows, with their starts."""
+#: Links of a task that are held before they are reduced to those that still join the same nodes.
+MOST_LINKS = 500_000
+
+
+def forest(links: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join the same nodes: from each node to the smallest that it is joined with."""
+    nodes, ends = np.unique(links[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    head = np.arange(len(nodes))
+    while True:
+        before = head.copy()
+        np.minimum.at(head, a, before[b])
+        np.minimum.at(head, b, before[a])
+        head = head[head]
+        if (head == before).all():
+            break
+    other = head != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[other], "b": nodes[head[other]]})
+
+
+def in_buckets(rows: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Deals rows by key, sorts them by key and node, and gives compare() whole buckets of at least two rows, with their starts.
+
+    A task's links are reduced to a forest, so a group that fills many buckets gives a link for each member, not for each pair.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links, n = [], 0
+        for found in compared(batches):
+            links.append(found)
+            n += len(found)
+            if n > MOST_LINKS:
+                links = [forest(pd.concat(links))]
+                n = len(links[0])
+        if links:
+            yield forest(pd.concat(links))
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
             if held and len(batch) and batch["key"].iat[-1] == held[-1]["key"].iat[-1]:
@@ -177,13 +212,11 @@ def in_buckets(rows: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], It
             rows, sizes = rows[many].reset_index(drop=True), sizes[sizes > 1]
             yield from compare(rows, np.cumsum(sizes) - sizes)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "a long, b long")
 
 
-def _near(rows: pd.DataFrame, starts: np.ndarray, radius: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within radius in buckets of at most ``largest`` rows, by comparing each row with later ones."""
-    n = len(rows)
-    fp, flips, limit = (rows[c].to_numpy() for c in ("fp", "flips", "limit"))
+def _near(n: int, starts: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that are near in buckets of at most ``largest`` of n rows, by comparing each row with later ones."""
     sizes = np.diff(np.append(starts, n))
     ends = np.repeat(np.where(sizes <= largest, starts + sizes, 0), sizes)
     at, left, right = np.arange(n), [], []
@@ -191,7 +224,7 @@ def _near(rows: pd.DataFrame, starts: np.ndarray, radius: int, largest: int) ->
         at = at[at + lag < ends[at]]
         if not len(at):
             break
-        found = at[(_popcount(fp[at] ^ fp[at + lag]) <= radius) & (flips[at] + flips[at + lag] <= limit[at])]
+        found = at[near(at, at + lag)]
         left.append(found)
         right.append(found + lag)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -224,15 +257,15 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     parts = plan(sample, nodes.count(), radius)
 
     def compare(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        node = rows["node"].to_numpy()
-        a, b = _near(rows, starts, radius, SMALL_BUCKET)
+        node, fp, flips, limit = (rows[c].to_numpy() for c in ("node", "fp", "flips", "limit"))
+        near = lambda i, j: (_popcount(fp[i] ^ fp[j]) <= radius) & (flips[i] + flips[j] <= limit[i])
+        a, b = _near(len(rows), starts, near, SMALL_BUCKET)
         yield pd.DataFrame({"a": node[a], "b": node[b]}).query("a != b").drop_duplicates()
         sizes = np.diff(np.append(starts, len(rows)))
-        fp = rows["fp"].to_numpy()
         for s, n in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
             yield pd.DataFrame(_search(fp[s : s + n], node[s : s + n], radius), columns=["a", "b"], dtype=np.int64)
 
-    return in_buckets(deal(nodes.select("node", "fp"), parts), compare, "a long, b long")
+    return in_buckets(deal(nodes.select("node", "fp"), parts), compare)
 
 
 def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -259,34 +292,97 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: Near copies for dropping: five words, Jaccard similarity of shingle sets at least this.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: Candidates share a key within COPY_LIMIT bits on one of COPY_PARTS parts (complete to 11 bits) and differ in up to
-#: COPY_RADIUS bits in all; similar pairs differ in about 10 bits at 0.8 and in fewer above it.
-COPY_PARTS, COPY_LIMIT, COPY_RADIUS = 4, 2, 14
+#: Candidates have two fingerprints, of the hashes and of the hashes mixed anew. They agree within COPY_LIMIT bits on one of
+#: COPY_PARTS parts of either, and differ in up to COPY_RADIUS of all 128 bits. At a similarity of 0.8 about 19 bits differ,
+#: with a spread of 4, and 998 of 1,000 pairs agree so on a part; unlike pairs differ in 64 bits, with a spread of 6.
+COPY_PARTS, COPY_LIMIT, COPY_RADIUS = 4, 2, 34
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """Pairs a < b of nodes (node, fp, shingles) that may be similar: near fingerprints, and sizes that allow it."""
-    sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    groups = group_bits(sample if len(sample) > 1 else np.array([0, -1], np.int64), COPY_PARTS)
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    h = hashes * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def double_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, fp2, shingles): two fingerprints, and the number of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(fingerprint(h), fingerprint(_mixed(h)), len(h)) for h in (shingle_hashes(t, words) for t in batch["text"])]
+            columns = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": columns[0], "fp2": columns[1], "shingles": columns[2]})
+
+    bounded_batches(docs)
+    picked = docs.select(plain_id(docs["doc_id"]).alias("doc_id"), docs["text"].alias("text"))
+    return restored(picked.mapInPandas(run, "doc_id long, fp long, fp2 long, shingles long"))
+
+
+def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """(node, component) of nodes (node, fp, fp2, shingles) joined by near fingerprints whose sizes allow the similarity.
+
+    Any two such nodes that may be similar are in one clump. A bucket gives spanning links, so a clump of copies costs as
+    many rows as it has members; a pair is only looked at in buckets as far from both as their parts differ.
+    """
+    sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp", "fp2").toPandas()
+    found = None
+    for column in ("fp", "fp2"):  # one after the other: each deals many rows
+        held = sample[column].to_numpy(np.int64)
+        groups = group_bits(held if len(held) > 1 else np.array([0, -1], np.int64), COPY_PARTS)
+        edges = materialize(_near_in_buckets(nodes, column, groups, similarity))
+        found = edges if found is None else found.unionAll(edges)
+    return components(found)
+
+
+def _near_in_buckets(nodes: DataFrame, column: str, groups: list[list[int]], similarity: float) -> DataFrame:
+    """Links that join near nodes which agree on a part of one fingerprint column."""
+    dealt = None
+    for k, group in enumerate(groups):
+        # One number for the shingles, the part and the flipped bits keeps the many rows short.
+        about = (F.col("shingles") * 64 + k * 8 + F.col("flips")).alias("about")
+        own = deal(nodes.select("node", "fp", "fp2", "shingles"), [(group, COPY_LIMIT)], column, k).select("key", "node", "fp", "fp2", about)
+        dealt = own if dealt is None else dealt.unionAll(own)
+    mask = np.array([_signed(_mask(g)) for g in groups], np.int64)
 
     def compare(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        node, fp, size, flips = (rows[c].to_numpy() for c in ("node", "fp", "shingles", "flips"))
-        a, b = _near(rows, starts, COPY_RADIUS, SMALL_BUCKET)
-        left, right = [a], [b]
+        node, one, two, about = (rows[c].to_numpy() for c in ("node", "fp", "fp2", "about"))
+        size, flips = about >> 6, about & 7
+        own = (one if column == "fp" else two) & mask[about >> 3 & 7]
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            fit = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            return fit & (_popcount(one[i] ^ one[j]) + _popcount(two[i] ^ two[j]) <= COPY_RADIUS) & (_popcount(own[i] ^ own[j]) == flips[i] + flips[j])
+
+        a, b = _near(len(rows), starts, near, SMALL_BUCKET)
+        yield pd.DataFrame({"a": node[a], "b": node[b]}).query("a != b").drop_duplicates()
         sizes = np.diff(np.append(starts, len(rows)))
+        found: list[tuple[int, int]] = []
         for s, n in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
-            for k in range(s, s + n, 512):
-                top = min(k + 512, s + n)
-                x, y = np.nonzero(_popcount(fp[k:top, None] ^ fp[None, s : s + n]) <= COPY_RADIUS)
-                x, y = x + k, y + s
-                left.append(x[x < y])
-                right.append(y[x < y])
-        a, b = np.concatenate(left), np.concatenate(right)
-        fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-        a, b = node[a[fit]], node[b[fit]]
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+            found += _spanning(np.arange(s, s + n), near, node)
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
-    return in_buckets(deal(nodes.select("node", "fp", "shingles"), [(g, COPY_LIMIT) for g in groups]), compare, "a long, b long").distinct()
+    return in_buckets(dealt, compare)
+
+
+def _spanning(at: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], node: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of a large bucket's rows, by breadth-first search among those near another one."""
+    if len(at) <= DENSE_BUCKET:
+        tied = np.concatenate([(near(at[k : k + 256, None], at[None]) & (at[k : k + 256, None] != at[None])).any(1) for k in range(0, len(at), 256)])
+        at = at[tied]
+    out: list[tuple[int, int]] = []
+    while len(at):
+        front, at = at[:1], at[1:]
+        root = node[front[0]]
+        while len(front) and len(at):
+            hit = np.zeros(len(at), bool)
+            for k in range(0, len(front), 64):
+                open_ = np.flatnonzero(~hit)
+                if not len(open_):
+                    break
+                hit[open_] = near(at[open_][:, None], front[None, k : k + 64]).any(1)
+            front, at = at[hit], at[~hit]
+            out += [(root, x) for x in node[front] if x != root]
+    return out
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -296,16 +392,53 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch["doc_id"], "s": [np.unique(shingle_hashes(t, words).astype(np.uint32)).view(np.int32) for t in batch["text"]]})
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, "node long, s array<int>")
+    return docs.select(plain_id(docs["doc_id"]).alias("doc_id"), "text").mapInPandas(run, "node long, s array<int>")
+
+
+#: Members of a block of a clump; a larger clump is compared block by block.
+CLUMP_BLOCK = 512
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are similar enough, by exact comparison."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), words)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+def similar_links(docs: DataFrame, clumped: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all members of a clump whose shingle sets are similar, by exact comparison of the sets."""
+    sizes = clumped.groupBy("component").agg(F.ceil(F.count("*") / CLUMP_BLOCK).cast("int").alias("blocks"))
+    ids = clumped.select(F.col("node").alias("doc_id"))
+    sets = shingle_sets(docs.join(sized(ids), "doc_id", "left_semi"), words).dropDuplicates(["node"])
+    placed = clumped.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = pairs.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    rows = keyed.join(sets, "node")
+
+    def compare(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, int]] = []
+        for s, n in zip(starts.tolist(), np.diff(np.append(starts, len(rows))).tolist()):
+            found += _similar(rows["node"].to_numpy()[s : s + n], rows["s"].tolist()[s : s + n], similarity)
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+
+    return in_buckets(rows, compare)
+
+
+def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of similar sets: each node found is compared with all that are not found yet."""
+    sizes = np.array([len(s) for s in sets])
+    joined = np.concatenate(sets)
+    order = np.argsort(joined, kind="stable")  # an inverted index: shingles in order, with whose they are
+    joined, owner = joined[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    left, out = np.arange(len(node)), []
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        root = node[front[0]]
+        while front and len(left):
+            at = front.pop()
+            low, high = np.searchsorted(joined, sets[at], "left"), np.searchsorted(joined, sets[at], "right")
+            spans = high - low
+            found = np.repeat(low - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
+            common = np.bincount(owner[found], minlength=len(sets))[left]
+            like = common >= similarity * (sizes[left] + sizes[at] - common)
+            front += left[like].tolist()
+            out += [(root, x) for x in node[left[like]] if x != root]
+            left = left[~like]
+    return out
 
 
 def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
@@ -314,14 +447,14 @@ def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RAD
     First groups fingerprints within ``radius``; then the groups' first documents are linked where their shingle sets are
     at least ``similarity`` alike. Rows of one doc_id count as one document. A null doc_id stays.
     """
-    prints = materialize(fingerprints(docs, words))
+    prints = materialize(double_fingerprints(docs, words))
     near = materialize(near_components(prints.select("doc_id", "fp"), radius))
     nodes = prints.join(near.where("doc_id = component").select("doc_id"), "doc_id", "left_semi")
-    nodes = materialize(nodes.groupBy(F.col("doc_id").alias("node")).agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")))
-    pairs = materialize(candidate_pairs(nodes, similarity))
-    linked = components(materialize(similar_pairs(docs, pairs, words, similarity)))
+    nodes = materialize(nodes.groupBy(F.col("doc_id").alias("node")).agg(*[F.min(c).alias(c) for c in ("fp", "fp2", "shingles")]))
+    clumped = materialize(clumps(nodes, similarity))
+    linked = components(similar_links(docs, clumped, words, similarity))
     gone = near.where("doc_id <> component").select("doc_id").union(linked.where("node <> component").select("node")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(sized(materialize(gone)), "doc_id", "left_anti").select(*docs.columns)
     again = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
