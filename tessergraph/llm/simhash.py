@@ -305,20 +305,21 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def double_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, fp2, shingles): two fingerprints, and the number of shingles."""
+    """(doc_id, fp, fp2, shingles, digest): two fingerprints, the number of shingles, and a hash of the set of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(fingerprint(h), fingerprint(_mixed(h)), len(h)) for h in (shingle_hashes(t, words) for t in batch["text"])]
-            columns = np.array(rows, np.int64).reshape(-1, 3).T
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": columns[0], "fp2": columns[1], "shingles": columns[2]})
+            found = [shingle_hashes(t, words) for t in batch["text"]]
+            rows = [(fingerprint(h), fingerprint(_mixed(h)), len(h), _signed(xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED))) for h in found]
+            columns = np.array(rows, np.int64).reshape(-1, 4).T
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": columns[0], "fp2": columns[1], "shingles": columns[2], "digest": columns[3]})
 
     bounded_batches(docs)
     picked = docs.select(plain_id(docs["doc_id"]).alias("doc_id"), docs["text"].alias("text"))
-    return restored(picked.mapInPandas(run, "doc_id long, fp long, fp2 long, shingles long"))
+    return restored(picked.mapInPandas(run, "doc_id long, fp long, fp2 long, shingles long, digest long"))
 
 
-def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(node, component) of nodes (node, fp, fp2, shingles) joined by near fingerprints whose sizes allow the similarity.
 
     Any two such nodes that may be similar are in one clump. A bucket gives spanning links, so a clump of copies costs as
@@ -329,13 +330,13 @@ def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
     for column in ("fp", "fp2"):  # one after the other: each deals many rows
         held = sample[column].to_numpy(np.int64)
         groups = group_bits(held if len(held) > 1 else np.array([0, -1], np.int64), COPY_PARTS)
-        edges = materialize(_near_in_buckets(nodes, column, groups, similarity))
+        edges = materialize(_near_in_buckets(nodes, column, groups, similarity, radius))
         found = edges if found is None else found.unionAll(edges)
     return components(found)
 
 
-def _near_in_buckets(nodes: DataFrame, column: str, groups: list[list[int]], similarity: float) -> DataFrame:
-    """Links that join near nodes which agree on a part of one fingerprint column."""
+def _near_in_buckets(nodes: DataFrame, column: str, groups: list[list[int]], similarity: float, radius: int) -> DataFrame:
+    """Links that join near nodes which agree on a part of one fingerprint column; those within radius on ``fp`` are near too."""
     dealt = None
     for k, group in enumerate(groups):
         # One number for the shingles, the part and the flipped bits keeps the many rows short.
@@ -351,7 +352,9 @@ def _near_in_buckets(nodes: DataFrame, column: str, groups: list[list[int]], sim
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             fit = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-            return fit & (_popcount(one[i] ^ one[j]) + _popcount(two[i] ^ two[j]) <= COPY_RADIUS) & (_popcount(own[i] ^ own[j]) == flips[i] + flips[j])
+            apart = _popcount(one[i] ^ one[j])
+            close = (apart <= radius) | (apart + _popcount(two[i] ^ two[j]) <= COPY_RADIUS)
+            return fit & close & (_popcount(own[i] ^ own[j]) == flips[i] + flips[j])
 
         a, b = _near(len(rows), starts, near, SMALL_BUCKET)
         yield pd.DataFrame({"a": node[a], "b": node[b]}).query("a != b").drop_duplicates()
@@ -444,16 +447,19 @@ def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> lis
 def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """One document of each group of near copies, the one of smallest doc_id, with the columns of docs.
 
-    First groups fingerprints within ``radius``; then the groups' first documents are linked where their shingle sets are
-    at least ``similarity`` alike. Rows of one doc_id count as one document. A null doc_id stays.
+    Documents of equal shingle sets are one node; nodes are linked where their sets are at least ``similarity`` alike.
+    Fingerprints, those within ``radius`` among them, only say which nodes are compared. Rows of one doc_id count as one
+    document. A null doc_id stays.
     """
     prints = materialize(double_fingerprints(docs, words))
-    near = materialize(near_components(prints.select("doc_id", "fp"), radius))
-    nodes = prints.join(near.where("doc_id = component").select("doc_id"), "doc_id", "left_semi")
-    nodes = materialize(nodes.groupBy(F.col("doc_id").alias("node")).agg(*[F.min(c).alias(c) for c in ("fp", "fp2", "shingles")]))
-    clumped = materialize(clumps(nodes, similarity))
+    columns = ("fp", "fp2", "shingles", "digest")
+    own = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("own")).select("doc_id", "own.*")
+    own = materialize(own)
+    nodes = materialize(own.groupBy(*columns).agg(F.min("doc_id").alias("node")))
+    clumped = materialize(clumps(nodes.drop("digest"), similarity, radius))
     linked = components(similar_links(docs, clumped, words, similarity))
-    gone = near.where("doc_id <> component").select("doc_id").union(linked.where("node <> component").select("node")).distinct()
+    copies = own.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    gone = copies.union(linked.where("node <> component").select("node")).distinct()
     kept = docs.join(sized(materialize(gone)), "doc_id", "left_anti").select(*docs.columns)
     again = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
