@@ -398,13 +398,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(plain_id(docs["doc_id"]).alias("doc_id"), "text").mapInPandas(run, "node long, s array<int>")
 
 
-#: Members of a block of a clump; a larger clump is compared block by block.
-CLUMP_BLOCK = 512
+#: Shingles of a block of a clump; a clump of more is compared block by block.
+BLOCK_SHINGLES = 2_000_000
 
 
 def similar_links(docs: DataFrame, clumped: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join all members of a clump whose shingle sets are similar, by exact comparison of the sets."""
-    sizes = clumped.groupBy("component").agg(F.ceil(F.count("*") / CLUMP_BLOCK).cast("int").alias("blocks"))
+    """Links (a, b) that join all members of a clump (node, component, shingles) whose shingle sets are similar, by exact comparison."""
+    sizes = clumped.groupBy("component").agg(F.ceil((F.sum("shingles") + 1) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     ids = clumped.select(F.col("node").alias("doc_id"))
     sets = shingle_sets(docs.join(sized(ids), "doc_id", "left_semi"), words).dropDuplicates(["node"])
     placed = clumped.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -422,28 +422,58 @@ def similar_links(docs: DataFrame, clumped: DataFrame, words: int, similarity: f
 
 
 def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Spanning links of similar sets: each node found is compared with all that are not found yet."""
+    """Spanning links of similar sets: each node found is compared with all that are not found yet.
+
+    With the shingles of every set in one order, the rarest first, two similar sets share one of the first
+    n - ceil(similarity * n) + 1 shingles of each, so only sets that do are compared.
+    """
     sizes = np.array([len(s) for s in sets])
-    joined = np.concatenate(sets)
-    order = np.argsort(joined, kind="stable")  # an inverted index: shingles in order, with whose they are
-    joined, owner = joined[order], np.repeat(np.arange(len(sets)), sizes)[order]
-    left, out = np.arange(len(node)), []
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        root = node[front[0]]
-        while front and len(left):
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranks = rank[which]
+    ranks = ranks[np.lexsort((ranks, owner))]
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(owner)) - np.repeat(ends - sizes, sizes) < first[owner]
+    mine, open_, out = np.zeros(len(counts), bool), np.ones(len(sets), bool), []
+    indexed, n_open = 0, len(sets)
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        n_open -= 1
+        front, root = [start], node[start]
+        while front and n_open:
             at = front.pop()
-            low, high = np.searchsorted(joined, sets[at], "left"), np.searchsorted(joined, sets[at], "right")
-            spans = high - low
-            found = np.repeat(low - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-            common = np.bincount(owner[found], minlength=len(sets))[left]
-            like = common >= similarity * (sizes[left] + sizes[at] - common)
-            front += left[like].tolist()
-            out += [(root, x) for x in node[left[like]] if x != root]
-            left = left[~like]
+            if not indexed or 2 * n_open < indexed:  # an inverted index of the early shingles of sets not found yet
+                picked = np.flatnonzero(early & open_[owner])
+                picked = picked[np.argsort(ranks[picked], kind="stable")]
+                keys, holder, indexed = ranks[picked], owner[picked], n_open
+            own = ranks[ends[at] - sizes[at] : ends[at]]
+            low, high = np.searchsorted(keys, own[: first[at]], "left"), np.searchsorted(keys, own[: first[at]], "right")
+            like = np.zeros(len(sets), bool)
+            like[holder[_ranges(low, high - low)]] = True
+            like = np.flatnonzero(like & open_)
+            if not len(like):
+                continue
+            mine[own] = True
+            common = np.add.reduceat(mine[ranks[_ranges(ends[like] - sizes[like], sizes[like])]].astype(np.int64), np.cumsum(sizes[like]) - sizes[like])
+            mine[own] = False
+            like = like[common >= similarity * (sizes[like] + sizes[at] - common)]
+            open_[like] = False
+            n_open -= len(like)
+            front += like.tolist()
+            out += [(root, x) for x in node[like] if x != root]
     return out
 
 
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each range, n of them, one range after the other."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """One document of each group of near copies, the one of smallest doc_id, with the columns of docs.
 
@@ -456,7 +486,7 @@ def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RAD
     own = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("own")).select("doc_id", "own.*")
     own = materialize(own)
     nodes = materialize(own.groupBy(*columns).agg(F.min("doc_id").alias("node")))
-    clumped = materialize(clumps(nodes.drop("digest"), similarity, radius))
+    clumped = materialize(clumps(nodes.drop("digest"), similarity, radius).join(nodes.select("node", "shingles"), "node"))
     linked = components(similar_links(docs, clumped, words, similarity))
     copies = own.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
     gone = copies.union(linked.where("node <> component").select("node")).distinct()

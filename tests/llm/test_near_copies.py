@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessergraph.llm import simhash
 from tests.llm.helpers import prose
 from tests.llm.test_pipeline import shingles
@@ -28,3 +30,26 @@ def test_fingerprints_alone_drop_nothing(spark):
     base = prose(draw, 300)
     got, want = kept_and_wanted(spark, [changed(draw, base, 5) for _ in range(400)])
     assert got == want and len(want) > 300
+
+
+def test_links_of_every_distinct_text(spark):
+    """Chains of drifting copies: members far from the first one have links of their own."""
+    draw = random.Random(6)
+    texts = []
+    for _ in range(12):
+        text = prose(draw, 400)
+        for _ in range(12):
+            texts.append(text)
+            text = changed(draw, text, 6)
+    draw.shuffle(texts)
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want and len(want) == 12
+
+
+def test_similar_sets_in_one_clump():
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 60, 40)).astype(np.int32) for _ in range(150)] + [np.empty(0, np.int32)]
+    for limit in (0.5, 0.6, 0.8):
+        links = [(a, b) for b in range(150) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= limit * len(np.union1d(sets[a], sets[b]))]
+        found = simhash._similar(np.arange(151), sets, limit)
+        assert brute_components(found, range(151)) == brute_components(links, range(151))
