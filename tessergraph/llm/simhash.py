@@ -305,12 +305,12 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def double_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, fp2, shingles, digest): two fingerprints, the number of shingles, and a hash of the set of shingles."""
+    """(doc_id, fp, fp2, shingles, digest): of the set of distinct shingles two fingerprints, the number and a hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_hashes(t, words) for t in batch["text"]]
-            rows = [(fingerprint(h), fingerprint(_mixed(h)), len(h), _signed(xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED))) for h in found]
+            found = [np.unique(shingle_hashes(t, words)) for t in batch["text"]]
+            rows = [(fingerprint(h), fingerprint(_mixed(h)), len(h), _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))) for h in found]
             columns = np.array(rows, np.int64).reshape(-1, 4).T
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": columns[0], "fp2": columns[1], "shingles": columns[2], "digest": columns[3]})
 

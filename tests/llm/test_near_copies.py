@@ -46,6 +46,20 @@ def test_links_of_every_distinct_text(spark):
     assert got == want and len(want) == 12
 
 
+def test_sizes_are_of_distinct_shingles(spark):
+    draw = random.Random(7)
+    texts = []
+    for _ in range(6):
+        base = prose(draw, 1000)
+        w = base.split()
+        texts += [base, " ".join([*w, *prose(draw, 150).split(), *w[200:300]])]
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want == list(range(0, 12, 2))
+    text = prose(draw, 200)
+    got, want = kept_and_wanted(spark, [text, f"{text} {text}"])
+    assert got == want == [0]
+
+
 def test_similar_sets_in_one_clump():
     draw = np.random.default_rng(8)
     sets = [np.unique(draw.integers(0, 60, 40)).astype(np.int32) for _ in range(150)] + [np.empty(0, np.int32)]
