@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import bounded_batches, materialize, plain_id, restored, table
+from tessergraph.llm.common import bounded_batches, materialize, plain_id, restored, sized, table
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 SIDE = PERIOD - 1
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
-ROW = "h long, c long, k long, p int, done boolean"
+ROW = "h long, c long, k long, t long, p int, done boolean"
 #: Rows that are looked at together before they are dealt.
 MERGED_ROWS = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -125,45 +125,53 @@ def _deal_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "h": np.concatenate([f[1] for f in found]).view(np.int64),
                     "c": np.concatenate([f[2] for f in found]).view(np.int64),
                     "k": np.repeat(own["k"].to_numpy(), [len(f[0]) for f in found]),
+                    "t": np.repeat(own["t"].to_numpy(), [len(f[0]) for f in found]),
                     "p": np.concatenate([f[0] for f in found]),
                 }
             )
 
 
+def _texts_of(frame: pd.DataFrame) -> np.ndarray:
+    """Which of the texts of its id a row is of; frames without ``t`` have one text an id."""
+    return frame["t"].to_numpy() if "t" in frame else np.zeros(len(frame), np.int64)
+
+
 def combined(frame: pd.DataFrame) -> pd.DataFrame:
     """Adds ``done``: rows of a batch that repeat an earlier row's (h, c). Those are settled, and dealt evenly.
 
     Of a passage that many documents share, a batch then sends one row by its hash, however often it holds it.
     """
-    h, c, k, p = (frame[x].to_numpy() for x in "hckp")
-    order = np.lexsort((p, k, c, h))
-    h, c, k, p = h[order], c[order], k[order], p[order]
+    h, c, k, t, p = *(frame[x].to_numpy() for x in "hck"), _texts_of(frame), frame["p"].to_numpy()
+    order = np.lexsort((p, t, k, c, h))
+    h, c, k, t, p = h[order], c[order], k[order], t[order], p[order]
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
     head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-    done = again & ((k != k[head]) | (p != p[head]))  # a repeated row of the first itself is not settled
-    spread = _mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64)).view(np.int64)
-    return pd.DataFrame({"h": np.where(done, spread, h), "c": c, "k": k, "p": p, "done": done})
+    done = again & ((k != k[head]) | (t != t[head]) | (p != p[head]))  # a repeated row of the first itself is not settled
+    spread = _mix((k ^ t).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64)).view(np.int64)
+    out = pd.DataFrame({"h": np.where(done, spread, h), "c": c, "k": k, "t": t, "p": p, "done": done})
+    return out if "t" in frame else out.drop(columns="t")
 
 
 def repeated_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows sorted by (h, c, k, p): (k, p, whole), whole where an earlier anchor has equal surroundings.
+    """From rows sorted by (h, c, k, t, p): (k, p, whole, t), whole where an earlier anchor has equal surroundings.
 
     Anchors that only repeat with other surroundings come out with whole = 0, once for each surroundings. Rows that are done
     come out whole, and count for no other row. Across batches
     it carries the last row's hashes, the first row of its (h, c), and whether its h was seen with more than one c.
     """
-    last = None  # h, c, k and p of the first row of the last (h, c); emitted: whether its h is known to have several c
+    last = None  # h, c, k, p and t of the first row of the last (h, c); emitted: whether its h is known to have several c
     emitted = False
+    named = lambda batch, out: out if "t" in batch else out.drop(columns="t")
     for batch in batches:
         done = batch["done"].to_numpy(bool)
         if done.any():
-            yield batch.loc[done, ["k", "p"]].assign(whole=True)
+            yield named(batch, batch.loc[done, ["k", "p"]].assign(whole=True, t=_texts_of(batch)[done]))
             batch = batch[~done]
         n = len(batch)
         if not n:
             continue
-        h, c, k, p = (batch[x].to_numpy() for x in "hckp")
+        h, c, k, t, p = *(batch[x].to_numpy() for x in "hck"), _texts_of(batch), batch["p"].to_numpy()
         new_h, new_c = np.ones(n, bool), np.ones(n, bool)
         new_h[1:] = h[1:] != h[:-1]
         new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
@@ -174,33 +182,37 @@ def repeated_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = np.cumsum(new_c) - 1  # the row that began this row's (h, c); -1: one of an earlier batch
         first_k = np.where(head < 0, last[2] if last else 0, k[heads[np.maximum(head, 0)]] if len(heads) else 0)
         first_p = np.where(head < 0, last[3] if last else 0, p[heads[np.maximum(head, 0)]] if len(heads) else 0)
-        whole = ~new_c & ((k != first_k) | (p != first_p))
+        first_t = np.where(head < 0, last[4] if last else 0, t[heads[np.maximum(head, 0)]] if len(heads) else 0)
+        whole = ~new_c & ((k != first_k) | (t != first_t) | (p != first_p))
         # Heads that share h with another head.
         group = np.cumsum(new_h)[heads] if len(heads) else np.empty(0, np.int64)
         several = np.zeros(len(heads), bool)
         several[1:] |= group[1:] == group[:-1]
         several[:-1] |= group[1:] == group[:-1]
-        out_k, out_p = [], []
+        out_k, out_p, out_t = [], [], []
         if last is not None and len(heads) and group[0] == 0:  # the last batch's h goes on with another c
             several[group == 0] = True
             if not emitted:
                 out_k.append(last[2])
                 out_p.append(last[3])
+                out_t.append(last[4])
                 emitted = True
         picked = heads[several]
-        yield pd.DataFrame(
+        out = pd.DataFrame(
             {
                 "k": np.concatenate([k[whole], np.array(out_k, np.int64), k[picked]]),
                 "p": np.concatenate([p[whole], np.array(out_p, np.int32), p[picked]]).astype(np.int32),
                 "whole": np.concatenate([np.ones(whole.sum(), bool), np.zeros(len(out_k) + len(picked), bool)]),
+                "t": np.concatenate([t[whole], np.array(out_t, np.int64), t[picked]]),
             }
         )
+        yield named(batch, out)
         if len(heads):
             at = heads[-1]
             if group[-1] > 0:
                 emitted = False
             emitted = emitted or bool(several[-1])
-            last = (h[at], c[at], k[at], p[at])
+            last = (h[at], c[at], k[at], p[at], t[at])
 
 
 def _windows_about(at: np.ndarray, n: int) -> np.ndarray:
@@ -212,7 +224,7 @@ def _windows_about(at: np.ndarray, n: int) -> np.ndarray:
 def _deal_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     one, two = _constants(1)[2], _constants(2)[2]
     for batch in batches:
-        for k, text, at in zip(batch["k"].tolist(), batch["text"].tolist(), batch["part"].tolist()):
+        for k, t, text, at in zip(batch["k"].tolist(), batch["t"].tolist(), batch["text"].tolist(), batch["part"].tolist()):
             raw = _bytes(text)
             first, second = word_sums(raw, 1), word_sums(raw, 2)
             starts = _windows_about(at, len(first) - 1)
@@ -221,6 +233,7 @@ def _deal_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "h": _range(first, starts, starts + WINDOW, one).view(np.int64),
                     "c": _range(second, starts, starts + WINDOW, two).view(np.int64),
                     "k": np.full(len(starts), k, np.int64),
+                    "t": np.full(len(starts), t, np.int64),
                     "p": starts.astype(np.int32),
                 }
             )
@@ -240,7 +253,7 @@ def _merged(frames: Iterator[pd.DataFrame], rows: int = MERGED_ROWS) -> Iterator
 
 def _repeated_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for out in repeated_anchors(batches):
-        yield out.loc[out["whole"], ["k", "p"]]
+        yield out.loc[out["whole"], ["k", "t", "p"]]
 
 
 def covered(n: int, whole, starts) -> np.ndarray:
@@ -258,29 +271,36 @@ def covered(n: int, whole, starts) -> np.ndarray:
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(k, text, keep..., whole, starts): each text with the anchors and windows that repeat an earlier one."""
+    """(k, text, keep..., whole, starts): each text with the anchors and windows that repeat an earlier one.
+
+    A text is known by its id and, where rows of one id have different texts, by its hash ``t`` (0 elsewhere).
+    """
     bounded_batches(docs)
     texts = docs.select(plain_id(F.col(id_col)).alias("k"), F.col(text_col).alias("text"), *keep)
-    dealt = texts.select("k", "text").mapInPandas(lambda x: map(combined, _merged(_deal_anchors(x))), ROW)
-    found = dealt.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInPandas(repeated_anchors, "k long, p int, whole boolean")
+    hashed = texts.select("k", F.xxhash64("text").alias("t"))
+    shared = sized(materialize(hashed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("k", F.lit(True).alias("__shared"))))
+    texts = texts.join(shared, "k", "left").withColumn("t", F.when(F.col("__shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("__shared")
+    dealt = texts.select("k", "t", "text").mapInPandas(lambda x: map(combined, _merged(_deal_anchors(x))), ROW)
+    found = dealt.repartition("h").sortWithinPartitions("h", "c", "k", "t", "p").mapInPandas(repeated_anchors, "k long, p int, whole boolean, t long")
     marks = materialize(
-        found.groupBy("k").agg(
+        found.groupBy("k", "t").agg(
             F.collect_set(F.when(~F.col("whole"), F.col("p"))).alias("part"), F.collect_set(F.when(F.col("whole"), F.col("p"))).alias("whole")
         )
     )
-    joined = texts.join(marks, "k", "left")
-    windows = joined.where(F.size("part") > 0).select("k", "text", "part").mapInPandas(lambda x: map(combined, _merged(_deal_windows(x))), ROW)
-    later = windows.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInPandas(_repeated_windows, "k long, p int")
-    starts = later.groupBy("k").agg(F.collect_set("p").alias("starts"))
-    return joined.drop("part").join(starts, "k", "left")
+    joined = texts.join(marks, ["k", "t"], "left")
+    windows = joined.where(F.size("part") > 0).select("k", "t", "text", "part").mapInPandas(lambda x: map(combined, _merged(_deal_windows(x))), ROW)
+    later = windows.repartition("h").sortWithinPartitions("h", "c", "k", "t", "p").mapInPandas(_repeated_windows, "k long, t long, p int")
+    starts = later.groupBy("k", "t").agg(F.collect_set("p").alias("starts"))
+    return joined.drop("part").join(starts, ["k", "t"], "left").drop("t")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document.
 
     A word is removed if a window of 20 words that covers it also starts earlier: in a document of smaller id, or earlier
-    in the same one. A null text has no words; a null id comes before all others. Rows with one id are one document's:
-    repeated rows give repeated results and do not count as each other's copies. Other columns are not read.
+    in the same one. A null text has no words; a null id comes before all others. Different texts of one id (or of none)
+    are documents of their own, in the order of their hashes; repeated rows give repeated results and do not count as each
+    other's copies. Other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
