@@ -1,10 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one representative a group.
 
 Every vector has a home cell, the centre of largest cosine. It is a guest in each other cell whose boundary with its home
-is within ``margin`` of it: a vector y within the cosine limit of x differs from it by a step of length sin(angle), and y
-can only live beyond a boundary that this step crosses. The step's part across one boundary is at most sin(angle), 0.312
-for 0.95; for steps in no special direction of 64 dimensions its spread is 0.039, so the margin of 0.16 is four spreads.
-margin=0.3123 is proof against any direction, at many more guests. Each vector's links are counted in its home cell.
+is within ``margin`` of it. The distances of two linked vectors from the boundary between their homes add up to at most
+their own distance, sqrt(2 - 2 * limit), so with half of that as the margin at least one of them is a guest in the home of
+the other, whatever the vectors' directions. A link is counted for a home vector in its home cell, and there for its guest
+too if the home vector is no guest in the guest's home; so every link is counted once from each side.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tessergraph.llm.common import components, materialize, table
 
 LIMIT = 0.95
-MARGIN = 0.16
+#: Half the distance of two vectors at the limit, and a little for rounding.
+MARGIN = 0.5 * (2 - 2 * LIMIT) ** 0.5 + 1e-6
 #: Vectors that the centres are fitted on; any centres give right links, good ones give even cells.
 FIT_SAMPLE = 20_000
 PER_CELL, MOST_CELLS = 2_000, 1_024
@@ -78,14 +79,21 @@ def compare_blocks(pdf: pd.DataFrame, limit: float = LIMIT) -> pd.DataFrame:
         return pd.DataFrame({"kind": [], "a": [], "b": []}, dtype=np.int64)
     ids, others = left["node"].to_numpy(), right["node"].to_numpy()
     x, y = (_unit(np.stack(part["v"].to_numpy()).astype(np.float64)) for part in (left, right))
-    times = right["copies"].to_numpy()
-    counts, tied = [], []
+    times, own_times = right["copies"].to_numpy(), left["copies"].to_numpy()
+    # Bits of the cells that each home row lies in; a guest whose home is not among them is counted here, too.
+    lies_in = np.unpackbits(np.frombuffer(b"".join(left["cells"]), np.uint8).reshape(len(left), -1), axis=1)
+    homes = right["home_cell"].to_numpy()
+    counts, tied, back = [], [], np.zeros(len(y), np.int64)
     for k in range(0, len(x), 512):
         hit = (x[k : k + 512] @ y.T >= limit) & (ids[k : k + 512, None] != others[None])
         counts.append(hit @ times)
         tied.append(hit)
+        at, to = np.nonzero(hit)
+        unseen = lies_in[k + at, homes[to]] == 0
+        np.add.at(back, to[unseen], own_times[k + at[unseen]])
     edges = _spanning(np.concatenate(tied), ids, others)
     counts = np.concatenate(counts)
+    ids, counts = np.concatenate([ids, others]), np.concatenate([counts, back])
     some = counts > 0
     ends = np.array(edges, np.int64).reshape(-1, 2)
     return pd.DataFrame(
@@ -97,13 +105,15 @@ def compare_blocks(pdf: pd.DataFrame, limit: float = LIMIT) -> pd.DataFrame:
     )
 
 
-def near_duplicates(vectors: DataFrame, limit: float = LIMIT, margin: float = MARGIN, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, limit: float = LIMIT, margin: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector; links are cosines of at least ``limit``, in doubles.
 
+    All links are found, unless a ``margin`` below half the distance of two vectors at the limit is asked for.
     Null, zero or non-finite vectors, those with null components or a null id, and those of another length than most have no links.
     Repeated vectors and rows are linked like any others. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
+    margin = 0.5 * (2 - 2 * limit) ** 0.5 + 1e-6 if margin is None else margin
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
     bad = F.col("vec_id").isNull() | F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("good", ~F.coalesce(bad, F.lit(True)))
@@ -124,9 +134,11 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, margin: float = MA
                 home, within = _cells_of(_unit(np.stack(batch["v"].to_numpy()).astype(np.float64)), centres, margin)
                 at, cell = np.nonzero(within)
                 out = batch.iloc[at].reset_index(drop=True)
-                yield out.assign(cell=cell.astype(np.int32), home=home[at] == cell)
+                bits = [x.tobytes() for x in np.packbits(within, axis=1)]
+                cells = [bits[a] if h else b"" for a, h in zip(at.tolist(), (home[at] == cell).tolist())]
+                yield out.assign(cell=cell.astype(np.int32), home=home[at] == cell, home_cell=home[at].astype(np.int32), cells=cells)
 
-    dealt = nodes.mapInPandas(assign, "v array<float>, node long, copies long, cell int, home boolean")
+    dealt = nodes.mapInPandas(assign, "v array<float>, node long, copies long, cell int, home boolean, home_cell int, cells binary")
     dealt = materialize(dealt.withColumn("u", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(1 << 20)).cast("int")))
     held = dealt.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("n")).collect()  # a row a cell
     blocks = spark.createDataFrame(
@@ -135,10 +147,10 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, margin: float = MA
     dealt = dealt.join(F.broadcast(blocks), "cell")
     part = lambda n: F.floor(F.col("u") * F.col(n) / (1 << 20)).cast("int")
     left = dealt.where("home").select(
-        "cell", part("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"), "node", "copies", "v"
+        "cell", part("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"), "node", "copies", "home_cell", "cells", "v"
     )
     right = dealt.select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), part("right_blocks").alias("j"), F.lit(1).alias("side"), "node", "copies", "v"
+        "cell", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), part("right_blocks").alias("j"), F.lit(1).alias("side"), "node", "copies", "home_cell", F.lit(b"").alias("cells"), "v"
     )
     found = materialize(
         left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(lambda pdf: compare_blocks(pdf, limit), "kind long, a long, b long")
