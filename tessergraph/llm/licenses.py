@@ -3,16 +3,18 @@
 Texts and templates are lower-case words. Where a text has runs of a template's word pairs, that part of it is aligned with
 the template: words that both hold exactly once are anchors, the longest increasing run of them is kept, and the gaps
 between anchors are aligned in the same way, down to common ends. The share of the template's words that align is its
-coverage.
+coverage. Templates are whole licenses (the files of ``license_texts`` and TEMPLATES), and their openings, disclaimers,
+headers and notices. No list of words decides which texts are looked at.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ from tessergraph.llm.common import bounded_batches, plain_id, restored, table
 
 #: Share of a template's words that must align, and the longest aligned part as a multiple of the template.
 MIN_COVERAGE, MAX_STRETCH = 0.8, 1.5
-#: A text is scanned if it holds one of these, in any case; every template does.
-TRIGGERS = ("licen", "copyright", "permission is hereby", "redistribution", "public domain", "warrant")
+#: Parts for longer templates are first counted word by word, as an alignment takes long.
+LONG = 400
 _WORD = re.compile(r"[^\W_]+")
 
 # Wording of public licenses and of their customary notices.
@@ -61,9 +63,74 @@ TEMPLATES = {
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
         use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
         commercial or non-commercial, and by any means.""",
+    "All-rights-reserved": "All rights reserved.",
+    "MIT-disclaimer": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+        COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-disclaimer": """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+        OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    "BSD-no-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+    "BSD-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+        IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+        PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense-disclaimer": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+        TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+        OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense-dedication": """In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+        copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+        to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity
+        of all present and future rights to this software under copyright law.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+        source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+        may not be removed or altered from any source distribution.""",
+    "GPL-2-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+        of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+        version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+}
+#: Whole texts put together of the parts above.
+WHOLE = {
+    "MIT-text": ("MIT", "MIT-disclaimer"),
+    "ISC-text": ("ISC", "ISC-disclaimer"),
+    "BSD-2-text": ("BSD", "BSD-disclaimer"),
+    "BSD-3-text": ("BSD", "BSD-no-endorsement", "BSD-disclaimer"),
+    "Unlicense-text": ("Unlicense", "Unlicense-dedication", "Unlicense-disclaimer"),
 }
 
 
+@lru_cache(1)
+def all_templates() -> dict[str, str]:
+    """TEMPLATES, the whole texts of WHOLE, and the files of license_texts as NAME-text."""
+    files = {f"{f.stem}-text": f.read_text("utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    return TEMPLATES | {name: " ".join(TEMPLATES[p] for p in parts) for name, parts in WHOLE.items()} | files
+
+
 def words_of(text: str) -> list[str]:
     return [m.group().lower() for m in _WORD.finditer(text)]
 
@@ -115,31 +182,32 @@ def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
 
 
 @lru_cache(1)
-def _index() -> tuple[dict[str, list[str]], dict[tuple[str, str], list[str]]]:
-    templates = {name: words_of(text) for name, text in TEMPLATES.items()}
+def _index() -> tuple[dict[str, list[str]], dict[tuple[str, str], list[str]], dict[str, Counter]]:
+    templates = {name: words_of(text) for name, text in all_templates().items()}
     pairs: dict[tuple[str, str], list[str]] = defaultdict(list)
     for name, words in templates.items():
         for pair in sorted(set(zip(words, words[1:]))):
             pairs[pair].append(name)
-    return templates, pairs
+    return templates, pairs, {name: Counter(words) for name, words in templates.items()}
 
 
 def scan(text: str | None) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, word after the last) of parts of a text that match, in order, without overlaps."""
     if not text:
         return []
-    folded = text.lower()
-    if not any(t in folded for t in TRIGGERS):
-        return []
-    templates, pairs = _index()
+    templates, pairs, counts = _index()
     words = words_of(text)
     hits: dict[str, list[int]] = defaultdict(list)
     for at, pair in enumerate(zip(words, words[1:])):
         for name in pairs.get(pair, ()):
             hits[name].append(at)
     found = []
+    held = Counter(words) if hits else Counter()
     for name, at in hits.items():
         template = templates[name]
+        # No part can align with more words than the text has of the template's.
+        if sum(min(n, held[w]) for w, n in counts[name].items()) < MIN_COVERAGE * len(template):
+            continue
         reach = int(len(template) * MAX_STRETCH) + 1
         done = 0
         for k, first in enumerate(at):
@@ -149,6 +217,8 @@ def scan(text: str | None) -> list[tuple[str, float, int, int]]:
             low, high = max(done, first - len(template) // 4), min(len(words), first + reach)
             if bisect_left(at, high) - k < max(1, len(template) // 8):
                 continue
+            if len(template) > LONG and (Counter(words[low:high]) & counts[name]).total() < MIN_COVERAGE * len(template):
+                continue
             matched = align(words[low:high], template)
             if len(matched) >= MIN_COVERAGE * len(template):
                 start, end = low + matched[0][0], low + matched[-1][0] + 1
