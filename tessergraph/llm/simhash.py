@@ -171,6 +171,17 @@ def forest(links: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[other], "b": nodes[head[other]]})
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links that join the same nodes, reduced in as few tasks as MOST_LINKS allows. They are counted first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield forest(pd.concat(held))
+
+    return links.coalesce(links.count() // MOST_LINKS + 1).mapInPandas(run, "a long, b long")
+
+
 def in_buckets(rows: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
     """Deals rows by key, sorts them by key and node, and gives compare() whole buckets of at least two rows, with their starts.
 
@@ -332,7 +343,7 @@ def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY, radius: int =
         groups = group_bits(held if len(held) > 1 else np.array([0, -1], np.int64), COPY_PARTS)
         edges = materialize(_near_in_buckets(nodes, column, groups, similarity, radius))
         found = edges if found is None else found.unionAll(edges)
-    return components(found)
+    return components(thinned(found))
 
 
 def _near_in_buckets(nodes: DataFrame, column: str, groups: list[list[int]], similarity: float, radius: int) -> DataFrame:

@@ -67,3 +67,11 @@ def test_similar_sets_in_one_clump():
         links = [(a, b) for b in range(150) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= limit * len(np.union1d(sets[a], sets[b]))]
         found = simhash._similar(np.arange(151), sets, limit)
         assert brute_components(found, range(151)) == brute_components(links, range(151))
+
+
+def test_thinned_links_join_the_same_nodes(spark):
+    draw = random.Random(9)
+    links = [(draw.randint(0, 500), draw.randint(0, 500)) for _ in range(300)] + [(1000 + draw.randint(0, 30), 1000 + draw.randint(0, 30)) for _ in range(3000)]
+    found = [tuple(r) for r in simhash.thinned(spark.createDataFrame(links, "a long, b long").repartition(20)).collect()]
+    nodes = {x for p in links for x in p}
+    assert brute_components(found, nodes) == brute_components(links, nodes) and len(found) < len(nodes)
