@@ -17,10 +17,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import bounded_batches, components, materialize, plain_id, restored, sized, table
+from tessergraph.llm.common import bounded_batches, components, drop_materialized, materialize, plain_id, restored, sized, table
 
 BITS = 64
 SEED = 42
@@ -33,6 +33,10 @@ ROW_COST, COMPARE_COST = 1.5, 0.004
 SMALL_BUCKET = 24
 #: Larger ones up to this many rows are first thinned to the nodes with a link.
 DENSE_BUCKET = 16_384
+#: Rows of a stripe: keys about a part's value that more nodes have are compared stripe against stripe, in tasks of their own.
+STRIPE = 16_384
+#: Pairs that are compared at a time, which bounds the memory of a comparison.
+CELLS = 500_000
 #: Bits set; numpy would count those of a negative number's absolute value.
 _popcount = lambda x: np.bitwise_count(x.view(np.uint64))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -151,6 +155,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def block_pairs(rows: DataFrame, left: Column, left_blocks: Column, right_blocks: Column) -> DataFrame:
+    """A row for each pair (i, j) of a left and a right stripe that a node takes part in; side 0: left, 1: right, 2: both.
+
+    Every node lies in one right stripe and those that ``left`` holds for in one left stripe too, by a hash of ``node``.
+    """
+    own_i = F.pmod(F.xxhash64("node", F.lit("left")), left_blocks).cast("int")
+    own_j = F.pmod(F.xxhash64("node", F.lit("right")), right_blocks).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    as_left = F.transform(upto(right_blocks), lambda j: place(own_i, j, F.when(j == own_j, 2).otherwise(0)))
+    as_right = F.transform(F.filter(upto(left_blocks), lambda i: ~(left & (i == own_i))), lambda i: place(i, own_j, F.lit(1)))
+    return rows.withColumn("__at", F.explode(F.when(left, F.concat(as_left, as_right)).otherwise(as_right))).select(*rows.columns, "__at.i", "__at.j", "__at.side")
+
+
+def spread_hot(dealt: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], int]], column: str = "fp", first: int = 0) -> DataFrame:
+    """Adds ``side`` to what deal() gave, and splits the keys about values of a part that over STRIPE nodes share.
+
+    Nodes may have a group ``c``. Nodes of one group need not be compared, so those of a hot key's largest group are only
+    right rows: a hot group costs a row for each member. Values are counted before anything is dealt out by key.
+    """
+    values = None
+    for k, (bits, _) in enumerate(parts, first):
+        own = nodes.select(F.lit(k).alias("k"), F.col(column).bitwiseAND(F.lit(_signed(_mask(bits))).cast("long")).alias("own"), (F.col("c") if "c" in nodes.columns else F.col("node")).alias("c"))
+        values = own if values is None else values.unionAll(own)
+    hot = values.groupBy("k", "own").count().where(F.col("count") > STRIPE).select("k", "own")
+    hot = materialize(values.join(sized(materialize(hot)), ["k", "own"]).groupBy("k", "own", "c").count())
+    if hot.isEmpty():
+        return dealt.withColumn("side", F.lit(2))
+    hot = hot.groupBy("k", "own").agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.max_by("c", "count").alias("main"))
+    about = None
+    for k, (bits, threshold) in enumerate(parts, first):
+        flips = [_signed(_mask(c)) for size in range((threshold + 1) // 2 + 1) for c in combinations(bits, size)]
+        own = hot.where(F.col("k") == k).withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in flips])))
+        own = own.select(F.xxhash64(F.lit(k), F.col("own").bitwiseXOR(F.col("m"))).alias("hot_key"), "n", "largest", "main")
+        about = own if about is None else about.unionAll(own)
+    size = lambda x: F.greatest(F.ceil(x / STRIPE), F.lit(1)).cast("int")
+    keys = about.groupBy("hot_key").agg(F.max_by("main", "largest").alias("main"), size(F.sum("n") - F.max("largest")).alias("left_blocks"), size(F.sum("n")).alias("right_blocks"))
+    joined = dealt.join(sized(materialize(keys)), F.col("key") == F.col("hot_key"), "left")
+    left = ~F.col("c").eqNullSafe(F.col("main")) if "c" in dealt.columns else F.lit(True)
+    one = F.col("hot_key").isNull()  # a key that is not hot is one pair of stripes, and each row of it on both sides
+    places = block_pairs(joined, left | one, F.coalesce("left_blocks", F.lit(1)), F.coalesce("right_blocks", F.lit(1)))
+    key = F.when(one, F.col("key")).otherwise(F.xxhash64("key", "i", "j"))
+    return places.select(key.alias("key"), *[c for c in dealt.columns if c != "key"], "side")
+
+
 #: Links of a task that are held before they are reduced to those that still join the same nodes.
 MOST_LINKS = 500_000
 
@@ -244,7 +293,8 @@ def _near(n: int, starts: np.ndarray, near: Callable[[np.ndarray, np.ndarray], n
 def _search(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning links of a large bucket: each node found is linked to the one whose search found it."""
     if len(fp) <= DENSE_BUCKET:  # only nodes with a link take part
-        tied = np.concatenate([(_popcount(fp[k : k + 256, None] ^ fp[None]) <= radius).sum(1) > 1 for k in range(0, len(fp), 256)])
+        rows = max(1, CELLS // len(fp))
+        tied = np.concatenate([(_popcount(fp[k : k + rows, None] ^ fp[None]) <= radius).sum(1) > 1 for k in range(0, len(fp), rows)])
         fp, node = fp[tied], node[tied]
     left, out = np.arange(len(fp)), []
     while len(left):
@@ -252,16 +302,28 @@ def _search(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, in
         root = node[front[0]]
         while len(front) and len(left):
             hit = np.zeros(len(left), bool)
-            for k in range(0, len(front), 64):
+            k = 0
+            while k < len(front):
                 open_ = np.flatnonzero(~hit)
                 if not len(open_):
                     break
-                hit[open_] = (_popcount(fp[left[open_]][:, None] ^ fp[front[k : k + 64]][None]) <= radius).any(1)
+                step = max(1, CELLS // len(open_))
+                hit[open_] = (_popcount(fp[left[open_]][:, None] ^ fp[front[k : k + step]][None]) <= radius).any(1)
+                k += step
             front, left = left[hit], left[~hit]
             out += [(root, node[i]) for i in front]
     return out
 
 
+def _across(left: np.ndarray, right: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of left and right rows that are near, CELLS comparisons at a time."""
+    step = max(1, CELLS // max(1, len(right)))
+    for k in range(0, len(left), step):
+        i, j = np.nonzero(near(left[k : k + step, None], right[None]))
+        if len(i):
+            yield left[k + i], right[j]
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that join all nodes (node, fp) within radius of each other, directly or over others linked so."""
     sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
@@ -272,11 +334,17 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         near = lambda i, j: (_popcount(fp[i] ^ fp[j]) <= radius) & (flips[i] + flips[j] <= limit[i])
         a, b = _near(len(rows), starts, near, SMALL_BUCKET)
         yield pd.DataFrame({"a": node[a], "b": node[b]}).query("a != b").drop_duplicates()
-        sizes = np.diff(np.append(starts, len(rows)))
+        sizes, side = np.diff(np.append(starts, len(rows))), rows["side"].to_numpy()
         for s, n in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
-            yield pd.DataFrame(_search(fp[s : s + n], node[s : s + n], radius), columns=["a", "b"], dtype=np.int64)
+            if (side[s : s + n] == 2).all():
+                yield pd.DataFrame(_search(fp[s : s + n], node[s : s + n], radius), columns=["a", "b"], dtype=np.int64)
+                continue
+            at = np.arange(s, s + n)
+            for a, b in _across(at[side[at] != 1], at[side[at] != 0], near):
+                yield pd.DataFrame({"a": node[a], "b": node[b]}).query("a != b")
 
-    return in_buckets(deal(nodes.select("node", "fp"), parts), compare)
+    own = nodes.select("node", "fp")
+    return in_buckets(spread_hot(deal(own, parts), own, parts), compare)
 
 
 def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -330,113 +398,142 @@ def double_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return restored(picked.mapInPandas(run, "doc_id long, fp long, fp2 long, shingles long, digest long"))
 
 
+def _may_be_copies(one: Column, two: Column, apart: Column, similarity: float, radius: int) -> Column:
+    """Whether two nodes are compared: sizes that allow the similarity, and near fingerprints."""
+    fp = F.bit_count(one["fp"].bitwiseXOR(two["fp"]))
+    near = (fp <= radius) | (fp + F.bit_count(one["fp2"].bitwiseXOR(two["fp2"])) <= COPY_RADIUS)
+    return apart & (F.least(one["shingles"], two["shingles"]) >= similarity * F.greatest(one["shingles"], two["shingles"])) & near
+
+
 def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(node, component) of nodes (node, fp, fp2, shingles) joined by near fingerprints whose sizes allow the similarity.
 
-    Any two such nodes that may be similar are in one clump. A bucket gives spanning links, so a clump of copies costs as
-    many rows as it has members; a pair is only looked at in buckets as far from both as their parts differ.
+    Any two such nodes that may be similar are in one clump. First each node is linked to the smallest one that agrees with
+    it on a part, if they are near: that joins a hot group at a row for each member and part. Then all nodes are dealt out
+    by flipped parts and only those of different groups are compared, so the members of a group make no more links.
     """
     sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp", "fp2").toPandas()
-    found = None
-    for column in ("fp", "fp2"):  # one after the other: each deals many rows
+    parts = {}
+    for column in ("fp", "fp2"):
         held = sample[column].to_numpy(np.int64)
-        groups = group_bits(held if len(held) > 1 else np.array([0, -1], np.int64), COPY_PARTS)
-        edges = materialize(_near_in_buckets(nodes, column, groups, similarity, radius))
-        found = edges if found is None else found.unionAll(edges)
-    return components(thinned(found))
+        parts[column] = [(g, COPY_LIMIT) for g in group_bits(held if len(held) > 1 else np.array([0, -1], np.int64), COPY_PARTS)]
+    about = F.struct("node", "fp", "fp2", "shingles")
+    exact = None
+    for column, own in parts.items():
+        rows = deal(nodes.select("node", "fp", "fp2", "shingles"), [(g, -1) for g, _ in own], column, COPY_PARTS * (column == "fp2"))
+        exact = rows if exact is None else exact.unionAll(rows)
+    exact = exact.select("key", about.alias("one"))
+    first = exact.groupBy("key").agg(F.min("one").alias("two"), F.count("*").alias("n")).where("n > 1").select("key", "two")
+    near = _may_be_copies(F.col("one"), F.col("two"), F.col("one.node") != F.col("two.node"), similarity, radius)
+    stars = materialize(exact.join(first, "key").where(near).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct())
+    groups = components(thinned(stars))
+    grouped = materialize(nodes.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")))
+    found = []
+    for column, own in parts.items():  # one after the other: each deals many rows
+        found.append(materialize(_near_in_buckets(grouped, column, own, similarity, radius)))
+    joined = components(thinned(found[0].unionAll(found[1]))).select(F.col("node").alias("c"), F.col("component").alias("over"))
+    out = grouped.join(joined, "c", "left").where("component IS NOT NULL OR over IS NOT NULL")
+    out = materialize(out.select("node", F.coalesce("over", "c").alias("component")))
+    for df in (stars, grouped, *found):
+        drop_materialized(df)
+    return out
 
 
-def _near_in_buckets(nodes: DataFrame, column: str, groups: list[list[int]], similarity: float, radius: int) -> DataFrame:
-    """Links that join near nodes which agree on a part of one fingerprint column; those within radius on ``fp`` are near too."""
+def _near_in_buckets(nodes: DataFrame, column: str, parts: list[tuple[list[int], int]], similarity: float, radius: int) -> DataFrame:
+    """Links of the groups ``c`` of near nodes which agree on a part of one fingerprint column, but for the flipped bits."""
     dealt = None
-    for k, group in enumerate(groups):
+    for k, part in enumerate(parts):
         # One number for the shingles, the part and the flipped bits keeps the many rows short.
-        about = (F.col("shingles") * 64 + k * 8 + F.col("flips")).alias("about")
-        own = deal(nodes.select("node", "fp", "fp2", "shingles"), [(group, COPY_LIMIT)], column, k).select("key", "node", "fp", "fp2", about)
+        number = (F.col("shingles") * 64 + k * 8 + F.col("flips")).alias("about")
+        own = deal(nodes.select("node", "c", "fp", "fp2", "shingles"), [part], column, k).select("key", "node", "c", "fp", "fp2", number)
         dealt = own if dealt is None else dealt.unionAll(own)
-    mask = np.array([_signed(_mask(g)) for g in groups], np.int64)
+    mask = np.array([_signed(_mask(g)) for g, _ in parts], np.int64)
 
     def compare(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        node, one, two, about = (rows[c].to_numpy() for c in ("node", "fp", "fp2", "about"))
+        c, one, two, about, side = (rows[x].to_numpy() for x in ("c", "fp", "fp2", "about", "side"))
         size, flips = about >> 6, about & 7
         own = (one if column == "fp" else two) & mask[about >> 3 & 7]
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            fit = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            fit = (c[i] != c[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
             apart = _popcount(one[i] ^ one[j])
             close = (apart <= radius) | (apart + _popcount(two[i] ^ two[j]) <= COPY_RADIUS)
             return fit & close & (_popcount(own[i] ^ own[j]) == flips[i] + flips[j])
 
         a, b = _near(len(rows), starts, near, SMALL_BUCKET)
-        yield pd.DataFrame({"a": node[a], "b": node[b]}).query("a != b").drop_duplicates()
+        yield pd.DataFrame({"a": c[a], "b": c[b]}).drop_duplicates()
         sizes = np.diff(np.append(starts, len(rows)))
-        found: list[tuple[int, int]] = []
         for s, n in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
-            found += _spanning(np.arange(s, s + n), near, node)
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+            at = np.arange(s, s + n)
+            names, groups, counts = np.unique(c[at], return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            left, right = at[side[at] != 1], at[side[at] != 0]
+            if len(left) == len(right) == n:  # a whole bucket: no need to begin at the rows of its largest group
+                left = at[groups != counts.argmax()]
+            for a, b in _across(left, right, near):
+                yield pd.DataFrame({"a": c[a], "b": c[b]}).drop_duplicates()
 
-    return in_buckets(dealt, compare)
+    return in_buckets(spread_hot(dealt, nodes, parts, column), compare)
 
 
-def _spanning(at: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], node: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of a large bucket's rows, by breadth-first search among those near another one."""
-    if len(at) <= DENSE_BUCKET:
-        tied = np.concatenate([(near(at[k : k + 256, None], at[None]) & (at[k : k + 256, None] != at[None])).any(1) for k in range(0, len(at), 256)])
-        at = at[tied]
-    out: list[tuple[int, int]] = []
-    while len(at):
-        front, at = at[:1], at[1:]
-        root = node[front[0]]
-        while len(front) and len(at):
-            hit = np.zeros(len(at), bool)
-            for k in range(0, len(front), 64):
-                open_ = np.flatnonzero(~hit)
-                if not len(open_):
-                    break
-                hit[open_] = near(at[open_][:, None], front[None, k : k + 64]).any(1)
-            front, at = at[hit], at[~hit]
-            out += [(root, x) for x in node[front] if x != root]
-    return out
+#: Shingles of a stripe of a clump; a clump of more is compared stripe against stripe.
+STRIPE_SHINGLES = 500_000
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, s): the distinct shingles of each document, as 32-bit hashes."""
+def member_sets(docs: DataFrame, clumped: DataFrame, words: int) -> DataFrame:
+    """(node, component, s): the distinct shingles, as sorted 64-bit hashes, of the documents that clumped names with their digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "s": [np.unique(shingle_hashes(t, words).astype(np.uint32)).view(np.int32) for t in batch["text"]]})
-
-    return docs.select(plain_id(docs["doc_id"]).alias("doc_id"), "text").mapInPandas(run, "node long, s array<int>")
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch["text"]]
+            own = np.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], np.int64) == batch["digest"].to_numpy()
+            yield pd.DataFrame({"node": batch["node"][own], "component": batch["component"][own], "s": [s.view(np.int64) for s, k in zip(sets, own) if k]})
 
-
-#: Shingles of a block of a clump; a clump of more is compared block by block.
-BLOCK_SHINGLES = 2_000_000
+    bounded_batches(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return texts.join(sized(clumped.select("node", "component", "digest")), "node").select("node", "component", "digest", "text").mapInPandas(run, "node long, component long, s array<long>")
 
 
 def similar_links(docs: DataFrame, clumped: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join all members of a clump (node, component, shingles) whose shingle sets are similar, by exact comparison."""
-    sizes = clumped.groupBy("component").agg(F.ceil((F.sum("shingles") + 1) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    ids = clumped.select(F.col("node").alias("doc_id"))
-    sets = shingle_sets(docs.join(sized(ids), "doc_id", "left_semi"), words).dropDuplicates(["node"])
-    placed = clumped.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = pairs.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    rows = keyed.join(sets, "node")
+    """Links (a, b) that join all members of a clump (node, component, shingles, digest) whose shingle sets are similar.
+
+    Sets of 64-bit hashes are compared exactly. Each member is first compared with the one that names its clump. The rest of
+    a clump, those not alike with it, is then compared with all members; so a group of copies costs a row for each of them.
+    """
+    members = materialize(member_sets(docs, clumped, words))
+    pivots = materialize(members.where("node = component").dropDuplicates(["component"]).select("component", F.col("s").alias("p")))
+    common = F.size(F.array_intersect("s", "p"))
+    alike = common >= F.lit(similarity) * (F.size("s") + F.size("p") - common)
+    stars = members.where("node <> component").join(pivots, "component").where(alike).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    stars = materialize(stars.distinct())
+    placed = clumped.join(stars.select(F.col("a").alias("node"), F.lit(True).alias("star")), "node", "left")
+    placed = materialize(placed.withColumn("g", F.when(F.col("star"), F.col("component")).otherwise(F.col("node"))).select("node", "component", "g", "shingles"))
+    left = F.col("g") != F.col("component")
+    blocks = lambda x: F.ceil((F.sum(x) + 1) / STRIPE_SHINGLES).cast("int")
+    sizes = placed.groupBy("component").agg(
+        F.max(left).alias("some"), blocks(F.when(left, F.col("shingles")).otherwise(0)).alias("left_blocks"), blocks(F.col("shingles")).alias("right_blocks")
+    )
+    rest = placed.join(sizes.where("some").drop("some"), "component")
+    keyed = block_pairs(rest, left, F.col("left_blocks"), F.col("right_blocks")).select("node", "g", "side", F.xxhash64("component", "i", "j").alias("key"))
 
     def compare(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        found: list[tuple[int, int]] = []
+        g, side, sets = rows["g"].to_numpy(), rows["side"].to_numpy(), rows["s"].tolist()
         for s, n in zip(starts.tolist(), np.diff(np.append(starts, len(rows))).tolist()):
-            found += _similar(rows["node"].to_numpy()[s : s + n], rows["s"].tolist()[s : s + n], similarity)
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+            found = _similar(g[s : s + n], side[s : s + n], sets[s : s + n], similarity)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return in_buckets(rows, compare)
+    links = materialize(in_buckets(keyed.join(members.select("node", "s"), "node"), compare))
+    for df in (members, pivots, placed):
+        drop_materialized(df)
+    return links.unionAll(stars)
 
 
-def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Spanning links of similar sets: each node found is compared with all that are not found yet.
+def _similar(group: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the groups of similar sets, a left one (side 0 or 2) and a right one (side 1 or 2).
 
     With the shingles of every set in one order, the rarest first, two similar sets share one of the first
-    n - ceil(similarity * n) + 1 shingles of each, so only sets that do are compared.
+    n - ceil(similarity * n) + 1 shingles of each, so only sets that do are compared, and only those of groups not joined yet.
     """
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
@@ -446,37 +543,29 @@ def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> lis
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
     ranks = rank[which]
     ranks = ranks[np.lexsort((ranks, owner))]
-    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    early = np.arange(len(owner)) - np.repeat(ends - sizes, sizes) < first[owner]
-    mine, open_, out = np.zeros(len(counts), bool), np.ones(len(sets), bool), []
-    indexed, n_open = 0, len(sets)
-    for start in range(len(sets)):
-        if not open_[start]:
-            continue
-        open_[start] = False
-        n_open -= 1
-        front, root = [start], node[start]
-        while front and n_open:
-            at = front.pop()
-            if not indexed or 2 * n_open < indexed:  # an inverted index of the early shingles of sets not found yet
-                picked = np.flatnonzero(early & open_[owner])
-                picked = picked[np.argsort(ranks[picked], kind="stable")]
-                keys, holder, indexed = ranks[picked], owner[picked], n_open
-            own = ranks[ends[at] - sizes[at] : ends[at]]
-            low, high = np.searchsorted(keys, own[: first[at]], "left"), np.searchsorted(keys, own[: first[at]], "right")
-            like = np.zeros(len(sets), bool)
-            like[holder[_ranges(low, high - low)]] = True
-            like = np.flatnonzero(like & open_)
-            if not len(like):
-                continue
-            mine[own] = True
-            common = np.add.reduceat(mine[ranks[_ranges(ends[like] - sizes[like], sizes[like])]].astype(np.int64), np.cumsum(sizes[like]) - sizes[like])
-            mine[own] = False
-            like = like[common >= similarity * (sizes[like] + sizes[at] - common)]
-            open_[like] = False
-            n_open -= len(like)
-            front += like.tolist()
-            out += [(root, x) for x in node[like] if x != root]
+    first = np.maximum(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+    early = np.flatnonzero((np.arange(len(owner)) - np.repeat(ends - sizes, sizes) < first[owner]) & (side[owner] != 0))
+    early = early[np.argsort(ranks[early], kind="stable")]
+    keys, holder = ranks[early], owner[early]
+    label = np.unique(group, return_inverse=True)[1]
+    mine, out = np.zeros(len(counts), bool), []
+    for at in np.flatnonzero((side != 1) & (sizes > 0)).tolist():
+        own = ranks[ends[at] - sizes[at] : ends[at]]
+        low, high = np.searchsorted(keys, own[: first[at]], "left"), np.searchsorted(keys, own[: first[at]], "right")
+        like = np.unique(holder[_ranges(low, high - low)])
+        like = like[(label[like] != label[at]) & (np.minimum(sizes[like], sizes[at]) >= similarity * np.maximum(sizes[like], sizes[at]))]
+        mine[own] = True
+        while len(like):  # a part of them at a time
+            part = like[: max(1, int(np.searchsorted(np.cumsum(sizes[like]), CELLS)))]
+            like = like[len(part) :]
+            common = np.add.reduceat(mine[ranks[_ranges(ends[part] - sizes[part], sizes[part])]].astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+            part = part[common >= similarity * (sizes[part] + sizes[at] - common)]
+            if len(part):
+                joined, one = np.unique(label[part], return_index=True)
+                out += [(group[at], group[x]) for x in part[one].tolist()]
+                label[np.isin(label, joined)] = label[at]
+                like = like[label[like] != label[at]]
+        mine[own] = False
     return out
 
 
@@ -494,15 +583,18 @@ def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RAD
     """
     prints = materialize(double_fingerprints(docs, words))
     columns = ("fp", "fp2", "shingles", "digest")
-    own = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("own")).select("doc_id", "own.*")
-    own = materialize(own)
+    own = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("own"), F.count("*").alias("times"))
+    own = materialize(own.select("doc_id", "own.*", "times"))
     nodes = materialize(own.groupBy(*columns).agg(F.min("doc_id").alias("node")))
-    clumped = materialize(clumps(nodes.drop("digest"), similarity, radius).join(nodes.select("node", "shingles"), "node"))
-    linked = components(similar_links(docs, clumped, words, similarity))
+    clumped = clumps(nodes.drop("digest"), similarity, radius)
+    wanted = materialize(clumped.join(nodes.select("node", "shingles", "digest"), "node"))
+    linked = components(thinned(similar_links(docs, wanted, words, similarity)))
     copies = own.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
-    gone = copies.union(linked.where("node <> component").select("node")).distinct()
-    kept = docs.join(sized(materialize(gone)), "doc_id", "left_anti").select(*docs.columns)
-    again = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = materialize(copies.union(linked.where("node <> component").select("node")).distinct())
+    again = materialize(own.where("times > 1").select("doc_id"))
+    for df in (prints, own, nodes, clumped, wanted):
+        drop_materialized(df)
+    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -62,11 +62,44 @@ def test_sizes_are_of_distinct_shingles(spark):
 
 def test_similar_sets_in_one_clump():
     draw = np.random.default_rng(8)
-    sets = [np.unique(draw.integers(0, 60, 40)).astype(np.int32) for _ in range(150)] + [np.empty(0, np.int32)]
+    sets = [np.unique(draw.integers(0, 60, 40)).astype(np.int64) for _ in range(150)] + [np.empty(0, np.int64)]
     for limit in (0.5, 0.6, 0.8):
         links = [(a, b) for b in range(150) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= limit * len(np.union1d(sets[a], sets[b]))]
-        found = simhash._similar(np.arange(151), sets, limit)
+        found = simhash._similar(np.arange(151), np.full(151, 2), sets, limit)
         assert brute_components(found, range(151)) == brute_components(links, range(151))
+        side = np.where(np.arange(151) < 70, 0, 1)
+        between = [p for p in links if p[0] < 70 <= p[1]]
+        found = simhash._similar(np.arange(151), side, sets, limit)
+        assert brute_components(found, range(151)) == brute_components(between, range(151))
+
+
+def test_hot_clump_in_stripes(spark, monkeypatch):
+    """One clump of two families and loose members, in many stripes, all about keys that most rows share."""
+    draw = random.Random(10)
+    one = prose(draw, 200)
+    two = changed(draw, one, 12)
+    texts = [changed(draw, one, 1) for _ in range(120)] + [changed(draw, two, 1) for _ in range(60)] + [changed(draw, one, 9) for _ in range(60)]
+    texts += [one, one, prose(draw, 20_000)]
+    draw.shuffle(texts)
+    whole = kept_and_wanted(spark, texts)
+    monkeypatch.setattr(simhash, "STRIPE", 20)
+    monkeypatch.setattr(simhash, "STRIPE_SHINGLES", 4_000)
+    monkeypatch.setattr(simhash, "CELLS", 500)
+    assert kept_and_wanted(spark, texts) == whole
+    assert whole[0] == whole[1] and len(whole[0]) > 20
+
+
+def test_recall_near_the_limit(spark):
+    """Pairs of similarity 0.80 to 0.85, with a repeated passage in half of them."""
+    draw = random.Random(11)
+    texts = []
+    for k in range(150):
+        base = prose(draw, 300)
+        w = changed(draw, base, 6).split()
+        texts += [base, " ".join([*w, *w[40:90]] if k % 2 else w)]
+    got, want = kept_and_wanted(spark, texts)
+    missed = len(got) - len(want)
+    assert set(want) <= set(got) and missed <= 0.02 * 150
 
 
 def test_thinned_links_join_the_same_nodes(spark):
