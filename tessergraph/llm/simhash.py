@@ -179,10 +179,10 @@ def spread_hot(dealt: DataFrame, nodes: DataFrame, parts: list[tuple[list[int],
     for k, (bits, _) in enumerate(parts, first):
         own = nodes.select(F.lit(k).alias("k"), F.col(column).bitwiseAND(F.lit(_signed(_mask(bits))).cast("long")).alias("own"), (F.col("c") if "c" in nodes.columns else F.col("node")).alias("c"))
         values = own if values is None else values.unionAll(own)
-    hot = values.groupBy("k", "own").count().where(F.col("count") > STRIPE).select("k", "own")
-    hot = materialize(values.join(sized(materialize(hot)), ["k", "own"]).groupBy("k", "own", "c").count())
+    hot = materialize(values.groupBy("k", "own").count().where(F.col("count") > STRIPE).select("k", "own"))
     if hot.isEmpty():
         return dealt.withColumn("side", F.lit(2))
+    hot = materialize(values.join(sized(hot), ["k", "own"]).groupBy("k", "own", "c").count())
     hot = hot.groupBy("k", "own").agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.max_by("c", "count").alias("main"))
     about = None
     for k, (bits, threshold) in enumerate(parts, first):
@@ -192,10 +192,10 @@ def spread_hot(dealt: DataFrame, nodes: DataFrame, parts: list[tuple[list[int],
         about = own if about is None else about.unionAll(own)
     size = lambda x: F.greatest(F.ceil(x / STRIPE), F.lit(1)).cast("int")
     keys = about.groupBy("hot_key").agg(F.max_by("main", "largest").alias("main"), size(F.sum("n") - F.max("largest")).alias("left_blocks"), size(F.sum("n")).alias("right_blocks"))
-    joined = dealt.join(sized(materialize(keys)), F.col("key") == F.col("hot_key"), "left")
+    flagged = dealt.join(sized(materialize(keys)), F.col("key") == F.col("hot_key"), "left")
     left = ~F.col("c").eqNullSafe(F.col("main")) if "c" in dealt.columns else F.lit(True)
     one = F.col("hot_key").isNull()  # a key that is not hot is one pair of stripes, and each row of it on both sides
-    places = block_pairs(joined, left | one, F.coalesce("left_blocks", F.lit(1)), F.coalesce("right_blocks", F.lit(1)))
+    places = block_pairs(flagged, left | one, F.coalesce("left_blocks", F.lit(1)), F.coalesce("right_blocks", F.lit(1)))
     key = F.when(one, F.col("key")).otherwise(F.xxhash64("key", "i", "j"))
     return places.select(key.alias("key"), *[c for c in dealt.columns if c != "key"], "side")
 
@@ -224,13 +224,27 @@ def thinned(links: DataFrame) -> DataFrame:
     """Links that join the same nodes, reduced in as few tasks as MOST_LINKS allows. They are counted first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n > MOST_LINKS:
+                held = [forest(pd.concat(held))]
+                n = len(held[0])
         if held:
             yield forest(pd.concat(held))
 
     return links.coalesce(links.count() // MOST_LINKS + 1).mapInPandas(run, "a long, b long")
 
 
+def joined(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of links (a, b), a written table: what one task can hold needs no rounds of shuffles."""
+    less = materialize(thinned(links))
+    if links.count() > MOST_LINKS:
+        return components(less)
+    return less.select(F.col("a").alias("node"), F.col("b").alias("component")).union(less.select("b", "b").distinct())
+
+
 def in_buckets(rows: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
     """Deals rows by key, sorts them by key and node, and gives compare() whole buckets of at least two rows, with their starts.
 
@@ -350,7 +364,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """From (doc_id, fp) to (doc_id, fp, component): the smallest doc_id reachable over links within radius."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where(F.col("node").isNotNull()))
-    found = components(links(nodes, radius))
+    found = joined(materialize(links(nodes, radius)))
     heads = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(heads, "fp", "left").select("doc_id", "fp", "component")
 
@@ -426,13 +440,13 @@ def clumps(nodes: DataFrame, similarity: float = COPY_SIMILARITY, radius: int =
     first = exact.groupBy("key").agg(F.min("one").alias("two"), F.count("*").alias("n")).where("n > 1").select("key", "two")
     near = _may_be_copies(F.col("one"), F.col("two"), F.col("one.node") != F.col("two.node"), similarity, radius)
     stars = materialize(exact.join(first, "key").where(near).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct())
-    groups = components(thinned(stars))
+    groups = joined(stars)
     grouped = materialize(nodes.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")))
     found = []
     for column, own in parts.items():  # one after the other: each deals many rows
         found.append(materialize(_near_in_buckets(grouped, column, own, similarity, radius)))
-    joined = components(thinned(found[0].unionAll(found[1]))).select(F.col("node").alias("c"), F.col("component").alias("over"))
-    out = grouped.join(joined, "c", "left").where("component IS NOT NULL OR over IS NOT NULL")
+    over = joined(found[0].unionAll(found[1])).select(F.col("node").alias("c"), F.col("component").alias("over"))
+    out = grouped.join(over, "c", "left").where("component IS NOT NULL OR over IS NOT NULL")
     out = materialize(out.select("node", F.coalesce("over", "c").alias("component")))
     for df in (stars, grouped, *found):
         drop_materialized(df)
@@ -561,9 +575,9 @@ def _similar(group: np.ndarray, side: np.ndarray, sets: list[np.ndarray], simila
             common = np.add.reduceat(mine[ranks[_ranges(ends[part] - sizes[part], sizes[part])]].astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
             part = part[common >= similarity * (sizes[part] + sizes[at] - common)]
             if len(part):
-                joined, one = np.unique(label[part], return_index=True)
+                met, one = np.unique(label[part], return_index=True)
                 out += [(group[at], group[x]) for x in part[one].tolist()]
-                label[np.isin(label, joined)] = label[at]
+                label[np.isin(label, met)] = label[at]
                 like = like[label[like] != label[at]]
         mine[own] = False
     return out
@@ -588,7 +602,7 @@ def drop_near_copies(docs: DataFrame, words: int = COPY_WORDS, radius: int = RAD
     nodes = materialize(own.groupBy(*columns).agg(F.min("doc_id").alias("node")))
     clumped = clumps(nodes.drop("digest"), similarity, radius)
     wanted = materialize(clumped.join(nodes.select("node", "shingles", "digest"), "node"))
-    linked = components(thinned(similar_links(docs, wanted, words, similarity)))
+    linked = joined(similar_links(docs, wanted, words, similarity))
     copies = own.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
     gone = materialize(copies.union(linked.where("node <> component").select("node")).distinct())
     again = materialize(own.where("times > 1").select("doc_id"))
