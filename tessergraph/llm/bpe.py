@@ -205,13 +205,17 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Vocabulary(dict):
     """Maps a slice to its ids, as a tuple; what it has merged stays, up to CACHE_SLICES."""
 
     def __init__(self, path: str):
         super().__init__()
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(path)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         try:  # a compiled pair merge of one slice, equal to merge() and several times as fast
             import public_tokenizers

@@ -31,14 +31,30 @@ SALTS = 32
 
 
 @lru_cache(2)
-def _encoder(path: str):
-    """A function from a text to its ids. path: a rank file, whose ids are those of the JSON file of the same vocabulary."""
+def _encoder(path: str, ranks: str):
+    """A function from a text to the ids that the tokenizer file ``path`` gives, its added tokens included.
+
+    ranks: a rank file of the same vocabulary. Added tokens are cut out of the text first, the leftmost one at a time, and
+    what stands between them is encoded by itself; a file whose added tokens need more than that is read by ``tokenizers``.
+    """
+    import json
+
     import public_tokenizers
     import tiktoken
 
-    from tessergraph.llm.bpe import vocabulary
+    from tessergraph.llm.bpe import read_ranks
+
+    with open(path, encoding="utf-8") as held:
+        file = json.load(held)
+    added = file.get("added_tokens", [])
+    if file.get("normalizer") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        from tokenizers import Tokenizer
 
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path).ranks, special_tokens={}).encode_ordinary
+        whole = Tokenizer.from_file(path)
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+    core = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks), special_tokens={t["content"]: t["id"] for t in added})
+    names = [t["content"] for t in added]
+    return lambda text: core.encode(text, allowed_special="all") if any(n in text for n in names) else core.encode_ordinary(text)
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -47,13 +63,16 @@ def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, total, capacity)]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Tokenises whole texts (null: empty) and cuts them: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+def pieces(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Tokenises whole texts (null: empty) and cuts them: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+
+    Repeated rows give repeated pieces; a null id stays null, as does the one id of -2**63. An empty table gives no rows.
+    """
 
     bounded_batches(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path)
+        encode = _encoder(path, ranks)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
@@ -188,23 +207,33 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ).drop("l", "low", "high", "base", "each", "at", "rank")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return pack(materialize(pieces(docs, path, capacity)), capacity)
+def pack_documents(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
+
+    path: a tokenizer file; ranks: the rank file of its vocabulary. A null or empty text is one piece, the end id alone.
+    Repeated rows, and documents of one id or of none, are packed each by itself. Equal lengths are ranked by doc_id, piece
+    and hash, so ties change nothing but which of equal pieces goes where. An empty table gives no rows. Only doc_id and
+    text are read, so other columns cannot clash.
+    """
+    return pack(materialize(pieces(docs, path, ranks, capacity)), capacity)
+
 
+def sequences(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids and the document and offset of each piece.
 
-def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids and the document and offset of each piece."""
-    placed = pack(materialize(pieces(docs, path, capacity, with_ids=True)), capacity)
+    Nulls, repeats and empty tables are as in pack_documents.
+    """
+    placed = pack(materialize(pieces(docs, path, ranks, capacity, with_ids=True)), capacity)
     held = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("parts"))
     return held.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("offsets"))
 
 
-def rank_file() -> str:
+def tokenizer_files() -> tuple[str, str]:
+    """The tokenizer file and the rank file of its vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), rank_file())
+    return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())

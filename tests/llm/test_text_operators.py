@@ -64,7 +64,6 @@ def test_round_trip_table(docs, rows):
 
 def check_packing(got, texts):
     json = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    json.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
@@ -87,15 +86,22 @@ def check_packing(got, texts):
 
 def test_packing(docs, rows):
     unique = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
-    got = packing.pack_documents(unique, packing.rank_file()).collect()
+    got = packing.pack_documents(unique, *packing.tokenizer_files()).collect()
     n = check_packing(got, {r.doc_id: r.text for r in rows if r.doc_id is not None})
     assert n == -(-sum(r.length for r in got) // 1024)
-    assert packing.pack_documents(none_of(docs), packing.rank_file()).count() == 0
-    assert packing.pack_documents(docs, packing.rank_file()).count() > len(got)  # repeated rows are packed again
-    held = packing.sequences(unique, packing.rank_file()).collect()
+    assert packing.pack_documents(none_of(docs), *packing.tokenizer_files()).count() == 0
+    assert packing.pack_documents(docs, *packing.tokenizer_files()).count() > len(got)  # repeated rows are packed again
+    held = packing.sequences(unique, *packing.tokenizer_files()).collect()
     assert len(held) == n and all(len(r.ids) <= 1024 for r in held)
 
 
+def test_ids_equal_the_tokenizer_file():
+    path, ranks = packing.tokenizer_files()
+    json, encode = Tokenizer.from_file(path), packing._encoder(path, ranks)
+    for text in ("", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> \n", "  <|endoftext|><|endoftext|>x  ", "<|endoftext", "don't  <|endoftext|>'s", "<|<|endoftext|>|>"):
+        assert encode(text) == json.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece_once():
     draw = np.random.default_rng(2)
     for size in (1, 50, 5000):
