@@ -29,70 +29,30 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """Folds (conv_id, seq, kind, msg, role, text) into (conv_id, messages array<struct<seq,role,text>>).
 
-    Null texts and roles are empty; a null kind is ``message``. Messages with one sequence number keep the order of role,
-    then text; repeated message rows stay repeated. Changes to a message that was never opened are left out. A null
-    conversation id is a conversation of its own.
+    Null texts and roles are empty; a null kind is ``message``, a null msg the event's own seq. Changes are folded message by
+    message, so only final messages meet in their conversation. Messages with one sequence number keep the order of role,
+    then text; repeated message rows stay repeated. Changes to a message that was never opened, or to none (msg and seq
+    null), are left out. A null conversation id is a conversation of its own. Other columns are not read.
     """
     filled = events.select(
         "conv_id",
-        "seq",
+        F.col("seq").cast("long").alias("seq"),
         F.coalesce("kind", F.lit("message")).alias("kind"),
-        F.coalesce("msg", "seq").alias("msg"),
+        F.coalesce("msg", "seq").cast("long").alias("msg"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    changes = (
-        filled.where(F.col("kind") != "message")
-        .groupBy("conv_id", "msg")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "text"))).alias("log"))
-        .withColumn("resets", F.expr("filter(transform(log, (e, i) -> if(e.kind = 'delta', -1, i)), i -> i >= 0)"))
-        .withColumn("reset", F.coalesce(F.array_max("resets"), F.lit(-1)))
-        .select(
-            "conv_id",
-            F.lit(1).alias("change"),
-            F.struct(
-                F.lit(None).cast("long").alias("seq"),
-                F.lit("").alias("role"),
-                F.array_join(F.expr("transform(slice(log, greatest(reset, 0) + 1, size(log)), e -> e.text)"), "").alias("text"),
-                F.col("msg").cast("long").alias("msg"),
-                (F.col("reset") >= 0).alias("anew"),
-            ).alias("event"),
-        )
-    )
-    opened = filled.where(F.col("kind") == "message").select(
-        "conv_id",
-        F.lit(0).alias("change"),
-        F.struct(
-            F.col("seq").cast("long").alias("seq"), "role", "text", F.col("msg").cast("long").alias("msg"), F.lit(False).alias("anew")
-        ).alias("event"),
-    )
-    logs = (
-        opened.unionByName(changes)
-        .groupBy("conv_id")
-        .agg(
-            F.sort_array(F.collect_list(F.when(F.col("change") == 0, F.col("event")))).alias("opened"),
-            F.map_from_entries(F.collect_list(F.when(F.col("change") == 1, F.struct(F.col("event.msg"), F.col("event"))))).alias("changed"),
-        )
-    )
-    return logs.where(F.size("opened") > 0).select(
-        "conv_id",
-        F.transform(
-            "opened",
-            lambda m: F.struct(
-                m["seq"].alias("seq"),
-                m["role"].alias("role"),
-                F.when(F.size("changed") == 0, m["text"])
-                .otherwise(
-                    F.coalesce(
-                        F.when(F.element_at("changed", m["msg"])["anew"], F.element_at("changed", m["msg"])["text"]),
-                        F.concat(m["text"], F.element_at("changed", m["msg"])["text"]),
-                        m["text"],
-                    )
-                )
-                .alias("text"),
-            ),
-        ).alias("messages"),
+    opens = F.col("kind") == "message"
+    own = filled.groupBy("conv_id", "msg").agg(
+        F.collect_list(F.when(opens, F.struct("seq", "role", "text"))).alias("opened"),
+        F.sort_array(F.collect_list(F.when(~opens & F.col("msg").isNotNull(), F.struct("seq", "kind", "text")))).alias("log"),
     )
+    resets = F.expr("filter(transform(log, (e, i) -> if(e.kind = 'delta', -1, i)), i -> i >= 0)")
+    own = own.where(F.size("opened") > 0).withColumn("reset", F.coalesce(F.array_max(resets), F.lit(-1)))
+    own = own.withColumn("said", F.array_join(F.expr("transform(slice(log, greatest(reset, 0) + 1, size(log)), e -> e.text)"), ""))
+    text = lambda m: F.when(F.col("reset") >= 0, F.col("said")).otherwise(F.concat(m["text"], F.col("said")))
+    final = own.select("conv_id", F.transform("opened", lambda m: F.struct(m["seq"].alias("seq"), m["role"].alias("role"), text(m).alias("text"))).alias("own"))
+    return final.groupBy("conv_id").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("messages"))
 
 
 def render(folded: DataFrame) -> DataFrame:
@@ -139,13 +99,34 @@ def digest(rendered: DataFrame) -> DataFrame:
     )
 
 
+def as_events(rows: DataFrame) -> DataFrame:
+    """The log that leads to rows (conv_id, turn, role, text): each turn opens a message and ends, after changes, as its text.
+
+    An assistant's draft is streamed in deltas and regenerated in two more; any other turn is opened with its first half and
+    streams the rest, or is opened with a draft and edited, by turns.
+    """
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    half = F.floor(n / 2).cast("int")
+    head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda step, kind, said: F.struct(F.lit(step).cast("long").alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+    empty, draft = F.lit(""), F.concat(F.lit("draft "), head)
+    logs = (
+        F.when(F.col("role") == "assistant", F.array(event(0, "message", empty), event(1, "delta", draft), event(2, "delta", tail), event(3, "regenerate", head), event(4, "delta", tail)))
+        .when(F.pmod("turn", F.lit(4)) == 2, F.array(event(0, "message", draft), event(1, "delta", tail), event(2, "edit", text)))
+        .otherwise(F.array(event(0, "message", head), event(1, "delta", tail)))
+    )
+    numbered = rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("msg"))
+    each = numbered.select("conv_id", "turn", "role", "msg", F.explode(logs).alias("event"))
+    seq = F.when(F.col("event.kind") == "message", F.col("turn")).otherwise(F.col("event.step"))
+    return each.select("conv_id", seq.cast("long").alias("seq"), "event.kind", "msg", "role", "event.text")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.sql(
         "SELECT -7L AS conv_id, CAST(turn AS LONG) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"
     )
-    events = rows.unionByName(control).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("msg"), "role", "text")
-    return digest(render(fold_events(events)))
+    return digest(render(fold_events(as_events(rows.unionByName(control)))))
 
 
 ORACLE_SQL = r"""

@@ -139,3 +139,18 @@ def test_html_table(spark):
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got if r.page_id == 1] == ["some words in a paragraph."]
+
+
+def test_changes_to_no_message(spark):
+    log = [(1, 0, "message", 0, "user", "a"), (1, None, "delta", None, None, "lost"), (1, None, "message", None, "user", "first"), (4, None, "delta", None, None, "lost")]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg long, role string, text string")
+    got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.fold_events(events).collect()}
+    assert got == {1: [("user", "first"), ("user", "a")]}
+
+
+def test_turns_come_back_from_their_events(spark, small):
+    rows = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", None), (1, 2, "user", "<|end|>\n é"), (1, 2, "user", "<|end|>\n é"), (1, 3, "assistant", "x" * 9), (2, 0, None, "")], "conv_id long, turn long, role string, text string")
+    log = chat.as_events(rows)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.fold_events(log).collect()}
+    assert got == {1: [("user", "ab"), ("assistant", ""), ("user", "<|end|>\n é"), ("user", "<|end|>\n é"), ("assistant", "x" * 9)], 2: [("", "")]}
