@@ -26,7 +26,7 @@ WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 SIDE = PERIOD - 1
 #: Bytes of text hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ROW = "h long, c long, k long, t long, p int, done boolean"
 #: Rows that are looked at together before they are dealt.
 MERGED_ROWS = 200_000
