@@ -13,23 +13,40 @@ from tessergraph.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
+    """Documents that the rules or their host's verdict reject go.
+
+    A null or empty text fails the rules; a null host has no verdict; rows that repeat, tie or share an id are judged each
+    by itself, whole texts of any length; an empty table stays empty. Other columns are carried through, whatever their names.
+    """
     return quality.keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near copies stays, that of the smallest id: shingles of five words, similarity 0.8 or more.
+
+    Texts without words are copies of each other. Rows of one id are one document, of which one row stays; rows of no id all
+    stay. Texts of any length are compared whole; an empty table stays empty. Other columns are carried through.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that an earlier document or place has are cut out."""
+    """Passages of 20 words or more that an earlier document or place has are cut out.
+
+    Every row stays, a null text as null, and one of nothing but repeats as an empty text. Rows without an id come before
+    all others; different texts of one id are told apart, and rows that repeat whole are not each other's copies. An empty
+    table stays empty. Other columns are carried through.
+    """
     return substrings.cut_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, packed into sequences of 1024 tokens."""
-    return packing.pack_documents(docs, packing.rank_file())
+    """Every document that is left, packed into sequences of 1024 tokens.
+
+    A null or empty text is the end id alone; rows that repeat, or share an id or have none, are packed each by itself; longer
+    documents are cut; an empty table gives no rows. Only doc_id and text are read.
+    """
+    return packing.pack_documents(docs, *packing.tokenizer_files())
 
 
 STAGES = [
