@@ -24,7 +24,8 @@ from tessergraph.llm.common import bounded_batches, plain_id, restored, table
 
 #: Labelled pages the model is trained on.
 TRAIN_PAGES = 600
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*))")
+_MARK = re.compile("[>\"']")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -37,6 +38,7 @@ BLOCKS = {
     "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
+_TABLE_PARTS = {"table", "tr", "tbody", "thead", "tfoot", "td", "th"}
 WALLS = {"table", "ul", "ol", "dl", "menu", "body", "html", "select", "td", "th"}
 
 
@@ -50,20 +52,100 @@ class Node:
         self.label = False
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """The places of ``>`` and quotes, and for each where a tag ends whose attributes are read from there; -1: nowhere.
+
+    Read from the back: ``>`` ends a tag, and a quote sends it on to what follows the next quote of its kind.
+    """
+    places = [m.start() for m in _MARK.finditer(html)]
+    ends, following = [-1] * len(places), {'"': -1, "'": -1}
+    for k in range(len(places) - 1, -1, -1):
+        mark = html[places[k]]
+        if mark == ">":
+            ends[k] = places[k]
+        else:
+            after = following[mark]
+            ends[k] = ends[after + 1] if 0 <= after < len(places) - 1 else -1
+            following[mark] = k
+    return places, ends
+
+
+def _tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of comments, declarations (without a name) and tags; linear in the page.
+
+    A ``<`` that begins nothing, or a tag that never ends, is text. Elements of raw text are one token with their inside.
+    """
+    places, ends = _tag_ends(html)
+    at = k = 0
+    while m := _OPEN.search(html, at):
+        if m.group(1):
+            close = html.find("-->", m.end())
+            at = close + 3 if close >= 0 else len(html)
+            yield m.start(), at, "", "", ""
+        elif m.group(2):
+            close = html.find(">", m.end())
+            at = close + 1 if close >= 0 else len(html)
+            yield m.start(), at, "", "", ""
+        else:
+            while k < len(places) and places[k] < m.end():
+                k += 1
+            end = ends[k] if k < len(places) else -1
+            if end < 0:
+                at = m.end()
+                continue
+            at, name = end + 1, m.group(4).lower()
+            if name in RAW and not m.group(3):  # up to its own end tag, or to the page's end
+                close = _raw_end(name).search(html, at)
+                close_end = html.find(">", close.end()) if close else -1
+                at = close_end + 1 if close_end >= 0 else len(html)
+            yield m.start(), at, m.group(3), name, html[m.end() : end]
+
+
+@lru_cache(32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I)
+
+
+class _Stack:
+    """Open elements with their node, or their block's for inline ones, and where each tag stands, the innermost last."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.held))
+        self.held.append((tag, node))
+
+    def pop(self) -> str:
+        tag, _ = self.held.pop()
+        self.places[tag].pop()
+        return tag
+
+    def innermost(self, tag: str) -> int:
+        """Its place, 0 if it is not open above the root."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+
 def parse(html: str) -> list[Node]:
-    """The page's nodes, parents before children; text blocks are leaves with tag ``#``, in page order."""
+    """The page's nodes, parents before children; text blocks are leaves with tag ``#``, in page order.
+
+    Takes time in proportion to the page, however broken or deep its markup is.
+    """
     nodes = [Node("html", (), -1)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their node, or their block's for inline ones
+    stack = _Stack()
+    stack.push("html", 0)
     leaf: Node | None = None
     links = unseen = 0
-    at, end = 0, len(html)
+    text_from, end = 0, len(html)
 
     def add(piece: str) -> None:
         nonlocal leaf
         if leaf is None:
             if not piece.strip():
                 return
-            leaf = Node("#", (), stack[-1][1])
+            leaf = Node("#", (), stack.held[-1][1])
             leaf.parts = []
             nodes.append(leaf)
         leaf.parts.append(piece)
@@ -72,33 +154,24 @@ def parse(html: str) -> list[Node]:
 
     def pop(to: int) -> None:
         nonlocal leaf, links, unseen
-        for tag, _ in stack[to:]:
+        while len(stack.held) > to:
+            tag = stack.pop()
             links -= tag == "a"
             unseen -= tag in UNSEEN
             if tag in BLOCKS:
                 leaf = None
-        del stack[to:]
-
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            if not unseen:
-                add(unescape(html[at:]))
-            break
-        if m.start() > at and not unseen:
-            add(unescape(html[at : m.start()]))
-        at = m.end()
-        if m.group(2) is None:
+
+    for start, stop, slash, tag, attributes in _tokens(html):
+        if start > text_from and not unseen:
+            add(unescape(html[text_from:start]))
+        text_from = stop
+        if not tag:
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                    if tag not in BLOCKS:
-                        break
+        if slash:
+            k = stack.innermost(tag)
+            wall = 0 if tag in _TABLE_PARTS or tag in BLOCKS else max(map(stack.innermost, ("table", "td", "th")))
+            if k and k >= wall:  # an inline element does not end beyond its cell
+                pop(k)
             if tag in BLOCKS:
                 leaf = None
             continue
@@ -110,32 +183,28 @@ def parse(html: str) -> list[Node]:
             if tag in BLOCKS:
                 leaf = None
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and len(stack.held) > 1 and (tag == "html" or stack.innermost(tag)):
             continue
-        if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph; list items and cells end their like
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in WALLS and not (tag in ("tr", "tbody", "tfoot") and stack[k][0] in ("td", "th")):
-                    break
-                if stack[k][0] == "head":
-                    pop(k)
-                    break
+        if tag in BLOCKS:  # a block ends an open paragraph; list items and cells end their like
+            ended = max(map(stack.innermost, ("p", *CLOSES.get(tag, ()))))
+            wall = max(map(stack.innermost, WALLS - {"td", "th"} if tag in ("tr", "tbody", "tfoot") else WALLS))
+            k = max(ended, stack.innermost("head"))
+            if k and (k > wall or k == ended == wall):
+                pop(k)
             leaf = None
-            hints = tuple(w for h in _HINT.findall(m.group(3)) for w in _PART.findall("".join(h).lower())) if m.group(3) else ()
-            nodes.append(Node(tag, hints, stack[-1][1]))
-            stack.append((tag, len(nodes) - 1))
+            hints = tuple(w for h in _HINT.findall(attributes) for w in _PART.findall("".join(h).lower())) if attributes else ()
+            nodes.append(Node(tag, hints, stack.held[-1][1]))
+            stack.push(tag, len(nodes) - 1)
         elif tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
             continue
-        elif not m.group(3).endswith("/"):
-            stack.append((tag, stack[-1][1]))
+        elif not attributes.endswith("/"):
+            stack.push(tag, stack.held[-1][1])
         else:
             continue
         links += tag == "a"
         unseen += tag in UNSEEN
+    if text_from < end and not unseen:
+        add(unescape(html[text_from:]))
     for node in reversed(nodes):
         if node.parts is not None:
             node.chars = sum(map(len, node.parts))
@@ -149,17 +218,23 @@ def parse(html: str) -> list[Node]:
 SECTIONS = {"article", "main", "nav", "aside", "header", "footer", "form", "dialog", "menu", "search", "section", "body"}
 
 
-def contexts(nodes: list[Node]) -> list[list[str]]:
-    """For each node what its nearest ancestors that say something say: a section's tag, and class words."""
-    sections, hinted = ["none"] * len(nodes), [()] * len(nodes)
-    for k, node in enumerate(nodes):
-        up = node.parent
-        sections[k] = node.tag if node.tag in SECTIONS else sections[up] if up >= 0 else "none"
-        hinted[k] = node.hints or (hinted[up] if up >= 0 and node.tag not in SECTIONS else ())
-    return [[f"within {s}", *[f"under {h}" for h in dict.fromkeys(hs)]] for s, hs in zip(sections, hinted)]
+def contexts(nodes: list[Node]) -> list[tuple[str, ...]]:
+    """For each node what its nearest ancestors that say something say: a section's tag, and class words.
+
+    Nodes of one surrounding share one tuple.
+    """
+    out: list[tuple[str, ...]] = []
+    said: list[tuple[str, tuple[str, ...]]] = []
+    for node in nodes:
+        section, hints = said[node.parent] if node.parent >= 0 else ("none", ())
+        same = node.tag not in SECTIONS and not node.hints and node.parent >= 0
+        section, hints = (node.tag, node.hints) if node.tag in SECTIONS else (section, node.hints or hints)
+        said.append((section, hints))
+        out.append(out[node.parent] if same else (f"within {section}", *[f"under {h}" for h in dict.fromkeys(hints)]))
+    return out
 
 
-def features(node: Node, context: list[str]) -> list[str]:
+def features(node: Node, context: tuple[str, ...]) -> list[str]:
     """Names of what a node shows, and what it stands in."""
     share = node.linked / node.chars if node.chars else 0
     kind = "leaf" if node.parts is not None else "block"
@@ -183,7 +258,12 @@ class Model:
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Log odds of content of every node, by sum-product: children to parents, then parents to children."""
         weight = self.weights.get
-        own = [sum([weight(f, 0.0) for f in features(n, c)], weight("bias", 0.0)) for n, c in zip(nodes, contexts(nodes))]
+        around: dict[int, float] = {}  # the score of each surrounding, by its tuple
+        own, surroundings = [], contexts(nodes)
+        for node, context in zip(nodes, surroundings):
+            if id(context) not in around:
+                around[id(context)] = sum([weight(f, 0.0) for f in context], weight("bias", 0.0))
+            own.append(sum([weight(f, 0.0) for f in features(node, ())], around[id(context)]))
         up = [0.0] * len(nodes)
         total = own[:]  # own score and the children's messages
         for k in range(len(nodes) - 1, 0, -1):
@@ -356,7 +436,8 @@ def train(pages: int = TRAIN_PAGES, seed: int = 11) -> Model:
 def extract_pages(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, from its whole html; a null html gives an empty text.
 
-    Repeated rows give repeated results; other columns are not read.
+    Repeated rows give repeated results, an empty table none; a null id or url stays null (as does the one id -2**63). Pages
+    of any length and depth take time in proportion to their length. Other columns are not read.
     """
     model = model or train()
     weights, ties = model.weights, model.ties
