@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tessergraph.llm.common import materialize, table
 
-#: Expected number of sampled keys, and of fine ranges. Both bound what the driver holds; neither changes the law.
+#: Expected number of sampled keys, which bounds what the driver holds; of fine ranges, at least; and of rows in a range, as
+#: long as there are enough sampled keys. None of them changes the law.
 SAMPLE_KEYS = 20_000
 FINE_RANGES = 512
+RANGE_ROWS = 100_000
 
 
 def _range_of(keys: np.ndarray, ids: np.ndarray):
@@ -34,13 +36,14 @@ def _range_of(keys: np.ndarray, ids: np.ndarray):
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = FINE_RANGES, sample: int = SAMPLE_KEYS
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, sample: int = SAMPLE_KEYS, carry: bool = False
 ) -> DataFrame:
     """Assigns each row a shard of near-equal bytes and a gapless slot in it.
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. A null text counts as empty; a null id sorts as the
-    smallest. Repeated rows are placed like any other rows. Shards differ by at most one text's bytes; an empty table
-    gives no rows. Other columns of docs are not read.
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard and, to ``carry``, a struct ``row`` of all columns of
+    docs; else its other columns are not read. A null text counts as empty; a null id sorts as the smallest. Repeated rows,
+    and different rows of one id or of none, are placed each by itself. Shards differ by at most one text's bytes; an empty
+    table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
@@ -50,9 +53,11 @@ def assign_shards(
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("tie"),
+            *([F.struct(*docs.columns).alias("row")] if carry else []),
         )
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = ranges or max(FINE_RANGES, min(sample, count // RANGE_ROWS))
     drawn = (F.pmod(F.xxhash64("tie", F.lit("splitter")), F.lit(1 << 30)) / (1 << 30)) < F.col("size") * (sample / max(total, 1))
     picked = sorted(rows.where(drawn).select("key", "tie").distinct().collect())
     picked = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if len(picked) >= ranges else picked
@@ -70,7 +75,7 @@ def assign_shards(
     starts = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(before, ahead))], "range int, before long, ahead long")
     own = Window.partitionBy("range").orderBy("key", "tie", "size", "text_crc32")
     ranked = (
-        placed.join(F.broadcast(starts), "range")  # at most FINE_RANGES rows
+        placed.join(F.broadcast(starts), "range")  # at most as many rows as sampled keys
         .withColumn("place", F.col("before") + F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("rank", F.col("ahead") + F.row_number().over(own) - 1)
         .withColumn("shard", F.least(F.floor(F.col("place") * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int"))
@@ -84,13 +89,23 @@ def assign_shards(
         "shard",
         (F.col("rank") - F.col("first")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *(["row"] if carry else []),
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes docs as one folder a shard; each shard is written by several tasks, split by slot."""
-    placed = assign_shards(docs, shards).select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    docs.join(placed, "doc_id").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, task_rows: int = RANGE_ROWS) -> None:
+    """Writes docs as one folder a shard, ``shard=K``; each shard is written by several tasks, split by slot and in its order.
+
+    Every row is written once with all its columns, null ids and repeated rows too. If docs has a column ``shard`` the
+    folders are named ``shard_=K``, and so on. An empty table gives an empty one.
+    """
+    name = "shard"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    placed = assign_shards(docs, shards, carry=True)
+    part = F.floor(F.col("slot") / task_rows)
+    dealt = placed.repartition("shard", part).sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessergraph.llm import bpe, licenses, packing, quality, sharding, simhash, substrings
@@ -349,3 +350,13 @@ def test_longest_increasing(order):
     for i in range(9):
         longest[i] += max((longest[j] for j in range(i) if order[j] < order[i]), default=0)
     assert len(best) == max(longest) and all(a[1] < b[1] for a, b in zip(best, best[1:]))
+
+
+def test_written_shards(spark, docs, rows, tmp_path):
+    named = docs.withColumn("shard", F.lit(7)).withColumn("slot", F.lit(1))
+    sharding.write_shards(named, str(tmp_path / "out"), task_rows=5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(tuple, back.select(*named.columns).collect())) == Counter((*r, 7, 1) for r in rows)
+    where = Counter(map(tuple, back.select("doc_id", F.col("shard_").cast("int")).collect()))
+    assert where == Counter((r.doc_id, r.shard) for r in sharding.assign_shards(docs).collect())
+    sharding.write_shards(none_of(docs), str(tmp_path / "none"))
