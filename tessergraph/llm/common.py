@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,7 @@ def split_words(text: Column) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component), component the smallest node reachable; nodes without edges are absent.
 
+    Edges with a null end join nothing. No edges give no rows.
     Alternating large-star and small-star steps; each shuffles edges only, aggregates the minimum of a node before the
     shuffle, and ends in a table in the shared folder. A hub joins its own minimum, which adaptive execution can split.
     """
@@ -93,3 +97,48 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return labels.union(roots.join(labels.select("node"), "node", "left_anti"))
+
+
+#: Links of a task that are held before they are reduced to those that still join the same nodes.
+MOST_LINKS = 500_000
+
+
+def forest(links: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join the same nodes: from each node to the smallest that it is joined with."""
+    nodes, ends = np.unique(links[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    head = np.arange(len(nodes))
+    while True:
+        before = head.copy()
+        np.minimum.at(head, a, before[b])
+        np.minimum.at(head, b, before[a])
+        head = head[head]
+        if (head == before).all():
+            break
+    other = head != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[other], "b": nodes[head[other]]})
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links that join the same nodes, reduced in as few tasks as MOST_LINKS allows. They are counted first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n > MOST_LINKS:
+                held = [forest(pd.concat(held))]
+                n = len(held[0])
+        if held:
+            yield forest(pd.concat(held))
+
+    return links.coalesce(links.count() // MOST_LINKS + 1).mapInPandas(run, "a long, b long")
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of links (a, b), a written table: what one task can hold needs no rounds of shuffles."""
+    less = materialize(thinned(links))
+    if links.count() > MOST_LINKS:
+        return components(less)
+    return less.select(F.col("a").alias("node"), F.col("b").alias("component")).union(less.select("b", "b").distinct())

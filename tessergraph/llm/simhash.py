@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import bounded_batches, components, drop_materialized, materialize, plain_id, restored, sized, table
+from tessergraph.llm.common import MOST_LINKS, bounded_batches, drop_materialized, forest, joined, materialize, plain_id, restored, sized, table, thinned  # noqa: F401
 
 BITS = 64
 SEED = 42
@@ -200,51 +200,6 @@ def spread_hot(dealt: DataFrame, nodes: DataFrame, parts: list[tuple[list[int],
     return places.select(key.alias("key"), *[c for c in dealt.columns if c != "key"], "side")
 
 
-#: Links of a task that are held before they are reduced to those that still join the same nodes.
-MOST_LINKS = 500_000
-
-
-def forest(links: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that join the same nodes: from each node to the smallest that it is joined with."""
-    nodes, ends = np.unique(links[["a", "b"]].to_numpy(np.int64), return_inverse=True)
-    a, b = ends.reshape(-1, 2).T
-    head = np.arange(len(nodes))
-    while True:
-        before = head.copy()
-        np.minimum.at(head, a, before[b])
-        np.minimum.at(head, b, before[a])
-        head = head[head]
-        if (head == before).all():
-            break
-    other = head != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[other], "b": nodes[head[other]]})
-
-
-def thinned(links: DataFrame) -> DataFrame:
-    """Links that join the same nodes, reduced in as few tasks as MOST_LINKS allows. They are counted first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n > MOST_LINKS:
-                held = [forest(pd.concat(held))]
-                n = len(held[0])
-        if held:
-            yield forest(pd.concat(held))
-
-    return links.coalesce(links.count() // MOST_LINKS + 1).mapInPandas(run, "a long, b long")
-
-
-def joined(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of links (a, b), a written table: what one task can hold needs no rounds of shuffles."""
-    less = materialize(thinned(links))
-    if links.count() > MOST_LINKS:
-        return components(less)
-    return less.select(F.col("a").alias("node"), F.col("b").alias("component")).union(less.select("b", "b").distinct())
-
-
 def in_buckets(rows: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
     """Deals rows by key, sorts them by key and node, and gives compare() whole buckets of at least two rows, with their starts.
 

@@ -25,3 +25,24 @@ def test_default_margin_finds_all_links(spark, monkeypatch, spectrum, far):
     want = brute_components([(int(a), int(b)) for a, b in zip(*np.nonzero(tied))], range(len(vectors)))
     assert [got[i].n_links for i in range(len(vectors))] == tied.sum(1).tolist()
     assert [got[i].component_id for i in range(len(vectors))] == [want[i] for i in range(len(vectors))]
+
+
+@pytest.mark.parametrize("size, per_cell", [(3, 60), (8, 6), (64, 40)])
+def test_steps_across_boundaries(spark, monkeypatch, size, per_cell):
+    """Vectors near the middle between two others, stepped to either side of it, and a second vector length with cells of its own."""
+    draw = np.random.default_rng(size)
+    monkeypatch.setattr(embeddings, "PER_CELL", per_cell)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(draw.normal(size=(500, size)))
+    toward = unit(base[draw.permutation(500)] - base * 0.5)
+    steps = draw.choice([0.05, 0.15, 0.31], 500)[:, None]
+    vectors = np.vstack([base, unit(base + steps * toward), unit(base - steps * toward)]).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(10_000 + i, [float(x) for x in v] + [0.0]) for i, v in enumerate(vectors[:700])]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    for first, own in ((0, vectors), (10_000, vectors[:700])):
+        own = unit(own.astype(np.float64))
+        tied = own @ own.T >= 0.95
+        np.fill_diagonal(tied, False)
+        want = brute_components([(int(a), int(b)) for a, b in zip(*np.nonzero(tied))], range(len(own)))
+        assert [got[first + i].n_links for i in range(len(own))] == tied.sum(1).tolist()
+        assert [got[first + i].component_id for i in range(len(own))] == [first + want[i] for i in range(len(own))]
