@@ -217,18 +217,10 @@ class Vocabulary(dict):
         super().__init__()
         self.ranks = read_ranks(path)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
-        try:  # a compiled pair merge of one slice, equal to merge() and several times as fast
-            import public_tokenizers
-            import tiktoken
-
-            core = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-            self.merge = core._core_bpe.encode_single_piece
-        except (ImportError, AttributeError):
-            self.merge = lambda raw: merge(raw, self.ranks) if len(raw) <= HEAP_BYTES else merge_long(raw, self.ranks)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "surrogatepass")
-        ids = tuple(self.merge(raw))
+        ids = tuple(merge(raw, self.ranks) if len(raw) <= HEAP_BYTES else merge_long(raw, self.ranks))
         if len(self) >= CACHE_SLICES:
             self.clear()
         if len(piece) <= 64:
