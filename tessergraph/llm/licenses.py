@@ -235,7 +235,10 @@ def scan(text: str | None) -> list[tuple[str, float, int, int]]:
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each license part of each whole text: doc_id, license, coverage, start_word, end_word.
 
-    A document without any, with a null or an empty text, has one row of nulls. Repeated rows give repeated results.
+    A document without any, with a null or an empty text, has one row of nulls. Repeated rows give repeated results; a null
+    id stays null (as does the one id -2**63); an empty table gives no rows. Texts of any length are scanned whole: an
+    alignment takes a part of at most MAX_STRETCH times its template, and such a part also holds an eighth of the template's
+    word pairs. Of parts that overlap, the one with most aligned words stays. Other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

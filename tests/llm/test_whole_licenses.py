@@ -23,3 +23,36 @@ def test_rest_of_a_license_and_notices():
     assert [f[0] for f in licenses.scan(licenses.TEMPLATES["LGPL-2.1-header"])] == ["LGPL-2.1-header"]
     w = licenses.words_of(licenses.all_templates()["GPL-3-text"])
     assert [f[0] for f in licenses.scan(" ".join(w[: int(0.9 * len(w))]))] == ["GPL-3-text"]
+
+
+def longest_common(a, b):
+    """Plain dynamic programme, the most words that any alignment can have."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD", "Apache-header", "MPL-header", "ISC", "Unlicense", "MIT-disclaimer", "BSD-disclaimer"])
+def test_coverage_against_the_longest_common_subsequence(name):
+    draw, template = random.Random(name), licenses.words_of(licenses.TEMPLATES[name])
+    for share in (0.03, 0.08, 0.12, 0.4):
+        w = list(template)
+        for at in draw.sample(range(len(w)), int(share * len(w))):
+            w[at] = draw.choice([f"w{draw.randint(0, 99)}", "", f"{w[at]} w{draw.randint(0, 99)}"])
+        text = f"{prose(draw, 60)} {' '.join(w)} {prose(draw, 60)}"
+        words = licenses.words_of(text)
+        best = longest_common(words, template) / len(template)
+        found = [f for f in licenses.scan(text) if f[0] == name]
+        assert all(0.8 <= cover <= best + 1e-9 for _, cover, _, _ in found)
+        assert len(found) == (best >= 0.8) or 0.8 <= best < 0.86
+        if found:
+            assert found[0][1] >= best - 0.05 and 55 <= found[0][2] and found[0][3] <= len(words) - 55
+
+
+def test_very_long_text():
+    draw = random.Random(3)
+    text = " ".join([prose(draw, 150_000), licenses.TEMPLATES["MIT"], prose(draw, 150_000), licenses.all_templates()["GPL-2-text"], prose(draw, 10)])
+    assert [f[0] for f in licenses.scan(text)] == ["MIT", "GPL-2-text"]
