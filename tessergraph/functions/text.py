@@ -81,6 +81,13 @@ def json_object(content: Column) -> Column:
     return F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def answer_object(content: Column) -> Column:
+    """json_object() of a model's answer; an answer that holds no JSON object is an error."""
+    body = json_object(content)
+    bad = F.from_json(body, "map<string,string>").isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit("the answer is no JSON object: "), F.substring(F.coalesce(content, F.lit("null")), 1, 200)))).otherwise(body)
+
+
 def string_or_list(raw: Column) -> Column:
     """A JSON string as a list of one, a JSON list of strings as it is, anything else as an empty list."""
     trimmed = F.trim(raw)

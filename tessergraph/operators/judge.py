@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.functions.text import clamp, json_object, split_trimmed, string_or_list
+from tessergraph.functions.text import answer_object, clamp, split_trimmed, string_or_list
 
 IDS = ["dataset", "query_id"]
 ASSESSMENT = ["api_fit", "ku_support", "keep", "missing_needs"]
@@ -58,13 +58,15 @@ def chat_client(endpoint: str, model: str, key_env: str, timeout: float = 120) -
     return call
 
 
-def ask(df: DataFrame, call: Callable[[str, str, int], str], system: str, fields: list[str], max_tokens: int = 1200, name: str = "content") -> DataFrame:
-    """Adds a model's answer about the given fields of each row, asked from the executors."""
+def ask(
+    df: DataFrame, call: Callable[[str, str, int], str], system: str, fields: list[str], max_tokens: int = 1200, name: str = "content", nested: tuple[str, ...] = ()
+) -> DataFrame:
+    """Adds a model's answer about the given fields of each row, asked from the executors; nested fields hold JSON already."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {name} string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch[name] = [call(system, json.dumps({f: r[f] for f in fields}, ensure_ascii=False, default=str), max_tokens) for r in batch.to_dict("records")]
+            batch[name] = [call(system, json.dumps({f: json.loads(r[f]) if f in nested else r[f] for f in fields}, ensure_ascii=False, default=str), max_tokens) for r in batch.to_dict("records")]
             yield batch
 
     return df.mapInPandas(run, schema)
@@ -83,8 +85,8 @@ def parse_object(content: str) -> dict:
 
 
 def parse_labels(answers: DataFrame, content: str = "content") -> DataFrame:
-    """Adds identified_relevance, lamic_role, lamic_evidence and lamic_reasoning from label answers."""
-    body = json_object(F.col(content))
+    """Adds identified_relevance, lamic_role, lamic_evidence and lamic_reasoning from label answers; one without JSON is an error."""
+    body = answer_object(F.col(content))
     raw = F.from_json(body, "identified_relevance string, reasoning string")
     roles, clues = F.get_json_object(body, "$.roles"), F.get_json_object(body, "$.clues")
     bare = lambda x: F.when(F.trim(x).startswith("["), F.from_json(x, "array<string>"))
@@ -100,16 +102,19 @@ def parse_labels(answers: DataFrame, content: str = "content") -> DataFrame:
 
 
 def parse_relations(answers: DataFrame, content: str = "content") -> DataFrame:
-    """Adds relations from relation answers; an answer without any has an empty list."""
-    body = F.from_json(json_object(F.col(content)), "relations array<struct<relation:string, evidence_source:string, evidence_target:string>>")
+    """Adds relations from relation answers; an answer without any has an empty list, one without JSON is an error."""
+    body = F.from_json(answer_object(F.col(content)), "relations array<struct<relation:string, evidence_source:string, evidence_target:string>>")
     return answers.withColumn("relations", F.coalesce(body["relations"], F.from_json(F.lit("[]"), "array<struct<relation:string, evidence_source:string, evidence_target:string>>")))
 
 
 def parse_assessments(answers: DataFrame, content: str = "content") -> DataFrame:
-    """(ids..., pair_id, api_fit 0-3, ku_support 0-2, keep, missing_needs) from verifier answers; keep must be a JSON boolean."""
+    """(ids..., at, pair_id, api_fit 0-3, ku_support 0-2, keep, missing_needs) from verifier answers; keep must be a JSON boolean.
+
+    at: the place in the answer, of which the last on a pair counts. An answer without JSON is an error.
+    """
     item = "struct<pair_id:string, api_fit:string, ku_support:string, keep:string, missing_needs:string>"
-    body = F.from_json(json_object(F.col(content)), f"assessments array<{item}>")
-    rows = answers.select(*[c for c in answers.columns if c != content], F.explode(body["assessments"]).alias("_a"))
+    body = F.from_json(answer_object(F.col(content)), f"assessments array<{item}>")
+    rows = answers.select(*[c for c in answers.columns if c != content], F.posexplode(body["assessments"]).alias("at", "_a"))
     needs = F.when(F.col("_a.missing_needs").startswith("["), string_or_list(F.col("_a.missing_needs"))).otherwise(
         F.filter(F.array("_a.missing_needs"), lambda x: x.isNotNull() & ~x.rlike(r"^\s*(\{|-?\d|true$|false$|null$)"))
     )
@@ -131,10 +136,14 @@ def constant_verifier(asked: DataFrame, step: int) -> DataFrame:
 
 
 def replay_verifier(recorded: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
-    """Assessments from a table of (dataset, query_id, step, pair_id, ...); every asked pair must have one."""
+    """Assessments from a table of (dataset, query_id, step, pair_id, ...); every asked pair must have one.
+
+    Answers on pairs that were not asked about do not count. Of several on one pair the last does, by ``at`` if there is one.
+    """
 
     def verify(asked: DataFrame, step: int) -> DataFrame:
-        own = recorded.where(F.col("step") == step).select(*IDS, "pair_id", *ASSESSMENT)
+        last = F.max_by(F.struct(*ASSESSMENT), F.col("at") if "at" in recorded.columns else F.lit(0))
+        own = recorded.where(F.col("step") == step).groupBy(*IDS, "pair_id").agg(last.alias("_last")).select(*IDS, "pair_id", "_last.*")
         if not asked.join(own, [*IDS, "pair_id"], "left_anti").isEmpty():
             raise JudgeError("verification must score every pair it was asked about")
         return asked.select(*IDS, "pair_id").join(own, [*IDS, "pair_id"])
@@ -142,10 +151,10 @@ def replay_verifier(recorded: DataFrame) -> Callable[[DataFrame, int], DataFrame
     return verify
 
 
-def replay_policy(recorded: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+def replay_policy(recorded: DataFrame) -> Callable[..., DataFrame]:
     """Choices from a table of (dataset, query_id, step, action_id, reason); each must be a legal action."""
 
-    def choose(actions: DataFrame, step: int) -> DataFrame:
+    def choose(actions: DataFrame, step: int, seen: DataFrame | None = None) -> DataFrame:
         own = recorded.where(F.col("step") == step).select(*IDS, "action_id", "reason")
         live = actions.select(*IDS).distinct()
         if not live.join(own, IDS, "left_semi").join(actions.join(own.drop("reason"), [*IDS, "action_id"], "left_semi"), IDS, "left_anti").isEmpty():

@@ -370,8 +370,8 @@ disc AS (SELECT DISTINCT s.query_id, p.canonical_api AS api FROM seed s JOIN v_p
 
 
 def _seeded(spark, d):
-    scores = _scores(spark, d)
-    seeds = retrieve.initial(scores)
+    vectors = retrieve.materialize(adapters.queries(spark, d).select(*judge.IDS, "embedding")), retrieve.materialize(adapters.pair_vectors(spark, d).select("dataset", "pair_id", "embedding"))
+    scores, seeds = retrieve.scorer(vectors), retrieve.materialize(retrieve.initial(similarity.score_pairs(*vectors)))
     apis = adapters.pairs(spark, d).select("dataset", "pair_id", F.col("canonical_api").alias("api"))
     return scores, seeds.select(*judge.IDS, "pair_id"), seeds.join(apis, ["dataset", "pair_id"]).select(*judge.IDS, "api").distinct()
 
@@ -465,17 +465,19 @@ def judged_relation_edges(spark, d):
 
 def _retrieved(spark, d):
     nodes, edges = _graph(spark, d)
-    index = retrieve.make_index(adapters.pairs(spark, d), _scores(spark, d), nodes, edges)
+    vectors = adapters.queries(spark, d), adapters.pair_vectors(spark, d)
+    index = retrieve.make_index(adapters.pairs(spark, d), vectors, nodes, edges)
     asked = retrieve.materialize(adapters.queries(spark, d).select("dataset", "query_id", "query"))
     return asked, index, retrieve.retrieve(asked, index)
 
 
 def _unrolled(steps: int = 6, expansions: int = 3, batch: int = 6, cap: int = 30, top: int = 15) -> str:
     """The loop as common table expressions: states e (examined), d (discovered) and c (control) of each step."""
-    sql = with_views("v_scores", "v_roles", "v_api_links", "v_ku_links") + """, p AS MATERIALIZED (SELECT pair_id, canonical_api AS api FROM v_pairs), sc AS MATERIALIZED (SELECT query_id, pair_id, score FROM v_scores),
+    sql = with_views("v_scores", "v_roles", "v_api_links", "v_ku_links") + f""", p AS MATERIALIZED (SELECT pair_id, canonical_api AS api FROM v_pairs), sc AS MATERIALIZED (SELECT query_id, pair_id, score FROM v_scores),
     ro AS MATERIALIZED (SELECT * FROM v_roles), al AS MATERIALIZED (SELECT * FROM v_api_links), kl AS MATERIALIZED (SELECT * FROM v_ku_links),
     e0 AS MATERIALIZED (SELECT query_id, pair_id FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) <= 5),
-    d0 AS MATERIALIZED (SELECT DISTINCT query_id, api FROM e0 JOIN p USING (pair_id)), c0 AS MATERIALIZED (SELECT DISTINCT query_id, 0 AS x, false AS stopped FROM e0)"""
+    d0 AS MATERIALIZED (SELECT DISTINCT query_id, api FROM e0 JOIN p USING (pair_id)), c0 AS MATERIALIZED (SELECT DISTINCT query_id, 0 AS x, false AS stopped FROM e0),
+    w0 AS MATERIALIZED (SELECT query_id, pair_id FROM e0 JOIN sc USING (query_id, pair_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) <= {cap})"""
     for k in range(1, steps + 1):
         j = k - 1
         sql += f""",
@@ -493,9 +495,12 @@ def _unrolled(steps: int = 6, expansions: int = 3, batch: int = 6, cap: int = 30
       UNION ALL SELECT query_id, 'STOP', 'STOP', '' FROM c{j} WHERE NOT stopped AND query_id NOT IN (SELECT query_id FROM f{k} UNION ALL SELECT query_id FROM g{k} UNION ALL SELECT query_id FROM h{k})),
     e{k} AS MATERIALIZED (SELECT query_id, pair_id FROM e{j} UNION SELECT query_id, pair_id FROM r{k} UNION SELECT query_id, struct_extract(t, 5) FROM h{k}),
     d{k} AS MATERIALIZED (SELECT query_id, api FROM d{j} UNION SELECT query_id, struct_extract(t, 3) FROM g{k} UNION SELECT query_id, p.api FROM h{k} JOIN p ON p.pair_id = struct_extract(t, 5)),
+    w{k} AS MATERIALIZED (SELECT query_id, pair_id FROM (SELECT query_id, pair_id FROM w{j} UNION SELECT query_id, pair_id FROM r{k} UNION SELECT query_id, struct_extract(t, 5) FROM h{k}) JOIN sc USING (query_id, pair_id)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) <= {cap}),
+    x{k} AS MATERIALIZED (SELECT query_id, string_agg(pair_id, ',' ORDER BY pair_id) AS removed FROM w{j} WHERE NOT EXISTS (SELECT 1 FROM w{k} w WHERE w.query_id = w{j}.query_id AND w.pair_id = w{j}.pair_id) GROUP BY query_id),
     c{k} AS MATERIALIZED (SELECT c.query_id, c.x + CAST(coalesce(a.action IN ('EXPAND_API', 'EXPAND_KU'), false) AS INT) AS x, c.stopped OR coalesce(a.action = 'STOP', false) AS stopped FROM c{j} c LEFT JOIN a{k} a USING (query_id))"""
     return sql + f""",
-    t AS ({" UNION ALL ".join(f"SELECT query_id, {k} AS step, action, action_id, verified FROM a{k}" for k in range(1, steps + 1))}),
+    t AS ({" UNION ALL ".join(f"SELECT query_id, {k} AS step, action, action_id, verified, coalesce(removed, '') AS removed FROM a{k} LEFT JOIN x{k} USING (query_id)" for k in range(1, steps + 1))}),
     ranked AS (SELECT query_id, pair_id, api, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS place FROM e{steps} JOIN sc USING (query_id, pair_id) JOIN p USING (pair_id) QUALIFY place <= {top})
     """
 
@@ -506,15 +511,29 @@ def retrieve_heuristic(spark, d):
     return ranked.select("query_id", "place", "pair_id", "api", "score")
 
 
-@registered(_unrolled() + "SELECT query_id, step, action, action_id, verified FROM t")
+@registered(_unrolled() + "SELECT query_id, step, action, action_id, verified, removed FROM t")
 def retrieve_trace(spark, d):
     _, _, (_, state, _) = _retrieved(spark, d)
-    return state.trace.select("query_id", "step", "action", "action_id", F.array_join("verified_pair_ids", ",").alias("verified"))
+    return state.trace.select("query_id", "step", "action", "action_id", F.array_join("verified_pair_ids", ",").alias("verified"), F.array_join("removed_pair_ids", ",").alias("removed"))
 
 
-@registered()
+_LISTS = {"initial_pair_ids": ("e0", "pair_id", "score DESC, pair_id"), "observed_pair_ids": ("e6", "pair_id", "pair_id"), "candidate_pool_pair_ids": ("w6", "pair_id", "score DESC, pair_id"), "ranked_pair_ids": ("ranked", "pair_id", "place")}
+
+
+@registered(
+    _unrolled()
+    + ", "
+    + ", ".join(f"l{i} AS (SELECT query_id, string_agg(x.{c}, ',' ORDER BY {o}) AS {name} FROM {t} x {'JOIN sc USING (query_id, pair_id)' if 'score' in o else ''} GROUP BY query_id)" for i, (name, (t, c, o)) in enumerate(_LISTS.items()))
+    + """, l9 AS (SELECT query_id, string_agg(api, ',' ORDER BY api) AS discovered_apis FROM d6 GROUP BY query_id), n AS (SELECT query_id, count(*) AS events, string_agg(action, ',' ORDER BY step) AS actions FROM t GROUP BY query_id)
+    SELECT 'docs' AS dataset, query_id, q.query, initial_pair_ids, observed_pair_ids, candidate_pool_pair_ids, ranked_pair_ids, discovered_apis, events, actions
+    FROM v_queries q JOIN l0 USING (query_id) JOIN l1 USING (query_id) JOIN l2 USING (query_id) JOIN l3 USING (query_id) JOIN l9 USING (query_id) JOIN n USING (query_id)"""
+)
 def retrieve_results(spark, d):
-    """The nested result rows, as JSON."""
+    """The nested result rows, their lists joined."""
     asked, index, (ranked, state, seeds) = _retrieved(spark, d)
     rows = retrieve.results(asked, index, ranked, state, seeds)
-    return rows.select("dataset", "query_id", F.to_json(F.struct(*[c for c in rows.columns if c not in judge.IDS])).alias("result"))
+    joined = lambda name: F.array_join(name, ",").alias(name)
+    return rows.select(
+        "dataset", "query_id", "query", joined("initial_pair_ids"), joined("observed_pair_ids"), joined("candidate_pool_pair_ids"), F.array_join("ranked_pairs.pair_id", ",").alias("ranked_pair_ids"),
+        joined("discovered_apis"), F.size("trace").cast("long").alias("events"), F.array_join("trace.action", ",").alias("actions"),
+    )

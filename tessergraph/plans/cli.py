@@ -16,7 +16,7 @@ from tessergraph.functions.relations import DATASETS
 from tessergraph.functions.text import pair_text
 from tessergraph.operators import build as builder
 from tessergraph.operators import judge, similarity
-from tessergraph.operators.candidates import candidate_rows, ku_candidates
+from tessergraph.operators.candidates import candidate_rows, ku_candidates, ordered
 from tessergraph.operators.collect import PAIR_COLUMNS, REFERENCE_COLUMNS, collect
 from tessergraph.plans import release, retrieve
 from tessergraph.sources.files import dataset_paths, load_graph, read_csv, write_csv, write_json
@@ -53,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     four.add_argument("--verifier", choices=("similarity", "llm"), default="llm")
     for name, value in (("max-actions", 6), ("max-expansions", 3), ("read-batch", 6), ("candidate-cap", 30)):
         four.add_argument(f"--{name}", type=int, default=value)
+    for sub in (one, two, three, four):
+        sub.add_argument("--shared-dir", help="a folder that the driver and all executors share, for intermediates")
     for sub in (two, three, four):
         sub.add_argument("--endpoint")
         sub.add_argument("--chat-model")
@@ -100,7 +102,8 @@ def run_build(spark: SparkSession, args) -> dict:
     judged = None
     if args.run_llm:
         admitted = builder.default_dataset(builder.admit(pairs))
-        rows = candidate_rows(admitted, ku_candidates(admitted, args.same_api_k, args.cross_api_k)).withColumn("_ord", F.monotonically_increasing_id())
+        found = retrieve.materialize(ordered(ku_candidates(admitted, args.same_api_k, args.cross_api_k)))
+        rows = candidate_rows(admitted, found)
         judged = judge.parse_relations(judge.ask(rows, client(args), judge.RELATION_PROMPT, ["left_api", "left_ku", "right_api", "right_ku"]))
     nodes, edges = builder.build(pairs, judged=judged, **others)
     write_csv(nodes.withColumn("_ord", F.struct(F.col("kind"), F.coalesce("_ord", F.lit(0)), F.col("api"))), f"{args.output}/nodes.csv", builder.NODE_COLUMNS)
@@ -117,18 +120,20 @@ def judges(args) -> dict:
         def verify(asked, step):
             item = F.struct("pair_id", F.col("canonical_api").alias("api"), F.col("ku").alias("knowledge_unit"))
             batch = asked.groupBy(*judge.IDS, "query").agg(F.to_json(F.collect_list(item)).alias("pairs"))
-            found = judge.parse_assessments(judge.ask(batch, call, judge.VERIFY_PROMPT, ["query", "pairs"], 3000)).select(*judge.IDS, "pair_id", *judge.ASSESSMENT)
+            answers = judge.ask(batch, call, judge.VERIFY_PROMPT, ["query", "pairs"], 3000, nested=("pairs",))
+            found = judge.parse_assessments(answers).select(*judge.IDS, "at", "pair_id", *judge.ASSESSMENT)
             return judge.replay_verifier(retrieve.materialize(found.withColumn("step", F.lit(step))))(asked, step)
 
         out["verify"] = verify
     if args.controller == "llm":
         call = client(args)
 
-        def choose(actions, step):
-            item = F.struct("place", "action_id", "type", "pair_ids", "target_api", "target_pair")
-            batch = actions.groupBy(*judge.IDS).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("legal_actions"))
-            answers = judge.ask(batch, call, judge.CONTROL_PROMPT, ["legal_actions"])
-            picked = F.from_json(judge.json_object(F.col("content")), "action_id string, reason string")
+        def choose(actions, step, seen):
+            item = F.struct("place", F.struct(F.col("action_id").alias("id"), "type", "role", "pair_ids", F.col("target_api").alias("target"), "target_pair").alias("action"))
+            listed = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["action"])
+            batch = actions.groupBy(*judge.IDS).agg(F.to_json(listed).alias("legal_actions")).join(seen.withColumn("evidence", F.to_json("evidence")), judge.IDS)
+            answers = judge.ask(batch, call, judge.CONTROL_PROMPT, ["query", "evidence", "legal_actions"], nested=("evidence", "legal_actions"))
+            picked = F.from_json(judge.answer_object(F.col("content")), "action_id string, reason string")
             own = answers.select(*judge.IDS, F.lit(step).alias("step"), picked["action_id"].alias("action_id"), F.coalesce(picked["reason"], F.lit("")).alias("reason"))
             return judge.replay_policy(retrieve.materialize(own))(actions, step)
 
@@ -154,8 +159,8 @@ def run_retrieve(spark: SparkSession, args) -> dict:
         pairs = read_csv(spark, paths["pairs"]).withColumn("dataset", F.lit(name))
         nodes, edges = load_graph(spark, paths["nodes"], paths["edges"])
         own = queries.where(F.col("dataset") == name)
-        scores = similarity.score_pairs(similarity.with_vectors(own, F.col("query")), similarity.with_vectors(pairs, pair_text(pairs.columns)))
-        found = retrieve.run(own, pairs, scores, nodes, edges, budget, **judges(args)).orderBy("query_id")
+        vectors = similarity.with_vectors(own, F.col("query")), similarity.with_vectors(pairs, pair_text(pairs.columns))
+        found = retrieve.run(own, pairs, vectors, nodes, edges, budget, **judges(args)).orderBy("query_id")
         report += [json.loads(r) for r in found.toJSON().collect()]  # one row a query
     path = Path(args.output) / ("results.json" if args.all else f"{args.dataset}.json")
     write_json(path, report)
@@ -165,6 +170,8 @@ def run_retrieve(spark: SparkSession, args) -> dict:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tessergraph").getOrCreate()
+    if args.shared_dir:
+        spark.conf.set("spark.checkpoint.dir", args.shared_dir)
     spark.conf.set("spark.sql.caseSensitive", "true")  # files may have columns that differ in case only
     runs = {"collect": run_collect, "label": run_label, "build": run_build, "retrieve": run_retrieve}
     print(json.dumps(runs[args.command](spark, args), ensure_ascii=False))

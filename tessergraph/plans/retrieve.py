@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tessergraph.operators import graph
 from tessergraph.operators.judge import ASSESSMENT, IDS, constant_verifier
-from tessergraph.sources.durable import materialize
+from tessergraph.functions.text import preview
+from tessergraph.operators.similarity import dot, score_pairs
+from tessergraph.sources.durable import drop_materialized, materialize
 
 SEED, TOP = 5, 15
 
@@ -61,10 +63,22 @@ def cap_pool(pool: DataFrame, cap: int) -> DataFrame:
     return pool.withColumn("place", place).where(F.col("place") <= cap)
 
 
-def read_actions(pairs: DataFrame, roles: DataFrame, scores: DataFrame, examined: DataFrame, discovered: DataFrame, batch: int) -> DataFrame:
+def scorer(scores: DataFrame | tuple[DataFrame, DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``score`` to rows (ids, pair_id): from a table of scores, or from the vectors of queries and of pairs.
+
+    With vectors only the scores that are asked for are ever worked out; no table of all queries and pairs is kept.
+    """
+    if isinstance(scores, DataFrame):
+        return lambda rows: rows.join(scores.select(*IDS, "pair_id", "score"), [*IDS, "pair_id"])
+    asked = scores[0].select(*IDS, F.col("embedding").alias("_q"))
+    held = scores[1].select("dataset", "pair_id", F.col("embedding").alias("_p"))
+    return lambda rows: rows.join(asked, IDS).join(held, ["dataset", "pair_id"]).withColumn("score", dot("_q", "_p")).drop("_q", "_p")
+
+
+def read_actions(pairs: DataFrame, roles: DataFrame, scored: Callable[[DataFrame], DataFrame], examined: DataFrame, discovered: DataFrame, batch: int) -> DataFrame:
     """(ids, api, role, pair_ids): unread pairs of discovered APIs by role, the best ``batch`` of each. A pair without a role has ``all``."""
     unread = discovered.join(pairs.select("dataset", F.col("canonical_api").alias("api"), "pair_id"), ["dataset", "api"]).join(examined, [*IDS, "pair_id"], "left_anti")
-    by_role = unread.join(roles, "pair_id", "left").withColumn("role", F.coalesce("role", F.lit("all"))).join(scores, [*IDS, "pair_id"])
+    by_role = scored(unread).join(roles, "pair_id", "left").withColumn("role", F.coalesce("role", F.lit("all")))
     place = F.row_number().over(Window.partitionBy(*IDS, "api", "role").orderBy(F.desc("score"), "pair_id"))
     best = by_role.withColumn("place", place).where(F.col("place") <= batch)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "pair_id"))), lambda x: x["pair_id"])
@@ -77,7 +91,7 @@ def legal_actions(state: State, index: Index, budget: Budget) -> DataFrame:
     open_ = live.where(F.col("expanded") < budget.max_expansions).select(*IDS)
     none = F.lit(None).cast("string")
     blank = F.array().cast("array<string>")
-    reads = read_actions(index.pairs, index.roles, index.scores, state.examined, state.discovered.join(live.select(*IDS), IDS, "left_semi"), budget.read_batch)
+    reads = read_actions(index.pairs, index.roles, index.scored, state.examined, state.discovered.join(live.select(*IDS), IDS, "left_semi"), budget.read_batch)
     reads = reads.select(
         *IDS, F.lit("READ_API").alias("type"), F.concat_ws(":", F.lit("READ_API"), "api", "role").alias("action_id"), "role", "pair_ids",
         none.alias("target_api"), none.alias("target_pair"), F.struct(F.lit(0).alias("k"), F.col("api").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.col("role").alias("b"), F.lit("").alias("c")).alias("place"),
@@ -99,7 +113,7 @@ def legal_actions(state: State, index: Index, budget: Budget) -> DataFrame:
     return reads.unionByName(apis).unionByName(units).unionByName(stop)
 
 
-def heuristic_policy(actions: DataFrame, step: int) -> DataFrame:
+def heuristic_policy(actions: DataFrame, step: int, seen: DataFrame | None = None) -> DataFrame:
     """The first action in order: reading, then APIs, then units, then stopping."""
     reason = F.coalesce(*[F.when(F.col("type") == t, F.lit(r)) for t, r in REASONS.items()])
     return graph.first_per(actions, IDS, ["place"]).withColumn("reason", reason)
@@ -110,7 +124,8 @@ class Index:
     """What all queries share."""
 
     pairs: DataFrame  # dataset, pair_id, canonical_api, ku
-    scores: DataFrame  # dataset, query_id, pair_id, score
+    best: DataFrame  # dataset, query_id, pair_id, score, place of each query's first pairs
+    scored: Callable[[DataFrame], DataFrame]  # adds score to rows (ids, pair_id)
     roles: DataFrame  # pair_id, role
     api_links: DataFrame
     ku_links: DataFrame
@@ -123,68 +138,117 @@ class State:
     assessed: DataFrame  # ids, pair_id, assessment
     pool: DataFrame  # ids, pair_id, place
     control: DataFrame  # ids, expanded, stopped
-    trace: DataFrame | None = None
+    trace: DataFrame
+    held: DataFrame  # the table that all parts are read from
 
 
-def make_index(pairs: DataFrame, scores: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
-    """Pairs are unique by (dataset, pair_id): the last row of an id counts."""
+def make_index(pairs: DataFrame, scores: DataFrame | tuple[DataFrame, DataFrame], nodes: DataFrame, edges: DataFrame) -> Index:
+    """Pairs are unique by (dataset, pair_id): the last row of an id counts. scores: a table, or the vectors of queries and pairs."""
+    if isinstance(scores, DataFrame):
+        known_scores = every = materialize(scores)
+    else:
+        known_scores = materialize(scores[0].select(*IDS, "embedding")), materialize(scores[1].select("dataset", "pair_id", "embedding"))
+        every = score_pairs(*known_scores)
     held = pairs.groupBy("dataset", "pair_id").agg(F.max_by(F.struct("canonical_api", "ku"), "_ord").alias("_row")).select("dataset", "pair_id", "_row.*")
-    nodes, edges = graph.index_nodes(nodes), graph.index_edges(edges)
+    nodes, edges = materialize(graph.index_nodes(nodes)), materialize(graph.index_edges(edges))  # read three times
+    held = materialize(held)
     links = graph.ku_links(nodes, edges)
     known = held.select(F.col("pair_id").alias("target")).distinct()
-    return Index(
-        materialize(held),
-        materialize(scores),
+    index = Index(
+        held,
+        materialize(initial(every)),
+        scorer(known_scores),
         materialize(graph.roles_by_pair(nodes, edges)),
         materialize(graph.api_links(nodes, edges)),
         materialize(links.join(known, "target", "left_semi")),
     )
+    drop_materialized(nodes)
+    drop_materialized(edges)
+    return index
 
 
 def _asked(rows: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
     return rows.select(*IDS, "pair_id").join(index.pairs, ["dataset", "pair_id"]).join(queries.select(*IDS, "query"), IDS)
 
 
+EVENT = "step int, action string, action_id string, reason string, role string, read_pair_ids array<string>, returned_pair_ids array<string>, returned_api_ids array<string>, verified_pair_ids array<string>, removed_pair_ids array<string>"
+
+
+def _saved(**parts: DataFrame) -> State:
+    """Writes all parts of a state as one table, a struct column for each, and reads them from it."""
+    rows = None
+    for name, df in parts.items():
+        own = df.select(F.lit(name).alias("part"), *IDS, F.struct(*[c for c in df.columns if c not in IDS]).alias(name))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    held = materialize(rows)
+    return State(**{name: held.where(F.col("part") == name).select(*IDS, f"{name}.*") for name in parts}, held=held)
+
+
+def evidence(state: State, index: Index, queries: DataFrame) -> DataFrame:
+    """(ids, query, evidence): what a policy is shown of each query's pool, best first."""
+    shown = index.scored(state.pool).join(index.pairs, ["dataset", "pair_id"]).join(state.assessed, [*IDS, "pair_id"])
+    item = preview(F.col("pair_id"), F.col("canonical_api"), F.col("score"), F.col("ku"))
+    rows = shown.select(*IDS, F.struct("place", F.struct(*[item[c].alias(c) for c in ("pair_id", "api", "score", "knowledge_unit")], "api_fit", "ku_support", "missing_needs").alias("shown")).alias("item"))
+    listed = rows.groupBy(*IDS).agg(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["shown"]).alias("evidence"))
+    kind = listed.schema["evidence"].dataType.simpleString()
+    return queries.select(*IDS, "query").join(listed, IDS, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(kind)))
+
+
 def retrieve(
     queries: DataFrame,
     index: Index,
     budget: Budget = Budget(),
     verify: Callable[[DataFrame, int], DataFrame] = constant_verifier,
-    choose: Callable[[DataFrame, int], DataFrame] = heuristic_policy,
+    choose: Callable[[DataFrame, int, DataFrame], DataFrame] = heuristic_policy,
 ) -> tuple[DataFrame, State, DataFrame]:
-    """(ranked, state, seeds): ranked is (ids, place, pair_id, api, score, assessment) of each query's best pairs; see results()."""
+    """(ranked, state, seeds): ranked is (ids, place, pair_id, api, score, assessment) of each query's best pairs; see results().
+
+    verify gets the asked pairs and the step; choose the legal actions, the step and evidence(). A step is two written tables,
+    which go with the next one; the loop ends early when every query has stopped.
+    """
     apis = index.pairs.select("dataset", "pair_id", F.col("canonical_api").alias("api"))
-    seeds = materialize(initial(index.scores).join(queries.select(*IDS), IDS, "left_semi").select(*IDS, "pair_id", "score", "place"))
-    assessed = materialize(verify(_asked(seeds, index, queries), 0).select(*IDS, "pair_id", *ASSESSMENT))
-    state = State(
+    seeds = materialize(index.best.join(queries.select(*IDS), IDS, "left_semi").select(*IDS, "pair_id", "score", "place"))
+    assessed = _answers(verify, _asked(seeds, index, queries), 0)
+    state = _saved(
         examined=seeds.select(*IDS, "pair_id"),
-        discovered=materialize(seeds.join(apis, ["dataset", "pair_id"]).select(*IDS, "api").distinct()),
+        discovered=seeds.join(apis, ["dataset", "pair_id"]).select(*IDS, "api").distinct(),
         assessed=assessed,
-        pool=materialize(cap_pool(accepted(assessed).join(index.scores, [*IDS, "pair_id"]), budget.candidate_cap).select(*IDS, "pair_id", "place")),
+        pool=cap_pool(index.scored(accepted(assessed)), budget.candidate_cap).select(*IDS, "pair_id", "place"),
         control=queries.select(*IDS, F.lit(0).alias("expanded"), F.lit(False).alias("stopped")),
+        trace=queries.sparkSession.createDataFrame([], f"dataset string, query_id int, {EVENT}").select(*[F.col(c).cast(queries.schema[c].dataType) for c in IDS], *[c.split()[0] for c in EVENT.split(", ")]),
     )
     for step in range(1, budget.max_actions + 1):
         state = _step(state, index, queries, budget, verify, choose, step)
+        if state.control.where(~F.col("stopped")).isEmpty():
+            break
     retained = state.pool
-    final = verify(_asked(retained, index, queries), budget.max_actions + 1).select(*IDS, "pair_id", *ASSESSMENT)
-    again = retained.join(final, [*IDS, "pair_id"]).join(index.scores, [*IDS, "pair_id"]).join(apis, ["dataset", "pair_id"])
+    final = _answers(verify, _asked(retained, index, queries), budget.max_actions + 1)
+    again = index.scored(retained.join(final, [*IDS, "pair_id"])).join(apis, ["dataset", "pair_id"])
     place = F.row_number().over(window(*rank_key([F.col("retained_place"), F.desc("score")])))
     ranked = again.withColumnRenamed("place", "retained_place").withColumn("place", place).where(F.col("place") <= TOP)
     return ranked.select(*IDS, "place", "pair_id", "api", "score", *ASSESSMENT), state, seeds
 
 
+def _answers(verify: Callable, asked: DataFrame, step: int) -> DataFrame:
+    """A verifier's assessments, written if they are more than constants."""
+    found = verify(asked, step).select(*IDS, "pair_id", *ASSESSMENT)
+    return found if verify is constant_verifier else materialize(found)
+
+
 def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify: Callable, choose: Callable, step: int) -> State:
     apis = index.pairs.select("dataset", "pair_id", F.col("canonical_api").alias("api"))
-    chosen = materialize(choose(legal_actions(state, index, budget), step).select(*IDS, "type", "action_id", "reason", "role", "pair_ids", "target_api", "target_pair"))
+    actions = legal_actions(state, index, budget)
+    actions = actions if choose is heuristic_policy else materialize(actions)
+    chosen = choose(actions, step, evidence(state, index, queries))
+    chosen = materialize(chosen.select(*IDS, "type", "action_id", "reason", "role", "pair_ids", "target_api", "target_pair"))
     returned = chosen.select(
         *IDS, F.posexplode(F.when(F.col("type") == "READ_API", F.col("pair_ids")).when(F.col("type") == "EXPAND_KU", F.array("target_pair")).otherwise(F.array().cast("array<string>"))).alias("at", "pair_id")
     )
-    new = verify(_asked(returned, index, queries), step).select(*IDS, "pair_id", *ASSESSMENT)
-    new = materialize(new)
-    assessed = materialize(state.assessed.join(new, [*IDS, "pair_id"], "left_anti").unionByName(new))
+    new = _answers(verify, _asked(returned, index, queries), step)
+    assessed = state.assessed.join(new, [*IDS, "pair_id"], "left_anti").unionByName(new)
     taken = accepted(new).select(*IDS, "pair_id")
     members = state.pool.select(*IDS, "pair_id").unionByName(taken).distinct()
-    pool = materialize(cap_pool(members.join(assessed, [*IDS, "pair_id"]).join(index.scores, [*IDS, "pair_id"]), budget.candidate_cap).select(*IDS, "pair_id", "place"))
+    pool = cap_pool(index.scored(members.join(assessed, [*IDS, "pair_id"])), budget.candidate_cap).select(*IDS, "pair_id", "place")
     lost = state.pool.select(*IDS, "pair_id").join(pool, [*IDS, "pair_id"], "left_anti")
     removed = returned.select(*IDS, "pair_id").join(taken, [*IDS, "pair_id"], "left_anti").unionByName(lost).groupBy(*IDS).agg(F.sort_array(F.collect_set("pair_id")).alias("removed"))
     blank = F.array().cast("array<string>")
@@ -204,14 +268,17 @@ def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify
         (F.col("expanded") + F.coalesce(F.col("_did").isin("EXPAND_API", "EXPAND_KU").cast("int"), F.lit(0))).alias("expanded"),
         (F.col("stopped") | F.coalesce(F.col("_did") == "STOP", F.lit(False))).alias("stopped"),
     )
-    return State(
-        examined=materialize(state.examined.unionByName(returned.select(*IDS, "pair_id")).distinct()),
-        discovered=materialize(state.discovered.unionByName(found).distinct()),
+    out = _saved(
+        examined=state.examined.unionByName(returned.select(*IDS, "pair_id")).distinct(),
+        discovered=state.discovered.unionByName(found).distinct(),
         assessed=assessed,
         pool=pool,
-        control=materialize(control),
-        trace=materialize(event if state.trace is None else state.trace.unionByName(event)),
+        control=control,
+        trace=state.trace.unionByName(event),
     )
+    for df in (state.held, actions, chosen, new):
+        drop_materialized(df)
+    return out
 
 
 def results(queries: DataFrame, index: Index, ranked: DataFrame, state: State, seeds: DataFrame) -> DataFrame:
@@ -240,7 +307,7 @@ def results(queries: DataFrame, index: Index, ranked: DataFrame, state: State, s
     return out
 
 
-def run(queries: DataFrame, pairs: DataFrame, scores: DataFrame, nodes: DataFrame, edges: DataFrame, budget: Budget = Budget(), **judges) -> DataFrame:
+def run(queries: DataFrame, pairs: DataFrame, scores: DataFrame | tuple[DataFrame, DataFrame], nodes: DataFrame, edges: DataFrame, budget: Budget = Budget(), **judges) -> DataFrame:
     index = make_index(pairs, scores, nodes, edges)
     ranked, state, seeds = retrieve(queries, index, budget, **judges)
     return results(queries, index, ranked, state, seeds)
