@@ -16,23 +16,37 @@ from pyspark.sql import functions as F
 from tessergraph.functions.text import split_trimmed
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+#: Rows that Spark numbers in one task; ``_ord`` is a file's rank times this and the row's number.
+FILE_ROWS = 1 << 33
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of strings with ``_ord``; a byte-order mark before the first column's name is dropped."""
+    """Rows of strings with ``_ord``: files by their path, rows as they stand in them, whatever files Spark reads together.
+
+    A byte-order mark before the first column's name is dropped.
+    """
     raw = spark.read.options(**CSV).csv(str(path))
-    named = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
-    filled = named.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in named.columns])
-    return filled.withColumn("_ord", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(FILE_ROWS - 1))
+    named = raw.select("*", F.col("_metadata.file_path"), place).toDF(*[c.lstrip("\ufeff") for c in raw.columns], "__file", "__place")
+    filled = named.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in named.columns[:-2]], "__file", "__place")
+    if len(raw.inputFiles()) < 2:
+        return filled.withColumn("_ord", F.col("__place")).drop("__file", "__place")
+    paths = sorted(r[0] for r in raw.select("_metadata.file_path").distinct().collect())  # a row a file
+    ranks = spark.createDataFrame(list(enumerate(paths)), "__rank long, __file string")
+    ranked = filled.join(F.broadcast(ranks), "__file")
+    return ranked.withColumn("_ord", F.col("__rank") * FILE_ROWS + F.col("__place")).drop("__rank", "__file", "__place")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One folder of CSV with a header, in file order; columns that df lacks are empty, other ones are left out."""
+    """A folder of CSV files with headers, each a range of the order, by name; read_csv() reads them in that order.
+
+    Columns that df lacks are empty, other ones are left out. A table that is small gives one file.
+    """
     columns = columns or [c for c in df.columns if c != "_ord"]
     ordered = df.orderBy("_ord") if "_ord" in df.columns else df
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
     options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
-    ordered.select(*cells).coalesce(1).write.mode("overwrite").options(**options).csv(str(path))
+    ordered.select(*cells).write.mode("overwrite").options(**options).csv(str(path))
 
 
 def write_json(path: str | Path, value) -> None:
