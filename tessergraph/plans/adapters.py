@@ -23,7 +23,7 @@ def specification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tutorial(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("")
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("_ord"), F.col("source").alias("api"), F.col("text").alias("ku"), canonical.alias("canonical_api"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_ord"), F.col("source").alias("api"), F.col("text").alias("ku"), canonical.alias("canonical_api"))
 
 
 def stackoverflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEWS = {
     "v_spec": ([], "SELECT item_id AS _ord, upper('src' || (item_id % 25)) AS api, text AS description, 'item' || item_id AS origin FROM benchmark"),
-    "v_tutorial": ([], "SELECT doc_id AS _ord, source AS api, text AS ku, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS canonical_api FROM documents WHERE lang = 'en'"),
+    "v_tutorial": ([], "SELECT doc_id AS _ord, source AS api, text AS ku, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS canonical_api FROM documents"),
     "v_stackoverflow": ([], "SELECT conv_id * 1000 + turn AS _ord, role AS api, text AS answer FROM conversations"),
     "v_pairs": (
         [],

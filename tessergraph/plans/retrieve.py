@@ -9,7 +9,7 @@ to the smaller pair id.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,8 +124,8 @@ class Index:
     """What all queries share."""
 
     pairs: DataFrame  # dataset, pair_id, canonical_api, ku
-    best: DataFrame  # dataset, query_id, pair_id, score, place of each query's first pairs
-    scored: Callable[[DataFrame], DataFrame]  # adds score to rows (ids, pair_id)
+    best: DataFrame | None  # dataset, query_id, pair_id, score, place of each query's first pairs
+    scored: Callable[[DataFrame], DataFrame] | None  # adds score to rows (ids, pair_id)
     roles: DataFrame  # pair_id, role
     api_links: DataFrame
     ku_links: DataFrame
@@ -145,10 +145,20 @@ class State:
 def make_index(pairs: DataFrame, scores: DataFrame | tuple[DataFrame, DataFrame], nodes: DataFrame, edges: DataFrame) -> Index:
     """Pairs are unique by (dataset, pair_id): the last row of an id counts. scores: a table, or the vectors of queries and pairs."""
     if isinstance(scores, DataFrame):
-        known_scores = every = materialize(scores)
+        scores = materialize(scores)
     else:
-        known_scores = materialize(scores[0].select(*IDS, "embedding")), materialize(scores[1].select("dataset", "pair_id", "embedding"))
-        every = score_pairs(*known_scores)
+        scores = materialize(scores[0].select(*IDS, "embedding")), materialize(scores[1].select("dataset", "pair_id", "embedding"))
+    return with_scores(graph_index(pairs, nodes, edges), scores)
+
+
+def with_scores(index: Index, scores: DataFrame | tuple[DataFrame, DataFrame]) -> Index:
+    """The index with the scores of some queries: a written table of them, or the written vectors of queries and pairs."""
+    every = scores if isinstance(scores, DataFrame) else score_pairs(*scores)
+    return replace(index, best=materialize(initial(every)), scored=scorer(scores))
+
+
+def graph_index(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
+    """What does not depend on the queries; with_scores() adds the rest."""
     held = pairs.groupBy("dataset", "pair_id").agg(F.max_by(F.struct("canonical_api", "ku"), "_ord").alias("_row")).select("dataset", "pair_id", "_row.*")
     nodes, edges = materialize(graph.index_nodes(nodes)), materialize(graph.index_edges(edges))  # read three times
     held = materialize(held)
@@ -156,8 +166,8 @@ def make_index(pairs: DataFrame, scores: DataFrame | tuple[DataFrame, DataFrame]
     known = held.select(F.col("pair_id").alias("target")).distinct()
     index = Index(
         held,
-        materialize(initial(every)),
-        scorer(known_scores),
+        None,
+        None,
         materialize(graph.roles_by_pair(nodes, edges)),
         materialize(graph.api_links(nodes, edges)),
         materialize(links.join(known, "target", "left_semi")),

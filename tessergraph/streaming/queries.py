@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessergraph.operators.similarity import score_pairs
 from tessergraph.plans import retrieve
+from tessergraph.sources.durable import drop_materialized
 
 
 def retrieve_stream(queries: DataFrame, pairs: DataFrame, nodes: DataFrame, edges: DataFrame, output: str, checkpoint: str, budget: retrieve.Budget = retrieve.Budget()) -> StreamingQuery:
-    """Appends a result row for each query of a stream (dataset, query_id, query, embedding) to a Parquet folder."""
+    """Writes a result row for each query of a stream (dataset, query_id, query, embedding) to Parquet folders ``batch=N``.
+
+    The index is written once, before the stream starts. A micro-batch that is run again replaces its own folder.
+    """
+    index = retrieve.graph_index(pairs, nodes, edges)
+    vectors = retrieve.materialize(pairs.select("dataset", "pair_id", "embedding"))
 
     def batch(rows: DataFrame, number: int) -> None:
-        if not rows.isEmpty():
-            rows = retrieve.materialize(rows)
-            found = retrieve.run(rows.select("dataset", "query_id", "query"), pairs, score_pairs(rows, pairs), nodes, edges, budget)
-            found.write.mode("append").parquet(output)
+        if rows.isEmpty():
+            return
+        rows = retrieve.materialize(rows)
+        own = retrieve.with_scores(index, (rows.select(*retrieve.IDS, "embedding"), vectors))
+        asked = rows.select(*retrieve.IDS, "query")
+        ranked, state, seeds = retrieve.retrieve(asked, own, budget)
+        retrieve.results(asked, own, ranked, state, seeds).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        for df in (rows, own.best, state.held):
+            drop_materialized(df)
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
