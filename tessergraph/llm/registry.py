@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessergraph.llm import bpe, chat, decontamination, embeddings, html, licenses, packing, quality, sharding, simhash, substrings
+from tessergraph.llm import bpe, chat, decontamination, embeddings, html, licenses, packing, phrases, quality, sharding, simhash, substrings
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sharding": sharding.query,
         "op9_chat_format": chat.query,
         "op10_quality_rules": quality.query,
+        "op11_phrase_mining": phrases.query,
         "op12_decontamination": decontamination.query,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
         "op6_substring_dedup": substrings.ORACLE_SQL,
         "op9_chat_format": chat.ORACLE_SQL,
         "op10_quality_rules": quality.ORACLE_SQL,
+        "op11_phrase_mining": phrases.ORACLE_SQL,
         "op12_decontamination": decontamination.ORACLE_SQL,
     }
