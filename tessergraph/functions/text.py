@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The ranges of code points that count as white space.
 SPACES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
@@ -31,9 +31,27 @@ def first_nonempty(columns: list[str], names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names if c in columns], F.lit(""))
 
 
-@F.pandas_udf(StringType())
-def casefold(value: pd.Series) -> pd.Series:
-    return value.str.casefold()
+@cache
+def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Full case folding, by the rule of the language's own string type: characters that become one other, those, and those that become several."""
+    folds = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c}
+    single = [c for c, f in folds.items() if len(f) == 1]
+    return "".join(single), "".join(folds[c] for c in single), tuple((c, f) for c, f in folds.items() if len(f) > 1)
+
+
+def casefold(value: Column | str) -> Column:
+    """Full Unicode case folding as a column: one look-up a character, and the few that grow replaced one by one where a text has any.
+
+    ASCII text, whose length in bytes is that in characters, is only lower-cased. ``ß`` is replaced by itself, as it is common.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    source, target, growing = _folding()
+    ascii_ = source + "".join(map(chr, range(ord("A"), ord("Z") + 1))), target + "".join(map(chr, range(ord("a"), ord("z") + 1)))
+    rare = [(c, f) for c, f in growing if c != "ß"]
+    table = F.create_map(*[F.lit(x) for pair in rare for x in pair])
+    letters = F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(table, c), c))
+    grown = F.when(value.rlike("[" + "".join(c for c, _ in rare) + "]"), F.array_join(letters, "")).otherwise(value)
+    return F.when(F.octet_length(value) == F.char_length(value), F.lower(value)).otherwise(F.translate(F.replace(grown, F.lit("ß"), F.lit("ss")), *ascii_))
 
 
 def tokens(value: Column) -> Column:
