@@ -35,6 +35,12 @@ def default_dataset(admitted: DataFrame) -> DataFrame:
     return admitted.join(F.broadcast(first)).withColumn("dataset", F.coalesce(F.nullif(own, F.lit("")), name)).withColumn("_graph", name).drop("_first")  # one row
 
 
+def own_datasets(admitted: DataFrame) -> DataFrame:
+    """Keeps each row's own data set, for a build of many data sets at once; blank ones become ``dataset``."""
+    name = F.coalesce(F.nullif(normalize_ends(column(admitted, "dataset")), F.lit("")), F.lit("dataset"))
+    return admitted.withColumn("dataset", name).withColumn("_graph", name)
+
+
 def api_nodes(admitted: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """A node for each API: owner and description from its reference row, or else from its first pair, as a whole record."""
     fields = ("canonical_owner", "reference", "reference_origin")
@@ -97,11 +103,37 @@ def role_edges(admitted: DataFrame) -> DataFrame:
     )
 
 
+def identity_classes(units: DataFrame) -> DataFrame:
+    """(dataset, ku_identity, node_id, api, _ord, size, links): the units of equal identity, where they are of two APIs or more.
+
+    A class stands for the same_ku edges between its units: one between any two of different APIs. ``size`` counts its units,
+    ``links`` a unit's edges, so both are known without listing any. Counts are summed before they are dealt by class.
+    """
+    by = ["dataset", "ku_identity"]
+    own = units.groupBy(*by, "api").agg(F.count("*").alias("_same"))
+    classes = own.groupBy(*by).agg(F.sum("_same").alias("size"), F.count("*").alias("_apis")).where("_apis > 1").drop("_apis")
+    held = own.join(classes, by).withColumn("links", F.col("size") - F.col("_same")).drop("_same")
+    return units.select(*by, "api", "node_id", "_ord").join(held, [*by, "api"]).select(*by, "node_id", "api", "_ord", "size", "links")
+
+
+#: Units of a class that are paired in one task with as many others.
+CLASS_BLOCK = 1_000
+
+
 def same_ku_edges(units: DataFrame) -> DataFrame:
-    """From an earlier unit to a later one of equal identity and another API."""
-    left = units.select("ku_identity", F.col("node_id").alias("l"), F.col("api").alias("la"), F.col("_ord").alias("lo"))
-    right = units.select("ku_identity", F.col("node_id").alias("r"), F.col("api").alias("ra"), F.col("_ord").alias("ro"))
-    met = left.join(right, "ku_identity").where((F.col("lo") < F.col("ro")) & (F.col("la") != F.col("ra")))
+    """From an earlier unit to a later one of equal identity and another API.
+
+    Only classes of two APIs are expanded. A large class is cut into blocks of about CLASS_BLOCK units, and blocks meet
+    blocks, so no task holds all pairs of a class; a class of one block meets itself alone.
+    """
+    classes = identity_classes(units)
+    blocks = F.ceil(F.col("size") / CLASS_BLOCK).cast("int")
+    held = classes.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("node_id", "_ord"), F.col("_blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    side = lambda p, keys: held.select("dataset", "ku_identity", *keys, F.col("node_id").alias(p), F.col("api").alias(f"{p}a"), F.col("_ord").alias(f"{p}o"))
+    left = side("l", [F.col("_block").alias("_lb"), F.explode(every).alias("_rb")])
+    right = side("r", [F.col("_block").alias("_rb"), F.explode(every).alias("_lb")])
+    met = left.join(right, ["dataset", "ku_identity", "_lb", "_rb"]).where((F.col("lo") < F.col("ro")) & (F.col("la") != F.col("ra")))
     return _edge(
         met, 1, source=F.col("l"), target=F.col("r"), relation=F.lit("same_ku"), evidence=F.col("ku_identity"), basis=F.lit("deterministic_identity"),
         order=F.struct(F.col("lo").alias("a"), F.col("ro").alias("b")),
@@ -146,14 +178,15 @@ def last_wins(edges: DataFrame) -> DataFrame:
     return held.select("source", "target", "relation", "_last.*", "_place")
 
 
-def build(
-    pairs: DataFrame, references: DataFrame | None = None, declarations: DataFrame | None = None, relations: DataFrame | None = None, judged: DataFrame | None = None
+def assemble(
+    admitted: DataFrame, references: DataFrame | None = None, declarations: DataFrame | None = None, relations: DataFrame | None = None, judged: DataFrame | None = None, expand: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges); nodes order by (kind, api or _ord), edges by _place."""
-    admitted = default_dataset(admit(pairs))
+    """build() of admitted pairs whose data sets are settled; without ``expand`` there are no same_ku edges, see identity_classes()."""
     units = ku_nodes(admitted)
     nodes = api_nodes(admitted, references).withColumn("_ord", F.lit(None).cast("long")).unionByName(units)
-    parts = [role_edges(admitted), same_ku_edges(units)]
+    parts = [role_edges(admitted)]
+    if expand:
+        parts.append(same_ku_edges(units))
     if judged is not None:
         parts.append(judged_edges(judged))
     for rank, (table, basis) in enumerate(((declarations, "official_declaration"), (relations, "lamic")), 3):
@@ -163,5 +196,12 @@ def build(
     return nodes, edges
 
 
+def build(
+    pairs: DataFrame, references: DataFrame | None = None, declarations: DataFrame | None = None, relations: DataFrame | None = None, judged: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of one data set; nodes order by (kind, api or _ord), edges by _place."""
+    return assemble(default_dataset(admit(pairs)), references, declarations, relations, judged)
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row each

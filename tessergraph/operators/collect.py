@@ -50,11 +50,8 @@ def references(specification: DataFrame) -> DataFrame:
     return held.select("key", "row.*", "_ord")
 
 
-def collect(tutorial: DataFrame, stackoverflow: DataFrame, specification: DataFrame, dataset: str = "") -> tuple[DataFrame, DataFrame]:
-    """(pairs, references); both keep ``_ord``, their order.
-
-    A pair takes the description of its canonical API, or else of its raw one, as a whole record.
-    """
+def shaped(tutorial: DataFrame, stackoverflow: DataFrame) -> DataFrame:
+    """(src_rank, ku_source, raw_api, ku, canonical_api, _ord) of both inputs' rows that have an API and a text; streams as well as tables."""
     parts = []
     for rank, ((source, names), table) in enumerate(zip(SOURCES, (tutorial, stackoverflow))):
         columns = table.columns
@@ -68,22 +65,30 @@ def collect(tutorial: DataFrame, stackoverflow: DataFrame, specification: DataFr
                 "_ord",
             ).where((F.col("raw_api") != "") & (F.col("ku") != ""))
         )
-    numbered = number_rows(parts[0].unionByName(parts[1]), "src_rank")
-    named = references(specification)
+    return parts[0].unionByName(parts[1])
+
+
+def described(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Adds reference and reference_origin from references(): the canonical API's record, or else the raw one's, as a whole."""
     record = F.struct("reference", "reference_origin")
-    wanted = numbered.withColumn("_key", casefold(F.coalesce(F.nullif("canonical_api", F.lit("")), "raw_api"))).withColumn("_raw", casefold("raw_api"))
+    wanted = rows.withColumn("_key", casefold(F.coalesce(F.nullif("canonical_api", F.lit("")), "raw_api"))).withColumn("_raw", casefold("raw_api"))
     one = named.select(F.col("key").alias("_key"), record.alias("_one"))
     two = named.select(F.col("key").alias("_raw"), record.alias("_two"))
     found = wanted.join(one, "_key", "left").join(two, "_raw", "left").withColumn("_found", F.coalesce("_one", "_two"))
+    return found.select(*rows.columns, *[F.coalesce(f"_found.{c}", F.lit("")).alias(c) for c in ("reference", "reference_origin")])
+
+
+def collect(tutorial: DataFrame, stackoverflow: DataFrame, specification: DataFrame, dataset: str = "") -> tuple[DataFrame, DataFrame]:
+    """(pairs, references); both keep ``_ord``, their order.
+
+    A pair takes the description of its canonical API, or else of its raw one, as a whole record.
+    """
+    named = references(specification)
+    found = described(number_rows(shaped(tutorial, stackoverflow), "src_rank"), named)
     pairs = found.select(
         pair_id(F.col("index")).alias("pair_id"),
         F.lit(dataset).alias("dataset"),
-        "ku_source",
-        "raw_api",
-        "canonical_api",
-        F.coalesce("_found.reference", F.lit("")).alias("reference"),
-        F.coalesce("_found.reference_origin", F.lit("")).alias("reference_origin"),
-        "ku",
+        *["ku_source", "raw_api", "canonical_api", "reference", "reference_origin", "ku"],
         F.lit("").alias("identified_relevance"),
         F.lit("").alias("relevant_groundtruth"),
         F.col("index").alias("_ord"),

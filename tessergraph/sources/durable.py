@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -56,6 +57,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of keys that may be broadcast; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that is broadcast if it has few enough rows. It is counted first, so it should be cheap to read."""
+    return broadcast(keys) if keys.count() <= rows else keys
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_durable_path", None)
