@@ -44,7 +44,7 @@ def lowest(grams: Column, span: int) -> Column:
 
 
 def item_windows(items: DataFrame, item_col: str = "item_id", span: int = SPAN) -> DataFrame:
-    """(item, span, window, hash): every window of every item, as words joined by spaces, with its fingerprint; a written table.
+    """(item, span, window, hash, uid): every window of every item, as words joined by spaces, with its fingerprint; a written table.
 
     An item without words has none; one of fewer words than ``span`` has itself. A null id is the empty string.
     """
@@ -53,7 +53,7 @@ def item_windows(items: DataFrame, item_col: str = "item_id", span: int = SPAN)
     starts = F.sequence(F.lit(1), F.size("words") - F.col("span") + 1)
     each = words.select("item", "span", F.explode(F.transform(starts, lambda s: F.slice("words", s, F.col("span")))).alias("part"))
     low = F.coalesce(*[F.when(F.col("span") == n, F.array_min(gram_hashes(F.col("part"), n))) for n in range(1, span + 1)])
-    return materialize(each.select("item", "span", F.array_join("part", " ").alias("window"), F.shiftright(low, 32).cast("int").alias("hash")).distinct())
+    return materialize(each.select("item", "span", F.array_join("part", " ").alias("window"), F.shiftright(low, 32).cast("int").alias("hash"), F.monotonically_increasing_id().alias("uid")))
 
 
 def marked(docs: DataFrame, known: DataFrame, spans: list[int], doc_col: str) -> DataFrame:
@@ -107,14 +107,14 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_co
     known = windows.select("span", "hash").distinct()
     spans = sorted(r["span"] for r in windows.select("span").distinct().collect())  # as many as span at most
     seen = marked(docs, known, spans, doc_col)
-    places = materialize(windows.select("window").distinct().withColumn("win", F.monotonically_increasing_id()))
+    places = windows.groupBy("window").agg(F.min("uid").alias("win"))
     members = windows.join(places, "window").select("win", "item").distinct()
 
     last = F.least(F.col("place"), F.col("start") + F.size("context") - F.col("span"))
     about = F.transform(F.sequence("start", last), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("context", s - F.col("start") + 1, F.col("span")), " ").alias("window")))
     hits = seen.where("span > 0").where(last >= F.col("start")).select("uid", "span", F.explode(about).alias("at")).select("uid", "span", "at.*")
     met = hits.join(sized(places), "window").select("uid", F.struct("start", (F.col("start") + F.col("span")).alias("end")).alias("part"), "win")
-    found = materialize(met.groupBy("uid").agg(F.sort_array(F.collect_set("part")).alias("spans"), F.sort_array(F.collect_set("win")).alias("wins")))
+    found = met.groupBy("uid").agg(F.sort_array(F.collect_set("part")).alias("spans"), F.sort_array(F.collect_set("win")).alias("wins"))
 
     sets = found.select("wins").distinct()
     lists = sets.select("wins", F.explode("wins").alias("win")).join(members, "win").groupBy("wins").agg(F.sort_array(F.collect_set("item")).alias("items"))
