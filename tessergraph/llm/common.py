@@ -108,13 +108,13 @@ def forest(links: pd.DataFrame) -> pd.DataFrame:
     nodes, ends = np.unique(links[["a", "b"]].to_numpy(np.int64), return_inverse=True)
     a, b = ends.reshape(-1, 2).T
     head = np.arange(len(nodes))
-    while True:
-        before = head.copy()
-        np.minimum.at(head, a, before[b])
-        np.minimum.at(head, b, before[a])
-        head = head[head]
-        if (head == before).all():
-            break
+    while (head[a] != head[b]).any():  # heads of linked nodes hook on to the lower one, then all nodes jump to their head's head
+        x, y = head[a], head[b]
+        np.minimum.at(head, np.maximum(x, y), np.minimum(x, y))
+        while (head != (far := head[head])).any():
+            head = far
+        apart = head[a] != head[b]
+        a, b = a[apart], b[apart]
     other = head != np.arange(len(nodes))
     return pd.DataFrame({"a": nodes[other], "b": nodes[head[other]]})
 

@@ -22,7 +22,7 @@ def test_stages_against_plain_python(spark, small):
     near = [(a, b) for a in kept for b in kept if a < b and alike(a, b)]
     assert all(not (a in left and b in left) for a, b in near)
     twins = {x for p in near for x in p}
-    assert len(kept - left - twins) <= 0.02 * len(kept)  # fingerprints within four bits of lesser likeness
+    assert kept - left <= twins  # none goes without a partner
     cut = corpus_pipeline.substring_dedup(spark, single, small)
     assert cut.columns == docs.columns
     want = brute_substrings({i: rows[i].text for i in left})
