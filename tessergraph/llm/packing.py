@@ -1,9 +1,9 @@
 """Best-fit packing by length patterns.
 
 Documents become pieces of at most ``capacity`` tokens. Only the histogram of piece lengths (at most ``capacity`` numbers)
-reaches the driver. Patterns of two or three lengths that fill a sequence exactly get repeat counts by non-negative least
-squares on the histogram; counts are rounded down to what is there, and what is left is packed best-fit, by groups of equal
-lengths. Every piece then finds its place from its rank among the pieces of its length.
+reaches the driver. Patterns of a few lengths, those of two or three that fill a sequence and those that best-fit finds, get
+repeat counts by non-negative least squares on the histogram; counts are rounded down to what is there, and what is left is
+packed best-fit, by groups of equal lengths. Every piece then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -89,8 +89,11 @@ def pieces(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY, end
     return restored(picked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
 
 
-def fit_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of patterns of two and three lengths that fill a sequence; counts[n]: pieces of length n."""
+Pattern = tuple[int, ...]
+
+
+def exact_fills(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
+    """Patterns of two and three lengths that fill a sequence; counts[n]: pieces of length n."""
     there = np.flatnonzero(counts[:capacity])
     there = there[there > 0]
     patterns = [(a, capacity - a) for a in range(1, capacity // 2 + 1) if counts[a] and counts[capacity - a]]
@@ -99,11 +102,23 @@ def fit_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tup
         others = others[counts[capacity - a - others] > 0]
         if len(others):
             order = others[np.argsort(-counts[others] * counts[capacity - a - others], kind="stable")[:TRIPLES]]
-            patterns += [tuple(sorted((a, int(b), capacity - a - int(b)))) for b in order]
-    patterns = sorted(set(tuple(sorted(p)) for p in patterns))
-    columns = [[(n, p.count(n)) for n in sorted(set(p))] for p in patterns]
+            patterns += [(a, int(b), capacity - a - int(b)) for b in order]
+    return sorted({tuple(sorted(p)) for p in patterns})
+
+
+def fit_patterns(counts: np.ndarray, patterns: dict[Pattern, float]) -> list[tuple[Pattern, int]]:
+    """Non-negative least squares of the histogram on patterns, from the repeats given with them; (lengths, repeats), rounded down.
+
+    Rounding never takes a piece that is not there, and patterns with more repeats are served first.
+    """
+    names = list(patterns)
+    columns = [[(n, p.count(n)) for n in sorted(set(p))] for p in names]
     norms = [sum(k * k for _, k in c) for c in columns]
-    x, rest = [0.0] * len(patterns), counts.astype(float).tolist()
+    x, rest = [float(patterns[p]) for p in names], counts.astype(float)
+    for j, column in enumerate(columns):
+        for n, k in column:
+            rest[n] -= k * x[j]
+    rest = rest.tolist()
     for _ in range(SWEEPS):  # coordinate descent on |A x - counts|^2 over x >= 0
         moved = 0.0
         for j, column in enumerate(columns):
@@ -116,10 +131,10 @@ def fit_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tup
         if moved < 0.5:
             break
     left, out = counts.copy(), []
-    for j in sorted(range(len(patterns)), key=lambda j: (-x[j], patterns[j])):
+    for j in sorted(range(len(names)), key=lambda j: (-x[j], names[j])):
         times = min(int(x[j]), min((int(left[n]) // k for n, k in columns[j]), default=0))
         if times > 0:
-            out.append((patterns[j], times))
+            out.append((names[j], times))
             for n, k in columns[j]:
                 left[n] -= k * times
     return out
@@ -164,14 +179,26 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[i
     return done + [g for room in rooms for g in held[room]]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeats that use every piece of the histogram exactly once."""
-    fitted = fit_patterns(counts, capacity)
-    left = counts.copy()
-    for lengths, times in fitted:
-        for n in lengths:
-            left[n] -= times
-    return fitted + best_fit(left, capacity)
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
+    """Patterns with repeats that use every piece of the histogram exactly once, in as few sequences as one of three fits needs.
+
+    The fits are of exact fills, of these and the patterns that best-fit finds in this histogram, and of best-fit's patterns
+    from its own repeats; the last leaves no residual, so the plan is never longer than best-fit's.
+    """
+    found: dict[Pattern, float] = {}
+    for lengths, times in best_fit(counts, capacity):
+        key = tuple(sorted(lengths))
+        found[key] = found.get(key, 0) + times
+    fills = dict.fromkeys(exact_fills(counts, capacity), 0.0)
+    plans = []
+    for patterns in (fills, fills | dict.fromkeys(found, 0.0), found):
+        fitted = fit_patterns(counts, patterns)
+        left = counts.copy()
+        for lengths, times in fitted:
+            for n in lengths:
+                left[n] -= times
+        plans.append(fitted + best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(times for _, times in p))
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
