@@ -49,9 +49,16 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# API names that the texts mention, some often, some hardly ever and one never, of one character up.
+WORDS = (
+    "shan", "entre", "nicht", "para", "und der", "stion o", "onthe", "einen", "schlich", "verein", "mentre", "que la", "erst und", "ouer", "shther", "auxent",
+    "rouen", "zuver", "bege", "andhe", "reatin", "Inther", "lichkeit", "elleaux", "con el", "License", "123", "@", "Zu", "que les", "$", "edand",
+)
+
+
 def language_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose APIs are short words, so that texts mention other APIs."""
-    return pairs(spark, sf_dir).withColumn("canonical_api", F.when(F.col("ku_source") == "SG", "en").otherwise("ein"))
+    """Pairs whose APIs are 32 words and parts of words, so that texts mention other APIs."""
+    return pairs(spark, sf_dir).withColumn("canonical_api", F.element_at(F.array(*map(F.lit, WORDS)), (F.col("_ord") * 7 % len(WORDS) + 1).cast("int")))
 
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +115,7 @@ VIEWS = {
         concat_ws('|', CASE WHEN l.quality = 1 THEN 'has_guidance' END, CASE WHEN l.toxic = 1 THEN ' has_constraint ' END, CASE WHEN d.lang = 'de' THEN 'bogus_role' END) AS lamic_role,
         '' AS lamic_evidence FROM documents d LEFT JOIN labels l USING (doc_id)""",
     ),
-    "v_lang": (["v_pairs"], "SELECT * REPLACE (CASE WHEN ku_source = 'SG' THEN 'en' ELSE 'ein' END AS canonical_api) FROM v_pairs"),
+    "v_lang": (["v_pairs"], f"SELECT * REPLACE ({list(WORDS)}[_ord * 7 % {len(WORDS)} + 1] AS canonical_api) FROM v_pairs"),
     "v_declarations": (
         [],
         """SELECT n_nationkey AS _ord, 'docs:API:src' || n_nationkey AS source, 'docs:API:src' || n_regionkey AS target,

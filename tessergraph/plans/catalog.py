@@ -222,12 +222,12 @@ def jaccard_pairs(spark, d):
 
 @registered(with_views("v_top") + 'SELECT "left", "right", score FROM v_top WHERE same_api')
 def same_api_topk(spark, d):
-    return candidates.best_partners(candidates.overlaps(adapters.language_pairs(spark, d))).where("same_api").select("left", "right", "score")
+    return candidates.best_partners(candidates.coded_units(adapters.language_pairs(spark, d))).where("same_api").select("left", "right", "score")
 
 
 @registered(with_views("v_top") + 'SELECT "left", "right", score FROM v_top WHERE NOT same_api')
 def cross_api_topk(spark, d):
-    return candidates.best_partners(candidates.overlaps(adapters.language_pairs(spark, d))).where("not same_api").select("left", "right", "score")
+    return candidates.best_partners(candidates.coded_units(adapters.language_pairs(spark, d))).where("not same_api").select("left", "right", "score")
 
 
 @registered(with_views("v_mentions") + 'SELECT "left", api FROM v_mentions')

@@ -87,17 +87,6 @@ def test_shared_folder_is_needed_off_one_machine(spark):
     assert durable.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_mentions_in_several_passes(spark, monkeypatch):
-    texts = [("P1", "Map", "a hashmap and a LIST"), ("P2", "map", "MAP, list"), ("P3", "List", ""), ("P4", "Ünder", "ünder the list"), ("P5", "HashMap", None), ("P6", None, "map")]
-    table = spark.createDataFrame(texts, "pair_id string, canonical_api string, ku string")
-    names = {api for _, api, _ in texts if api}
-    wanted = {(p, n) for p, api, ku in texts for n in names if api and ku is not None and n != api and n.lower() in ku.lower()}
-    for most in (100_000, 2):
-        monkeypatch.setattr(candidates, "NAMES", most)
-        got = [tuple(r) for r in candidates.mentions(table).collect()]
-        assert len(got) == len(set(got)) and set(got) == wanted
-    assert candidates.mentions(table.limit(0)).count() == 0
-
 
 def test_order_over_several_csv_files(spark, tmp_path):
     rows = spark.range(5_000).select(F.format_string('n%d, "q"', "id").alias("name"), (F.lit(10_000) - F.col("id")).alias("_ord")).repartition(7)
