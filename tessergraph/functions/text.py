@@ -32,26 +32,28 @@ def first_nonempty(columns: list[str], names: tuple[str, ...]) -> Column:
 
 
 @cache
-def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Full case folding, by the rule of the language's own string type: characters that become one other, those, and those that become several."""
-    folds = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c}
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Full case folding by the rule of the language's own string type: characters that become one other, those, and what others grow to."""
+    folds = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
     single = [c for c, f in folds.items() if len(f) == 1]
-    return "".join(single), "".join(folds[c] for c in single), tuple((c, f) for c, f in folds.items() if len(f) > 1)
+    return "".join(single), "".join(folds[c] for c in single), {c: f for c, f in folds.items() if len(f) > 1}
 
 
 def casefold(value: Column | str) -> Column:
-    """Full Unicode case folding as a column: one look-up a character, and the few that grow replaced one by one where a text has any.
+    """Full Unicode case folding as a column: a look-up for each character, whatever the JVM's own tables know.
 
-    ASCII text, whose length in bytes is that in characters, is only lower-cased. ``ß`` is replaced by itself, as it is common.
+    ASCII text, whose length in bytes is that in characters, is only lower-cased. Characters that grow are looked for first;
+    ``ß``, which is common, is replaced by itself, others one by one where a text has any.
     """
     value = F.col(value) if isinstance(value, str) else value
     source, target, growing = _folding()
-    ascii_ = source + "".join(map(chr, range(ord("A"), ord("Z") + 1))), target + "".join(map(chr, range(ord("a"), ord("z") + 1)))
-    rare = [(c, f) for c, f in growing if c != "ß"]
-    table = F.create_map(*[F.lit(x) for pair in rare for x in pair])
-    letters = F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(table, c), c))
-    grown = F.when(value.rlike("[" + "".join(c for c, _ in rare) + "]"), F.array_join(letters, "")).otherwise(value)
-    return F.when(F.octet_length(value) == F.char_length(value), F.lower(value)).otherwise(F.translate(F.replace(grown, F.lit("ß"), F.lit("ss")), *ascii_))
+    rare = {c: f for c, f in growing.items() if c != "ß"}
+    plain = F.replace(value, F.lit("ß"), F.lit("ss"))
+    table = F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])
+    letters = F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(table, c), c))
+    found = plain.rlike(r"[\x{80}-\x{10FFFF}&&[" + "".join(rare) + "]]")  # the range settles almost all characters
+    grown = F.when(found, F.array_join(letters, "")).otherwise(plain)
+    return F.when(F.octet_length(value) == F.char_length(value), F.lower(value)).otherwise(F.translate(grown, source, target))
 
 
 def tokens(value: Column) -> Column:

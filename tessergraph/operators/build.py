@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessergraph.functions.relations import API_KU_RELATIONS, KU_RELATIONS, RELATIONS
 from tessergraph.functions.text import api_node_id, casefold, identity, ku_node_id, normalize_ends, normalize_text, split_trimmed
+from tessergraph.sources.durable import materialize
 
 NODE_COLUMNS = [
     "node_id", "dataset", "kind", "api_node", "api", "canonical_owner", "pair_id", "ku_identity", "source", "task", "text", "reference", "reference_origin",
@@ -182,8 +183,9 @@ def assemble(
     admitted: DataFrame, references: DataFrame | None = None, declarations: DataFrame | None = None, relations: DataFrame | None = None, judged: DataFrame | None = None, expand: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """build() of admitted pairs whose data sets are settled; without ``expand`` there are no same_ku edges, see identity_classes()."""
-    units = ku_nodes(admitted)
-    nodes = api_nodes(admitted, references).withColumn("_ord", F.lit(None).cast("long")).unionByName(units)
+    admitted = materialize(admitted)  # read for nodes, identities, roles and ends
+    units = materialize(ku_nodes(admitted))
+    nodes = materialize(api_nodes(admitted, references).withColumn("_ord", F.lit(None).cast("long"))).unionByName(units)
     parts = [role_edges(admitted)]
     if expand:
         parts.append(same_ku_edges(units))

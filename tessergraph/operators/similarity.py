@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessergraph.functions.text import pair_text, tokens
+from tessergraph.sources.durable import materialize, sized
 
 # BM25 and rank-fusion constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -87,6 +89,110 @@ def score_pairs(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(right, ["dataset", "_salt"]).select("dataset", "query_id", "pair_id", dot("q", "p").alias("score"))
 
 
+#: Queries that one task holds as a matrix, and pairs that it compares with them; more are dealt to several.
+QUERY_BLOCK, PAIR_BLOCK = 256, 4_096
+#: How far a score from a matrix product may be from the one that is summed in order, for vectors of length one.
+ROUGH = 1e-9
+
+
+def _best(scores: np.ndarray, exact: Callable[[int, np.ndarray], np.ndarray], known: list[list], ids: np.ndarray, count: int) -> None:
+    """Puts each query's best of some pairs into its list of (-score, id), which keeps ``count`` in order. scores: queries x pairs."""
+    most = min(count, scores.shape[1])
+    bars = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+    for q, (row, bar, held) in enumerate(zip(scores, bars, known)):
+        if len(held) == count:
+            bar = max(bar, -held[-1][0])
+        some = np.flatnonzero(row >= bar - ROUGH * max(1.0, abs(bar)))
+        if len(some):
+            held += zip((-exact(q, some)).tolist(), ids[some].tolist())
+            held.sort()
+            del held[count:]
+
+
+def _heaps(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (block, side, query, pair, groups, vector), a block's queries first, to (block, query, group, pair, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names, vectors, held = None, [], [], {}
+
+        def done() -> pa.RecordBatch:
+            rows = [(block, q, group, pair, -score) for group, lists in held.items() for q, own in zip(names, lists) for score, pair in own]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "query", "_group", "pair_id", "score"])
+
+        for batch in batches:
+            blocks, sides = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            edges = [0, *(i for i in range(1, batch.num_rows) if blocks[i] != blocks[i - 1] or sides[i] != sides[i - 1]), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    if held:
+                        yield done()
+                    block, names, vectors, held = blocks[a], [], [], {}
+                part = batch.slice(a, b - a)
+                matrix = part.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b - a, -1)
+                if sides[a] == 0:
+                    names += part.column(2).to_pylist()
+                    vectors.append(matrix)
+                    continue
+                asked = vectors[0] if len(vectors) == 1 else np.concatenate(vectors)
+                vectors = [asked]
+                groups = part.column(4)
+                owner = np.repeat(np.arange(b - a), groups.value_lengths().to_numpy())
+                labels = groups.flatten().to_pylist()
+                scores = asked @ matrix.T
+                ids = np.array(part.column(3).to_pylist(), object)
+                for label in dict.fromkeys(labels):
+                    own = owner[[i for i, x in enumerate(labels) if x == label]]
+
+                    def exact(q: int, some: np.ndarray, own=own, asked=asked, matrix=matrix) -> np.ndarray:
+                        total = np.zeros(len(some))
+                        for d in range(matrix.shape[1]):  # in order, as a sum of doubles
+                            total += asked[q, d] * matrix[own[some], d]
+                        return total
+
+                    _best(scores[:, own], exact, held.setdefault(label, [[] for _ in names]), ids[own], count)
+        if held:
+            yield done()
+
+    return run
+
+
+def top_pairs(queries: DataFrame, pairs: DataFrame, count: int, key: Column) -> DataFrame:
+    """(dataset, query_id, key, group, pair_id, score, place): each query's first ``count`` pairs of each group, by score, then id.
+
+    queries: (dataset, query_id, embedding and what the key is made of); pairs: (dataset, pair_id, groups, embedding and the
+    same). Queries and pairs of equal key and vector length meet: pairs are dealt to SALTS parts, queries to blocks of about
+    QUERY_BLOCK, and each part meets each block as matrices. Tasks keep ``count`` pairs a query and group, whose scores are
+    summed in order in doubles; no table of all queries and pairs is ever written. Vectors that are null, or hold a null, meet
+    nothing.
+    """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0)
+    named = lambda df: df.where(whole).withColumns({"_key": key, "_size": F.size("embedding")})
+    left, right = named(queries), named(pairs)
+    by = ["dataset", "_key", "_size"]
+    asked = left.groupBy(*by).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_blocks"))
+    parts = right.groupBy(*by).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_parts"))
+    sizes = sized(materialize(asked.join(parts, by)))  # a row a key
+    left, right = left.join(sizes, by), right.join(sizes, by)
+    label = lambda b, salt: F.to_json(F.struct("dataset", "_key", "_size", b.cast("int").alias("b"), salt.cast("int").alias("s"))).alias("block")
+    salts = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt")
+    left = left.select("*", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).alias("_b"), salts)
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), F.pmod(F.xxhash64("pair_id"), F.col("_parts")).alias("_salt"))
+    vector = F.col("embedding").cast("array<double>").alias("vector")
+    none = lambda kind: F.lit(None).cast(kind)
+    left = left.select(label(F.col("_b"), F.col("_salt")), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("query"), none("string").alias("pair"), none("array<string>").alias("groups"), vector)
+    right = right.select(label(F.col("_b"), F.col("_salt")), F.lit(1).alias("side"), none("long").alias("query"), F.col("pair_id").alias("pair"), F.col("groups"), vector)
+    rows = left.unionByName(right).repartition("block").sortWithinPartitions("block", "side")
+    found = rows.mapInArrow(_heaps(count), "block string, query long, _group string, pair_id string, score double")
+    kind = queries.schema["query_id"].dataType
+    named = found.withColumn("_b", F.from_json("block", "dataset string, _key string")).select("_b.dataset", F.col("query").cast(kind).alias("query_id"), F.col("_b._key").alias("key"), F.col("_group").alias("group"), "pair_id", "score")
+    place = F.row_number().over(Window.partitionBy("dataset", "query_id", "key", "group").orderBy(F.desc("score"), "pair_id"))
+    return named.withColumn("place", place).where(F.col("place") <= count)
+
+
 def term_statistics(docs: DataFrame, id_col: str, terms: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(term frequencies with document lengths, document frequencies, totals) of token lists."""
     each = docs.select(id_col, F.size(terms).alias("length"), F.explode(terms).alias("term"))

@@ -258,7 +258,7 @@ def cosine_scores(spark, d):
 
 @registered(with_views("v_scores") + "SELECT query_id, pair_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS place FROM v_scores QUALIFY place <= 5")
 def initial_top5(spark, d):
-    return retrieve.initial(_scores(spark, d)).select("query_id", "pair_id", "score", "place")
+    return retrieve.first_pairs((adapters.queries(spark, d), adapters.pair_vectors(spark, d))).select("query_id", "pair_id", "score", "place")
 
 
 @registered(
@@ -370,10 +370,9 @@ disc AS (SELECT DISTINCT s.query_id, p.canonical_api AS api FROM seed s JOIN v_p
 
 
 def _seeded(spark, d):
+    """(vectors of queries and pairs, the seeds of each query)."""
     vectors = retrieve.materialize(adapters.queries(spark, d).select(*judge.IDS, "embedding")), retrieve.materialize(adapters.pair_vectors(spark, d).select("dataset", "pair_id", "embedding"))
-    scores, seeds = retrieve.scorer(vectors), retrieve.materialize(retrieve.initial(similarity.score_pairs(*vectors)))
-    apis = adapters.pairs(spark, d).select("dataset", "pair_id", F.col("canonical_api").alias("api"))
-    return scores, seeds.select(*judge.IDS, "pair_id"), seeds.join(apis, ["dataset", "pair_id"]).select(*judge.IDS, "api").distinct()
+    return vectors, retrieve.materialize(retrieve.first_pairs(vectors))
 
 
 @registered(
@@ -384,10 +383,11 @@ def _seeded(spark, d):
     SELECT query_id, api, role, string_agg(pair_id, ',' ORDER BY place) AS pair_ids FROM b GROUP BY 1, 2, 3"""
 )
 def read_actions(spark, d):
-    scores, seen, found = _seeded(spark, d)
+    vectors, seeds = _seeded(spark, d)
     nodes, edges = _graph(spark, d)
-    roles = graph.roles_by_pair(nodes, graph.index_edges(edges))
-    rows = retrieve.read_actions(adapters.pairs(spark, d), roles, scores, seen, found, 6)
+    units = retrieve.materialize(retrieve.library(adapters.pairs(spark, d), graph.roles_by_pair(nodes, graph.index_edges(edges))))
+    found = seeds.join(units, ["dataset", "pair_id"]).select(*judge.IDS, "api").distinct()
+    rows = retrieve.read_actions(retrieve.frontier(found, units, vectors, 41), seeds, 6)
     return rows.select("query_id", "api", "role", F.array_join("pair_ids", ",").alias("pair_ids"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tessergraph.operators import graph
 from tessergraph.operators.judge import ASSESSMENT, IDS, constant_verifier
 from tessergraph.functions.text import preview
-from tessergraph.operators.similarity import dot, score_pairs
+from tessergraph.operators.similarity import dot, top_pairs
 from tessergraph.sources.durable import drop_materialized, materialize
 
 SEED, TOP = 5, 15
@@ -64,10 +65,7 @@ def cap_pool(pool: DataFrame, cap: int) -> DataFrame:
 
 
 def scorer(scores: DataFrame | tuple[DataFrame, DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """Adds ``score`` to rows (ids, pair_id): from a table of scores, or from the vectors of queries and of pairs.
-
-    With vectors only the scores that are asked for are ever worked out; no table of all queries and pairs is kept.
-    """
+    """Adds ``score`` to rows (ids, pair_id): from a table of scores, or from the vectors of queries and of pairs."""
     if isinstance(scores, DataFrame):
         return lambda rows: rows.join(scores.select(*IDS, "pair_id", "score"), [*IDS, "pair_id"])
     asked = scores[0].select(*IDS, F.col("embedding").alias("_q"))
@@ -75,42 +73,72 @@ def scorer(scores: DataFrame | tuple[DataFrame, DataFrame]) -> Callable[[DataFra
     return lambda rows: rows.join(asked, IDS).join(held, ["dataset", "pair_id"]).withColumn("score", dot("_q", "_p")).drop("_q", "_p")
 
 
-def read_actions(pairs: DataFrame, roles: DataFrame, scored: Callable[[DataFrame], DataFrame], examined: DataFrame, discovered: DataFrame, batch: int) -> DataFrame:
-    """(ids, api, role, pair_ids): unread pairs of discovered APIs by role, the best ``batch`` of each. A pair without a role has ``all``."""
-    unread = discovered.join(pairs.select("dataset", F.col("canonical_api").alias("api"), "pair_id"), ["dataset", "api"]).join(examined, [*IDS, "pair_id"], "left_anti")
-    by_role = scored(unread).join(roles, "pair_id", "left").withColumn("role", F.coalesce("role", F.lit("all")))
-    place = F.row_number().over(Window.partitionBy(*IDS, "api", "role").orderBy(F.desc("score"), "pair_id"))
-    best = by_role.withColumn("place", place).where(F.col("place") <= batch)
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "pair_id"))), lambda x: x["pair_id"])
-    return best.groupBy(*IDS, "api", "role").agg(listed.alias("pair_ids"))
+def frontier(found: DataFrame, units: DataFrame, scores: DataFrame | tuple[DataFrame, DataFrame], count: int) -> DataFrame:
+    """(ids, api, role, pair_id, score): the best ``count`` pairs of each role of APIs that queries have found, found (ids, api).
 
+    units: (dataset, pair_id, api, roles). A loop that reads less than ``count`` pairs never needs another pair of these APIs,
+    so their scores are worked out once, when the API is found.
+    """
+    if isinstance(scores, DataFrame):
+        each = found.join(units, ["dataset", "api"]).join(scores.select(*IDS, "pair_id", "score"), [*IDS, "pair_id"]).withColumn("role", F.explode("roles"))
+        place = F.row_number().over(Window.partitionBy(*IDS, "api", "role").orderBy(F.desc("score"), "pair_id"))
+        return each.withColumn("place", place).where(F.col("place") <= count).select(*IDS, "api", "role", "pair_id", "score")
+    asked = found.join(scores[0].select(*IDS, "embedding"), IDS)
+    held = units.join(scores[1].select("dataset", "pair_id", "embedding"), ["dataset", "pair_id"]).withColumnRenamed("roles", "groups")
+    best = top_pairs(asked, held, count, F.col("api"))
+    return best.select(*IDS, F.col("key").alias("api"), F.col("group").alias("role"), "pair_id", "score")
 
-def legal_actions(state: State, index: Index, budget: Budget) -> DataFrame:
-    """(ids, kind, type, action_id, api, role, pair_ids, target_api, target_pair, place): every live query's actions in order."""
-    live = state.control.where(~F.col("stopped")).select(*IDS, "expanded")
-    open_ = live.where(F.col("expanded") < budget.max_expansions).select(*IDS)
-    none = F.lit(None).cast("string")
-    blank = F.array().cast("array<string>")
-    reads = read_actions(index.pairs, index.roles, index.scored, state.examined, state.discovered.join(live.select(*IDS), IDS, "left_semi"), budget.read_batch)
-    reads = reads.select(
-        *IDS, F.lit("READ_API").alias("type"), F.concat_ws(":", F.lit("READ_API"), "api", "role").alias("action_id"), "role", "pair_ids",
-        none.alias("target_api"), none.alias("target_pair"), F.struct(F.lit(0).alias("k"), F.col("api").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.col("role").alias("b"), F.lit("").alias("c")).alias("place"),
-    )
-    found = state.discovered.join(open_, IDS, "left_semi")
-    apis = graph.expansions(index.api_links, found, state.discovered, "api").select(
-        *IDS, F.lit("EXPAND_API").alias("type"), F.concat_ws(":", F.lit("EXPAND_API"), "api", "relation", "target").alias("action_id"), none.alias("role"), blank.alias("pair_ids"),
-        F.col("target").alias("target_api"), none.alias("target_pair"), F.struct(F.lit(1).alias("k"), F.col("api").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.col("relation").alias("b"), F.col("target").alias("c")).alias("place"),
-    ).distinct()
-    seen = state.examined.join(open_, IDS, "left_semi")
-    units = graph.expansions(index.ku_links, seen, state.examined, "pair_id").select(
-        *IDS, F.lit("EXPAND_KU").alias("type"), F.concat_ws(":", F.lit("EXPAND_KU"), "pair_id", "relation", "target").alias("action_id"), none.alias("role"), blank.alias("pair_ids"),
-        none.alias("target_api"), F.col("target").alias("target_pair"), F.struct(F.lit(2).alias("k"), F.col("pair_id").alias("a"), F.col("dir").cast("long").alias("n"), F.col("_ord").cast("long").alias("m"), F.col("relation").alias("b"), F.lit("").alias("c")).alias("place"),
+
+def library(pairs: DataFrame, roles: DataFrame) -> DataFrame:
+    """(dataset, pair_id, api, roles): a pair without a role has ``all``."""
+    own = roles.groupBy("pair_id").agg(F.collect_set("role").alias("roles"))
+    return pairs.select("dataset", "pair_id", F.col("canonical_api").alias("api")).join(own, "pair_id", "left").select("dataset", "pair_id", "api", F.coalesce("roles", F.array(F.lit("all"))).alias("roles"))
+
+
+def read_actions(best: DataFrame, examined: DataFrame, batch: int) -> DataFrame:
+    """(ids, api, role, pair_ids, scores): unread pairs of a frontier by role, the best ``batch`` of each."""
+    unread = best.join(examined.select(*IDS, "pair_id"), [*IDS, "pair_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*IDS, "api", "role").orderBy(F.desc("score"), "pair_id"))
+    first = unread.withColumn("place", place).where(F.col("place") <= batch)
+    listed = first.groupBy(*IDS, "api", "role").agg(F.sort_array(F.collect_list(F.struct("place", "pair_id", "score"))).alias("_read"))
+    return listed.select(*IDS, "api", "role", F.col("_read.pair_id").alias("pair_ids"), F.col("_read.score").alias("scores"))
+
+
+def _action(df: DataFrame, rank: int, type_: str, id_: list, role=None, pair_ids=None, scores=None, api=None, pair=None, a=None, n=None, m=None, b=None, c=None) -> DataFrame:
+    """Rows as actions of a type; ``place`` orders a query's actions by rank, then by what is given for a, n, m, b and c."""
+    none, text, number = F.lit(None).cast("string"), lambda x: F.lit("") if x is None else x, lambda x: F.lit(0).cast("long") if x is None else x.cast("long")
+    blank = lambda kind: F.array().cast(f"array<{kind}>")
+    place = F.struct(F.lit(rank).alias("k"), text(a).alias("a"), number(n).alias("n"), number(m).alias("m"), text(b).alias("b"), text(c).alias("c"))
+    return df.select(
+        *IDS, F.lit(type_).alias("type"), F.concat_ws(":", F.lit(type_), *id_).alias("action_id"), (none if role is None else role).alias("role"),
+        (blank("string") if pair_ids is None else pair_ids).alias("pair_ids"), (blank("double") if scores is None else scores).alias("scores"),
+        (none if api is None else api).alias("target_api"), (none if pair is None else pair).alias("target_pair"), place.alias("place"),
     )
-    stop = live.select(
-        *IDS, F.lit("STOP").alias("type"), F.lit("STOP").alias("action_id"), none.alias("role"), blank.alias("pair_ids"), none.alias("target_api"), none.alias("target_pair"),
-        F.struct(F.lit(3).alias("k"), F.lit("").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.lit("").alias("b"), F.lit("").alias("c")).alias("place"),
+
+
+def reads(state: State, live: DataFrame, budget: Budget) -> DataFrame:
+    """The reading actions of live queries (ids)."""
+    rows, col = read_actions(state.frontier.join(live, IDS, "left_semi"), state.examined, budget.read_batch), F.col
+    return _action(rows, 0, "READ_API", ["api", "role"], role=col("role"), pair_ids=col("pair_ids"), scores=col("scores"), a=col("api"), b=col("role"))
+
+
+def moves(state: State, index: Index, live: DataFrame, budget: Budget) -> DataFrame:
+    """The other actions of live queries (ids): expansions while their budget lasts, and stopping."""
+    col = F.col
+    open_ = state.control.where(col("expanded") < budget.max_expansions).join(live, IDS, "left_semi").select(*IDS)
+    apis = graph.expansions(index.api_links, state.discovered.join(open_, IDS, "left_semi"), state.discovered, "api")
+    units = graph.expansions(index.ku_links, state.examined.join(open_, IDS, "left_semi"), state.examined, "pair_id")
+    return (
+        _action(apis, 1, "EXPAND_API", ["api", "relation", "target"], api=col("target"), a=col("api"), b=col("relation"), c=col("target")).distinct()
+        .unionByName(_action(units, 2, "EXPAND_KU", ["pair_id", "relation", "target"], pair=col("target"), a=col("pair_id"), n=col("dir"), m=col("_ord"), b=col("relation")))
+        .unionByName(_action(live, 3, "STOP", []))
     )
-    return reads.unionByName(apis).unionByName(units).unionByName(stop)
+
+
+def legal_actions(state: State, index: Index, budget: Budget) -> DataFrame:
+    """(ids, type, action_id, role, pair_ids, scores, target_api, target_pair, place): every live query's actions in order."""
+    live = state.control.where(~F.col("stopped")).select(*IDS)
+    return reads(state, live, budget).unionByName(moves(state, index, live, budget))
 
 
 def heuristic_policy(actions: DataFrame, step: int, seen: DataFrame | None = None) -> DataFrame:
@@ -125,16 +153,17 @@ class Index:
 
     pairs: DataFrame  # dataset, pair_id, canonical_api, ku
     best: DataFrame | None  # dataset, query_id, pair_id, score, place of each query's first pairs
-    scored: Callable[[DataFrame], DataFrame] | None  # adds score to rows (ids, pair_id)
-    roles: DataFrame  # pair_id, role
+    scores: DataFrame | tuple[DataFrame, DataFrame] | None  # a table of scores, or the vectors of queries and of pairs
+    units: DataFrame  # dataset, pair_id, api, roles
     api_links: DataFrame
     ku_links: DataFrame
 
 
 @dataclass
 class State:
-    examined: DataFrame  # ids, pair_id
+    examined: DataFrame  # ids, pair_id, score
     discovered: DataFrame  # ids, api
+    frontier: DataFrame  # ids, api, role, pair_id, score
     assessed: DataFrame  # ids, pair_id, assessment
     pool: DataFrame  # ids, pair_id, place
     control: DataFrame  # ids, expanded, stopped
@@ -153,8 +182,15 @@ def make_index(pairs: DataFrame, scores: DataFrame | tuple[DataFrame, DataFrame]
 
 def with_scores(index: Index, scores: DataFrame | tuple[DataFrame, DataFrame]) -> Index:
     """The index with the scores of some queries: a written table of them, or the written vectors of queries and pairs."""
-    every = scores if isinstance(scores, DataFrame) else score_pairs(*scores)
-    return replace(index, best=materialize(initial(every)), scored=scorer(scores))
+    return replace(index, best=materialize(first_pairs(scores)), scores=scores)
+
+
+def first_pairs(scores: DataFrame | tuple[DataFrame, DataFrame], count: int = SEED) -> DataFrame:
+    """initial() of a table of scores, or of vectors; vectors meet in blocks, and no table of all scores is made."""
+    if isinstance(scores, DataFrame):
+        return initial(scores, count)
+    held = scores[1].select("dataset", "pair_id", "embedding", F.array(F.lit("")).alias("groups"))
+    return top_pairs(scores[0].select(*IDS, "embedding"), held, count, F.lit("")).select(*IDS, "pair_id", "score", "place")
 
 
 def graph_index(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
@@ -168,7 +204,7 @@ def graph_index(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
         held,
         None,
         None,
-        materialize(graph.roles_by_pair(nodes, edges)),
+        materialize(library(held, graph.roles_by_pair(nodes, edges))),
         materialize(graph.api_links(nodes, edges)),
         materialize(links.join(known, "target", "left_semi")),
     )
@@ -196,7 +232,7 @@ def _saved(**parts: DataFrame) -> State:
 
 def evidence(state: State, index: Index, queries: DataFrame) -> DataFrame:
     """(ids, query, evidence): what a policy is shown of each query's pool, best first."""
-    shown = index.scored(state.pool).join(index.pairs, ["dataset", "pair_id"]).join(state.assessed, [*IDS, "pair_id"])
+    shown = state.pool.join(state.examined, [*IDS, "pair_id"]).join(index.pairs, ["dataset", "pair_id"]).join(state.assessed, [*IDS, "pair_id"])
     item = preview(F.col("pair_id"), F.col("canonical_api"), F.col("score"), F.col("ku"))
     rows = shown.select(*IDS, F.struct("place", F.struct(*[item[c].alias(c) for c in ("pair_id", "api", "score", "knowledge_unit")], "api_fit", "ku_support", "missing_needs").alias("shown")).alias("item"))
     listed = rows.groupBy(*IDS).agg(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["shown"]).alias("evidence"))
@@ -213,17 +249,21 @@ def retrieve(
 ) -> tuple[DataFrame, State, DataFrame]:
     """(ranked, state, seeds): ranked is (ids, place, pair_id, api, score, assessment) of each query's best pairs; see results().
 
-    verify gets the asked pairs and the step; choose the legal actions, the step and evidence(). A step is two written tables,
-    which go with the next one; the loop ends early when every query has stopped.
+    verify gets the asked pairs and the step; choose the legal actions, the step and evidence(). A step is two or three written
+    tables, which go with the next one; the loop ends early when every query has stopped. Every score is worked out once:
+    a pair's when its API is found, or when an expansion reaches it.
     """
-    apis = index.pairs.select("dataset", "pair_id", F.col("canonical_api").alias("api"))
+    apis = index.units.select("dataset", "pair_id", "api")
+    most = SEED + budget.max_actions * budget.read_batch
     seeds = materialize(index.best.join(queries.select(*IDS), IDS, "left_semi").select(*IDS, "pair_id", "score", "place"))
-    assessed = _answers(verify, _asked(seeds, index, queries), 0)
+    assessed = _answers(verify, seeds.select(*IDS, "pair_id"), index, queries, 0)
+    found, read = seeds.join(apis, ["dataset", "pair_id"]).select(*IDS, "api").distinct(), seeds.select(*IDS, "pair_id", "score")
     state = _saved(
-        examined=seeds.select(*IDS, "pair_id"),
-        discovered=seeds.join(apis, ["dataset", "pair_id"]).select(*IDS, "api").distinct(),
+        examined=read,
+        discovered=found,
+        frontier=frontier(found, index.units, index.scores, most),
         assessed=assessed,
-        pool=cap_pool(index.scored(accepted(assessed)), budget.candidate_cap).select(*IDS, "pair_id", "place"),
+        pool=cap_pool(accepted(assessed).join(read, [*IDS, "pair_id"]), budget.candidate_cap).select(*IDS, "pair_id", "place"),
         control=queries.select(*IDS, F.lit(0).alias("expanded"), F.lit(False).alias("stopped")),
         trace=queries.sparkSession.createDataFrame([], f"dataset string, query_id int, {EVENT}").select(*[F.col(c).cast(queries.schema[c].dataType) for c in IDS], *[c.split()[0] for c in EVENT.split(", ")]),
     )
@@ -232,37 +272,62 @@ def retrieve(
         if state.control.where(~F.col("stopped")).isEmpty():
             break
     retained = state.pool
-    final = _answers(verify, _asked(retained, index, queries), budget.max_actions + 1)
-    again = index.scored(retained.join(final, [*IDS, "pair_id"])).join(apis, ["dataset", "pair_id"])
+    final = _answers(verify, retained.select(*IDS, "pair_id"), index, queries, budget.max_actions + 1)
+    again = retained.join(final, [*IDS, "pair_id"]).join(state.examined, [*IDS, "pair_id"]).join(apis, ["dataset", "pair_id"])
     place = F.row_number().over(window(*rank_key([F.col("retained_place"), F.desc("score")])))
     ranked = again.withColumnRenamed("place", "retained_place").withColumn("place", place).where(F.col("place") <= TOP)
     return ranked.select(*IDS, "place", "pair_id", "api", "score", *ASSESSMENT), state, seeds
 
 
-def _answers(verify: Callable, asked: DataFrame, step: int) -> DataFrame:
-    """A verifier's assessments, written if they are more than constants."""
-    found = verify(asked, step).select(*IDS, "pair_id", *ASSESSMENT)
-    return found if verify is constant_verifier else materialize(found)
+def _answers(verify: Callable, rows: DataFrame, index: Index, queries: DataFrame, step: int) -> DataFrame:
+    """A verifier's assessments of rows (ids, pair_id), written if they are more than constants, which need no texts."""
+    if verify is constant_verifier:
+        return verify(rows, step).select(*IDS, "pair_id", *ASSESSMENT)
+    return materialize(verify(_asked(rows, index, queries), step).select(*IDS, "pair_id", *ASSESSMENT))
+
+
+def _decisions(state: State, index: Index, queries: DataFrame, budget: Budget, choose: Callable, step: int) -> list[DataFrame]:
+    """What the policy chose for each live query, as written tables.
+
+    The built-in policy reads while there is something to read, so it looks at the graph only for queries that have not.
+    """
+    kept = lambda df: materialize(df.select(*IDS, "type", "action_id", "reason", "role", "pair_ids", "scores", "target_api", "target_pair"))
+    if choose is not heuristic_policy:
+        actions = materialize(legal_actions(state, index, budget))
+        out = [kept(choose(actions, step, evidence(state, index, queries)))]
+        drop_materialized(actions)
+        return out
+    live = state.control.where(~F.col("stopped")).select(*IDS)
+    out = [kept(choose(reads(state, live, budget), step))]
+    idle = live.join(out[0].select(*IDS), IDS, "left_anti")
+    return out if idle.isEmpty() else [*out, kept(choose(moves(state, index, idle, budget), step))]
 
 
 def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify: Callable, choose: Callable, step: int) -> State:
-    apis = index.pairs.select("dataset", "pair_id", F.col("canonical_api").alias("api"))
-    actions = legal_actions(state, index, budget)
-    actions = actions if choose is heuristic_policy else materialize(actions)
-    chosen = choose(actions, step, evidence(state, index, queries))
-    chosen = materialize(chosen.select(*IDS, "type", "action_id", "reason", "role", "pair_ids", "target_api", "target_pair"))
-    returned = chosen.select(
-        *IDS, F.posexplode(F.when(F.col("type") == "READ_API", F.col("pair_ids")).when(F.col("type") == "EXPAND_KU", F.array("target_pair")).otherwise(F.array().cast("array<string>"))).alias("at", "pair_id")
-    )
-    new = _answers(verify, _asked(returned, index, queries), step)
+    apis = index.units.select("dataset", "pair_id", "api")
+    decisions = _decisions(state, index, queries, budget, choose, step)
+    chosen = reduce(DataFrame.unionByName, decisions)
+    kind = F.col("type")
+    read = chosen.where(kind == "READ_API").select(*IDS, F.explode(F.arrays_zip("pair_ids", "scores")).alias("_read")).select(*IDS, F.col("_read.pair_ids").alias("pair_id"), F.col("_read.scores").alias("score"))
+    returned, discovered, opened = read, state.discovered, state.frontier
+    if not chosen.where(kind.isin("EXPAND_API", "EXPAND_KU")).isEmpty():
+        reached = chosen.where(kind == "EXPAND_KU").select(*IDS, F.col("target_pair").alias("pair_id"))
+        returned = read.unionByName(scorer(index.scores)(reached).select(*IDS, "pair_id", "score"))
+        found = chosen.where(kind == "EXPAND_API").select(*IDS, F.col("target_api").alias("api")).unionByName(reached.join(apis, ["dataset", "pair_id"]).select(*IDS, "api"))
+        found = materialize(found.join(state.discovered, [*IDS, "api"], "left_anti").distinct())
+        decisions.append(found)
+        if not found.isEmpty():
+            discovered = discovered.unionByName(found)
+            opened = opened.unionByName(frontier(found, index.units, index.scores, SEED + budget.max_actions * budget.read_batch))
+    new = _answers(verify, returned.select(*IDS, "pair_id"), index, queries, step)
     assessed = state.assessed.join(new, [*IDS, "pair_id"], "left_anti").unionByName(new)
+    examined = state.examined.unionByName(returned)
     taken = accepted(new).select(*IDS, "pair_id")
     members = state.pool.select(*IDS, "pair_id").unionByName(taken).distinct()
-    pool = cap_pool(index.scored(members.join(assessed, [*IDS, "pair_id"])), budget.candidate_cap).select(*IDS, "pair_id", "place")
+    pool = cap_pool(members.join(assessed, [*IDS, "pair_id"]).join(examined, [*IDS, "pair_id"]), budget.candidate_cap).select(*IDS, "pair_id", "place")
     lost = state.pool.select(*IDS, "pair_id").join(pool, [*IDS, "pair_id"], "left_anti")
     removed = returned.select(*IDS, "pair_id").join(taken, [*IDS, "pair_id"], "left_anti").unionByName(lost).groupBy(*IDS).agg(F.sort_array(F.collect_set("pair_id")).alias("removed"))
     blank = F.array().cast("array<string>")
-    kind = F.col("type")
     event = chosen.join(removed, IDS, "left").select(
         *IDS, F.lit(step).alias("step"), kind.alias("action"), "action_id", "reason", F.when(kind == "READ_API", F.col("role")).alias("role"),
         F.when(kind == "READ_API", F.col("pair_ids")).otherwise(blank).alias("read_pair_ids"),
@@ -271,22 +336,21 @@ def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify
         F.when(kind == "READ_API", F.col("pair_ids")).when(kind == "EXPAND_KU", F.array("target_pair")).otherwise(blank).alias("verified_pair_ids"),
         F.when(kind.isin("READ_API", "EXPAND_KU"), F.coalesce("removed", blank)).otherwise(blank).alias("removed_pair_ids"),
     )
-    found = chosen.where(kind == "EXPAND_API").select(*IDS, F.col("target_api").alias("api"))
-    found = found.unionByName(chosen.where(kind == "EXPAND_KU").select(*IDS, F.col("target_pair").alias("pair_id")).join(apis, ["dataset", "pair_id"]).select(*IDS, "api"))
     control = state.control.join(chosen.select(*IDS, kind.alias("_did")), IDS, "left").select(
         *IDS,
         (F.col("expanded") + F.coalesce(F.col("_did").isin("EXPAND_API", "EXPAND_KU").cast("int"), F.lit(0))).alias("expanded"),
         (F.col("stopped") | F.coalesce(F.col("_did") == "STOP", F.lit(False))).alias("stopped"),
     )
     out = _saved(
-        examined=state.examined.unionByName(returned.select(*IDS, "pair_id")).distinct(),
-        discovered=state.discovered.unionByName(found).distinct(),
+        examined=examined,
+        discovered=discovered,
+        frontier=opened,
         assessed=assessed,
         pool=pool,
         control=control,
         trace=state.trace.unionByName(event),
     )
-    for df in (state.held, actions, chosen, new):
+    for df in (state.held, *decisions, new):
         drop_materialized(df)
     return out
 
