@@ -12,10 +12,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessergraph.functions.text import answer_object, clamp, split_trimmed, string_or_list
+from tessergraph.sources.durable import drop_materialized, materialize
 
 IDS = ["dataset", "query_id"]
 ASSESSMENT = ["api_fit", "ku_support", "keep", "missing_needs"]
@@ -58,18 +59,67 @@ def chat_client(endpoint: str, model: str, key_env: str, timeout: float = 120) -
     return call
 
 
+LEDGER = "prompt_key string, content string"
+#: Prompts that are asked between two writes of a ledger.
+CHUNK = 2_000
+
+
 def ask(
-    df: DataFrame, call: Callable[[str, str, int], str], system: str, fields: list[str], max_tokens: int = 1200, name: str = "content", nested: tuple[str, ...] = ()
+    df: DataFrame, call: Callable[[str, str, int], str], system: str, fields: list[str], max_tokens: int = 1200, name: str = "content", nested: tuple[str, ...] = (), ledger: str | None = None
 ) -> DataFrame:
-    """Adds a model's answer about the given fields of each row, asked from the executors; nested fields hold JSON already."""
+    """Adds a model's answer about the given fields of each row, asked from the executors; nested fields hold JSON already.
+
+    With a ledger, a folder of answers by prompt, only prompts that it lacks are asked, each once however many rows have it;
+    see record(). Without one a row is asked whenever its task runs.
+    """
+    prompt = lambda r: json.dumps({f: json.loads(r[f]) if f in nested else r[f] for f in fields}, ensure_ascii=False, default=str)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch.to_dict("records")
+            batch[name] = [prompt(r) if ledger else call(system, prompt(r), max_tokens) for r in rows]
+            yield batch
+
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {name} string"
+    out = df.mapInPandas(told, schema)
+    if not ledger:
+        return out
+    keyed = out.withColumn("prompt_key", prompt_key(F.lit(system), F.col(name), F.lit(max_tokens))).withColumnRenamed(name, "_prompt")
+    keyed = materialize(keyed)
+    record(keyed.select("prompt_key", "_prompt").dropDuplicates(["prompt_key"]), call, system, max_tokens, ledger)
+    answers = read_ledger(df.sparkSession, ledger).withColumnRenamed("content", name)
+    return keyed.join(answers, "prompt_key").select(*df.columns, name)
+
+
+def prompt_key(system: Column, prompt: Column, max_tokens: Column) -> Column:
+    """The key of a prompt: a digest of all that is sent."""
+    return F.sha2(F.concat_ws("\0", system, prompt, max_tokens.cast("string")), 256)
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """(prompt_key, content), an answer for each prompt; the folder is made where there is none."""
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger).groupBy("prompt_key").agg(F.min("content").alias("content"))
+
+
+def record(prompts: DataFrame, call: Callable[[str, str, int], str], system: str, max_tokens: int, ledger: str) -> None:
+    """Asks the prompts (prompt_key, _prompt) that a ledger lacks and appends their answers, CHUNK by CHUNK.
+
+    What was appended is never asked again, so a run that breaks off, or an executor that is lost, costs the answers of one
+    chunk at most.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch[name] = [call(system, json.dumps({f: json.loads(r[f]) if f in nested else r[f] for f in fields}, ensure_ascii=False, default=str), max_tokens) for r in batch.to_dict("records")]
-            yield batch
+            yield pd.DataFrame({"prompt_key": batch["prompt_key"], "content": [call(system, p, max_tokens) for p in batch["_prompt"]]})
 
-    return df.mapInPandas(run, schema)
+    spark = prompts.sparkSession
+    missing = materialize(prompts.join(read_ledger(spark, ledger), "prompt_key", "left_anti"))
+    parts = -(-missing.count() // CHUNK)
+    for k in range(parts):
+        own = missing.where(F.pmod(F.xxhash64("prompt_key"), F.lit(parts)) == k)
+        own.mapInPandas(run, LEDGER).write.mode("append").parquet(ledger)
+    drop_materialized(missing)
 
 
 def parse_object(content: str) -> dict:
@@ -164,7 +214,9 @@ def replay_policy(recorded: DataFrame) -> Callable[..., DataFrame]:
     return choose
 
 
-def label_pairs(pairs: DataFrame, call: Callable[[str, str, int], str] | None = None, demonstrations: DataFrame | None = None, recorded: DataFrame | None = None) -> DataFrame:
+def label_pairs(
+    pairs: DataFrame, call: Callable[[str, str, int], str] | None = None, demonstrations: DataFrame | None = None, recorded: DataFrame | None = None, ledger: str | None = None
+) -> DataFrame:
     """Labels pairs. Without a model or recorded answers all must be labelled already, and stay as they are.
 
     With one, every row is labelled anew. demonstrations: (target, demonstrations) for the prompt; recorded: (pair_id, content).
@@ -180,5 +232,5 @@ def label_pairs(pairs: DataFrame, call: Callable[[str, str, int], str] | None =
         answers = pairs.join(recorded.select("pair_id", "content"), "pair_id")
     else:
         shown = pairs.join(demonstrations.withColumnRenamed("target", "pair_id"), "pair_id", "left")
-        answers = ask(shown, call, LABEL_PROMPT, shown.columns).drop("demonstrations")
+        answers = ask(shown, call, LABEL_PROMPT, [c for c in shown.columns if c != "_ord"], ledger=ledger).drop("demonstrations")
     return parse_labels(answers).drop("content")

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from tessergraph.operators import judge, similarity
 from tessergraph.operators.candidates import candidate_rows, ku_candidates, ordered
 from tessergraph.operators.collect import PAIR_COLUMNS, REFERENCE_COLUMNS, collect
 from tessergraph.plans import release, retrieve
-from tessergraph.sources.files import dataset_paths, load_graph, read_csv, write_csv, write_json
+from tessergraph.sources.files import dataset_paths, load_graph, read_csv, write_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -60,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--chat-model")
         sub.add_argument("--key-env", default="CHAT_API_KEY")
         sub.add_argument("--run-llm", action="store_true")
+        sub.add_argument("--ledger", help="a folder that keeps a model's answers by prompt, so that none is asked for twice")
     return top
 
 
@@ -92,7 +92,7 @@ def run_label(spark: SparkSession, args) -> dict:
     pool = read_csv(spark, args.demonstrations) if args.demonstrations else pairs
     pool = pool.where(F.col("identified_relevance").isin("0", "1"))
     call = client(args) if args.run_llm else None
-    write_csv(judge.label_pairs(pairs, call, demonstrations(pairs, pool) if call else None), args.output)
+    write_csv(judge.label_pairs(pairs, call, demonstrations(pairs, pool) if call else None, ledger=args.ledger), args.output)
     return {"written": args.output}
 
 
@@ -104,7 +104,7 @@ def run_build(spark: SparkSession, args) -> dict:
         admitted = builder.default_dataset(builder.admit(pairs))
         found = retrieve.materialize(ordered(ku_candidates(admitted, args.same_api_k, args.cross_api_k)))
         rows = candidate_rows(admitted, found)
-        judged = judge.parse_relations(judge.ask(rows, client(args), judge.RELATION_PROMPT, ["left_api", "left_ku", "right_api", "right_ku"]))
+        judged = judge.parse_relations(judge.ask(rows, client(args), judge.RELATION_PROMPT, ["left_api", "left_ku", "right_api", "right_ku"], ledger=args.ledger))
     nodes, edges = builder.build(pairs, judged=judged, **others)
     write_csv(nodes.withColumn("_ord", F.struct(F.col("kind"), F.coalesce("_ord", F.lit(0)), F.col("api"))), f"{args.output}/nodes.csv", builder.NODE_COLUMNS)
     write_csv(edges.withColumn("_ord", F.col("_place")), f"{args.output}/edges.csv", builder.EDGE_COLUMNS)
@@ -119,8 +119,8 @@ def judges(args) -> dict:
 
         def verify(asked, step):
             item = F.struct("pair_id", F.col("canonical_api").alias("api"), F.col("ku").alias("knowledge_unit"))
-            batch = asked.groupBy(*judge.IDS, "query").agg(F.to_json(F.collect_list(item)).alias("pairs"))
-            answers = judge.ask(batch, call, judge.VERIFY_PROMPT, ["query", "pairs"], 3000, nested=("pairs",))
+            batch = asked.groupBy(*judge.IDS, "query").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("pairs"))
+            answers = judge.ask(batch, call, judge.VERIFY_PROMPT, ["query", "pairs"], 3000, nested=("pairs",), ledger=args.ledger)
             found = judge.parse_assessments(answers).select(*judge.IDS, "at", "pair_id", *judge.ASSESSMENT)
             return judge.replay_verifier(retrieve.materialize(found.withColumn("step", F.lit(step))))(asked, step)
 
@@ -132,7 +132,7 @@ def judges(args) -> dict:
             item = F.struct("place", F.struct(F.col("action_id").alias("id"), "type", "role", "pair_ids", F.col("target_api").alias("target"), "target_pair").alias("action"))
             listed = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["action"])
             batch = actions.groupBy(*judge.IDS).agg(F.to_json(listed).alias("legal_actions")).join(seen.withColumn("evidence", F.to_json("evidence")), judge.IDS)
-            answers = judge.ask(batch, call, judge.CONTROL_PROMPT, ["query", "evidence", "legal_actions"], nested=("evidence", "legal_actions"))
+            answers = judge.ask(batch, call, judge.CONTROL_PROMPT, ["query", "evidence", "legal_actions"], nested=("evidence", "legal_actions"), ledger=args.ledger)
             picked = F.from_json(judge.answer_object(F.col("content")), "action_id string, reason string")
             own = answers.select(*judge.IDS, F.lit(step).alias("step"), picked["action_id"].alias("action_id"), F.coalesce(picked["reason"], F.lit("")).alias("reason"))
             return judge.replay_policy(retrieve.materialize(own))(actions, step)
@@ -153,18 +153,16 @@ def run_retrieve(spark: SparkSession, args) -> dict:
             queries = spark.createDataFrame([(args.dataset, 0, args.query, [])], queries.schema)
     names = DATASETS if args.all else [args.dataset]
     budget = retrieve.Budget(args.max_actions, args.max_expansions, args.read_batch, args.candidate_cap)
-    report = []
-    for name in names:
+    path = f"{args.output}/{'results' if args.all else args.dataset}.json"
+    for k, name in enumerate(names):
         paths = dataset_paths(args.data_root, name)
         pairs = read_csv(spark, paths["pairs"]).withColumn("dataset", F.lit(name))
         nodes, edges = load_graph(spark, paths["nodes"], paths["edges"])
         own = queries.where(F.col("dataset") == name)
         vectors = similarity.with_vectors(own, F.col("query")), similarity.with_vectors(pairs, pair_text(pairs.columns))
-        found = retrieve.run(own, pairs, vectors, nodes, edges, budget, **judges(args)).orderBy("query_id")
-        report += [json.loads(r) for r in found.toJSON().collect()]  # one row a query
-    path = Path(args.output) / ("results.json" if args.all else f"{args.dataset}.json")
-    write_json(path, report)
-    return {"written": str(path), "queries": len(report)}
+        found = retrieve.run(own, pairs, vectors, nodes, edges, budget, **judges(args))
+        found.write.mode("append" if k else "overwrite").json(path)  # JSON lines, a row a query
+    return {"written": path, "queries": spark.read.schema("query_id int").json(path).count()}
 
 
 def main(argv: list[str] | None = None) -> None:

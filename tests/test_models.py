@@ -34,7 +34,7 @@ def small_graph(spark):
 
 def test_model_mode_follows_the_heuristic_one(spark, monkeypatch):
     monkeypatch.setattr(cli, "client", lambda args: fake_call)
-    args = Namespace(verifier="llm", controller="llm")
+    args = Namespace(verifier="llm", controller="llm", ledger=None)
     plain = {r.query_id: r for r in retrieve.run(*small_graph(spark)).collect()}
     got = {r.query_id: r for r in retrieve.run(*small_graph(spark), **cli.judges(args)).collect()}
     for q in (1, 2):
