@@ -7,6 +7,7 @@ plain Python on small fixtures instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -463,6 +464,29 @@ def judged_relation_edges(spark, d):
     return build.judged_edges(judge.parse_relations(rows)).drop("_rank", "_ord")
 
 
+def _rule_verifier(asked: DataFrame, step: int) -> DataFrame:
+    """Assessments by a rule on the pair's number, which rejects half of all pairs."""
+    number = F.right("pair_id", F.lit(6)).cast("long")
+    return asked.select(*judge.IDS, "pair_id", (number % 4).cast("int").alias("api_fit"), (number % 3).cast("int").alias("ku_support"), F.lit(True).alias("keep"), F.array().cast("array<string>").alias("missing_needs"))
+
+
+def _replayed(spark, d):
+    """Retrieval with recorded answers: a first run's rule and choices are written down, and a second one replays them."""
+    nodes, edges = _graph(spark, d)
+    index = retrieve.make_index(adapters.pairs(spark, d), (adapters.queries(spark, d), adapters.pair_vectors(spark, d)), nodes, edges)
+    asked = retrieve.materialize(adapters.queries(spark, d).select("dataset", "query_id", "query"))
+    said: list[DataFrame] = []
+
+    def verify(rows: DataFrame, step: int) -> DataFrame:
+        said.append(retrieve.materialize(_rule_verifier(rows, step).withColumn("step", F.lit(step))))
+        return said[-1]
+
+    _, state, _ = retrieve.retrieve(asked, index, verify=verify)
+    answers = retrieve.materialize(reduce(DataFrame.unionByName, said))
+    choices = retrieve.materialize(state.trace.select(*judge.IDS, "step", "action_id", "reason"))
+    return retrieve.retrieve(asked, index, verify=judge.replay_verifier(answers), choose=judge.replay_policy(choices))
+
+
 def _retrieved(spark, d):
     nodes, edges = _graph(spark, d)
     vectors = adapters.queries(spark, d), adapters.pair_vectors(spark, d)
@@ -471,13 +495,18 @@ def _retrieved(spark, d):
     return asked, index, retrieve.retrieve(asked, index)
 
 
-def _unrolled(steps: int = 6, expansions: int = 3, batch: int = 6, cap: int = 30, top: int = 15) -> str:
-    """The loop as common table expressions: states e (examined), d (discovered) and c (control) of each step."""
+#: What _rule_verifier() says of a pair, in SQL: whether it is accepted, and the order of those that are.
+_ACCEPTED = "CAST(right(pair_id, 6) AS BIGINT) % 4 > 0 AND CAST(right(pair_id, 6) AS BIGINT) % 3 > 0"
+_RANKED = "CAST(right(pair_id, 6) AS BIGINT) % 4 DESC, CAST(right(pair_id, 6) AS BIGINT) % 3 DESC, score DESC, pair_id"
+
+
+def _unrolled(steps: int = 6, expansions: int = 3, batch: int = 6, cap: int = 30, top: int = 15, accepted: str = "true", ranked: str = "score DESC, pair_id") -> str:
+    """The loop as common table expressions: states e (examined), d (discovered), w (pool) and c (control) of each step."""
     sql = with_views("v_scores", "v_roles", "v_api_links", "v_ku_links") + f""", p AS MATERIALIZED (SELECT pair_id, canonical_api AS api FROM v_pairs), sc AS MATERIALIZED (SELECT query_id, pair_id, score FROM v_scores),
     ro AS MATERIALIZED (SELECT * FROM v_roles), al AS MATERIALIZED (SELECT * FROM v_api_links), kl AS MATERIALIZED (SELECT * FROM v_ku_links),
     e0 AS MATERIALIZED (SELECT query_id, pair_id FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) <= 5),
     d0 AS MATERIALIZED (SELECT DISTINCT query_id, api FROM e0 JOIN p USING (pair_id)), c0 AS MATERIALIZED (SELECT DISTINCT query_id, 0 AS x, false AS stopped FROM e0),
-    w0 AS MATERIALIZED (SELECT query_id, pair_id FROM e0 JOIN sc USING (query_id, pair_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) <= {cap})"""
+    w0 AS MATERIALIZED (SELECT query_id, pair_id FROM e0 JOIN sc USING (query_id, pair_id) WHERE {accepted} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {ranked}) <= {cap})"""
     for k in range(1, steps + 1):
         j = k - 1
         sql += f""",
@@ -496,12 +525,14 @@ def _unrolled(steps: int = 6, expansions: int = 3, batch: int = 6, cap: int = 30
     e{k} AS MATERIALIZED (SELECT query_id, pair_id FROM e{j} UNION SELECT query_id, pair_id FROM r{k} UNION SELECT query_id, struct_extract(t, 5) FROM h{k}),
     d{k} AS MATERIALIZED (SELECT query_id, api FROM d{j} UNION SELECT query_id, struct_extract(t, 3) FROM g{k} UNION SELECT query_id, p.api FROM h{k} JOIN p ON p.pair_id = struct_extract(t, 5)),
     w{k} AS MATERIALIZED (SELECT query_id, pair_id FROM (SELECT query_id, pair_id FROM w{j} UNION SELECT query_id, pair_id FROM r{k} UNION SELECT query_id, struct_extract(t, 5) FROM h{k}) JOIN sc USING (query_id, pair_id)
-      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) <= {cap}),
-    x{k} AS MATERIALIZED (SELECT query_id, string_agg(pair_id, ',' ORDER BY pair_id) AS removed FROM w{j} WHERE NOT EXISTS (SELECT 1 FROM w{k} w WHERE w.query_id = w{j}.query_id AND w.pair_id = w{j}.pair_id) GROUP BY query_id),
+      WHERE {accepted} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {ranked}) <= {cap}),
+    x{k} AS MATERIALIZED (SELECT query_id, string_agg(pair_id, ',' ORDER BY pair_id) AS removed FROM (
+      SELECT query_id, pair_id FROM w{j} WHERE NOT EXISTS (SELECT 1 FROM w{k} w WHERE w.query_id = w{j}.query_id AND w.pair_id = w{j}.pair_id)
+      UNION SELECT query_id, pair_id FROM (SELECT query_id, pair_id FROM r{k} UNION SELECT query_id, struct_extract(t, 5) FROM h{k}) WHERE NOT ({accepted})) GROUP BY query_id),
     c{k} AS MATERIALIZED (SELECT c.query_id, c.x + CAST(coalesce(a.action IN ('EXPAND_API', 'EXPAND_KU'), false) AS INT) AS x, c.stopped OR coalesce(a.action = 'STOP', false) AS stopped FROM c{j} c LEFT JOIN a{k} a USING (query_id))"""
     return sql + f""",
     t AS ({" UNION ALL ".join(f"SELECT query_id, {k} AS step, action, action_id, verified, coalesce(removed, '') AS removed FROM a{k} LEFT JOIN x{k} USING (query_id)" for k in range(1, steps + 1))}),
-    ranked AS (SELECT query_id, pair_id, api, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS place FROM e{steps} JOIN sc USING (query_id, pair_id) JOIN p USING (pair_id) QUALIFY place <= {top})
+    ranked AS (SELECT query_id, pair_id, api, score, row_number() OVER (PARTITION BY query_id ORDER BY {ranked}) AS place FROM w{steps} JOIN sc USING (query_id, pair_id) JOIN p USING (pair_id) QUALIFY place <= {top})
     """
 
 
@@ -517,6 +548,20 @@ def retrieve_trace(spark, d):
     return state.trace.select("query_id", "step", "action", "action_id", F.array_join("verified_pair_ids", ",").alias("verified"), F.array_join("removed_pair_ids", ",").alias("removed"))
 
 
+@registered(_unrolled(accepted=_ACCEPTED, ranked=_RANKED) + "SELECT query_id, step, action, action_id, verified, removed FROM t")
+def retrieve_replayed_trace(spark, d):
+    """Recorded answers and choices, replayed: pairs go by rejection and by the cap."""
+    _, state, _ = _replayed(spark, d)
+    return state.trace.select("query_id", "step", "action", "action_id", F.array_join("verified_pair_ids", ",").alias("verified"), F.array_join("removed_pair_ids", ",").alias("removed"))
+
+
+@registered(_unrolled(accepted=_ACCEPTED, ranked=_RANKED) + "SELECT query_id, place, pair_id, api, score FROM ranked")
+def retrieve_replayed(spark, d):
+    """The best pairs under recorded answers, in the order of their assessments."""
+    ranked, _, _ = _replayed(spark, d)
+    return ranked.select("query_id", "place", "pair_id", "api", "score")
+
+
 _LISTS = {"initial_pair_ids": ("e0", "pair_id", "score DESC, pair_id"), "observed_pair_ids": ("e6", "pair_id", "pair_id"), "candidate_pool_pair_ids": ("w6", "pair_id", "score DESC, pair_id"), "ranked_pair_ids": ("ranked", "pair_id", "place")}
 
 
