@@ -31,8 +31,9 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Null texts and roles are empty; a null kind is ``message``, a null msg the event's own seq. Changes are folded message by
     message, so only final messages meet in their conversation. Messages with one sequence number keep the order of role,
-    then text; repeated message rows stay repeated. Changes to a message that was never opened, or to none (msg and seq
-    null), are left out. A null conversation id is a conversation of its own. Other columns are not read.
+    then text; repeated message rows stay repeated. A message that was never opened is opened, empty, by its first change, whose
+    place and role it gets; changes that name none (msg and seq null) make one message of their own. A null conversation id
+    is a conversation of its own. Other columns are not read.
     """
     filled = events.select(
         "conv_id",
@@ -43,12 +44,14 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     opens = F.col("kind") == "message"
-    own = filled.groupBy("conv_id", "msg").agg(
+    own = filled.groupBy("conv_id", "msg", (~opens & F.col("msg").isNull()).alias("nameless")).agg(
         F.collect_list(F.when(opens, F.struct("seq", "role", "text"))).alias("opened"),
-        F.sort_array(F.collect_list(F.when(~opens & F.col("msg").isNotNull(), F.struct("seq", "kind", "text")))).alias("log"),
+        F.sort_array(F.collect_list(F.when(~opens, F.struct("seq", "kind", "text", "role")))).alias("log"),
     )
+    first = F.array(F.struct(F.col("log")[0]["seq"].alias("seq"), F.col("log")[0]["role"].alias("role"), F.lit("").alias("text")))
+    own = own.withColumn("opened", F.when(F.size("opened") > 0, F.col("opened")).otherwise(first))
     resets = F.expr("filter(transform(log, (e, i) -> if(e.kind = 'delta', -1, i)), i -> i >= 0)")
-    own = own.where(F.size("opened") > 0).withColumn("reset", F.coalesce(F.array_max(resets), F.lit(-1)))
+    own = own.withColumn("reset", F.coalesce(F.array_max(resets), F.lit(-1)))
     own = own.withColumn("said", F.array_join(F.expr("transform(slice(log, greatest(reset, 0) + 1, size(log)), e -> e.text)"), ""))
     text = lambda m: F.when(F.col("reset") >= 0, F.col("said")).otherwise(F.concat(m["text"], F.col("said")))
     final = own.select("conv_id", F.transform("opened", lambda m: F.struct(m["seq"].alias("seq"), m["role"].alias("role"), text(m).alias("text"))).alias("own"))

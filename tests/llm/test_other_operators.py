@@ -87,7 +87,7 @@ def test_events_fold(spark):
     ]
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg long, role string, text string")
     got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.fold_events(events).collect()}
-    assert got == {1: [("user", "hello!"), ("assistant", "Hi there")], 2: [("user", "ab")]}
+    assert got == {1: [("user", "hello!"), ("assistant", "Hi there")], 2: [("user", "ab"), ("", "lost")], 3: [("", "never opened")]}
 
 
 def test_html_held_out():
@@ -146,7 +146,18 @@ def test_changes_to_no_message(spark):
     log = [(1, 0, "message", 0, "user", "a"), (1, None, "delta", None, None, "lost"), (1, None, "message", None, "user", "first"), (4, None, "delta", None, None, "lost")]
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg long, role string, text string")
     got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.fold_events(events).collect()}
-    assert got == {1: [("user", "first"), ("user", "a")]}
+    assert got == {1: [("", "lost"), ("user", "first"), ("user", "a")], 4: [("", "lost")]}
+
+
+def test_a_first_change_opens_a_message(spark):
+    """Conversations of deltas only, edits before any opening, and roles that a change brings along."""
+    log = [
+        (1, 3, "delta", 7, "assistant", "Hel"), (1, 4, "delta", 7, None, "lo"), (1, 5, "edit", 8, "user", "new"), (1, 6, "delta", 8, None, "!"),
+        (2, 1, "delta", 1, None, "a"), (2, 0, "regenerate", 1, "assistant", "b"), (2, 5, "message", 5, "user", "z"), (3, None, "edit", 2, "user", "x"),
+    ]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg long, role string, text string")
+    got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.fold_events(events).collect()}
+    assert got == {1: [("assistant", "Hello"), ("user", "new!")], 2: [("assistant", "ba"), ("user", "z")], 3: [("user", "x")]}
 
 
 def test_turns_come_back_from_their_events(spark, small):
