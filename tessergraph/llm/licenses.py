@@ -25,6 +25,8 @@ from tessergraph.llm.common import bounded_batches, plain_id, restored, table
 MIN_COVERAGE, MAX_STRETCH = 0.8, 1.5
 #: Parts for longer templates are first counted word by word, as an alignment takes long.
 LONG = 400
+#: Parts that are tried for one length of a template, at most.
+STRIDES = 50
 _WORD = re.compile(r"[^\W_]+")
 
 # Wording of public licenses and of their customary notices.
@@ -191,6 +193,26 @@ def _index() -> tuple[dict[str, list[str]], dict[tuple[str, str], list[str]], di
     return templates, pairs, {name: Counter(words) for name, words in templates.items()}
 
 
+def widened(words: list[str], template: list[str], hits: list[int], low: int, matched: list[tuple[int, int]], reach: int) -> tuple[list[tuple[int, int]], int, int]:
+    """(alignment, first word, word after the last) of a part that matches from ``low``, or of a better one that begins soon after.
+
+    A part may begin in other text, before its license, and then end too soon. So it is aligned anew from its own first word
+    as long as that is better, and where it is not yet whole also from hits within the template's length.
+    """
+    start, end = low + matched[0][0], low + matched[-1][0] + 1
+    tried, step = start, max(1, len(template) // 10)
+    for begin in [start, *hits]:
+        if len(matched) == len(template) or begin > start + len(template):
+            break
+        if begin != start and begin < tried + step:
+            continue
+        tried = begin
+        while len(better := align(words[begin : begin + reach], template)) > len(matched):
+            matched, start, end = better, begin + better[0][0], begin + better[-1][0] + 1
+            begin = start
+    return matched, start, end
+
+
 def scan(text: str | None) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, word after the last) of parts of a text that match, in order, without overlaps."""
     if not text:
@@ -208,22 +230,27 @@ def scan(text: str | None) -> list[tuple[str, float, int, int]]:
         # No part can align with more words than the text has of the template's.
         if sum(min(n, held[w]) for w, n in counts[name].items()) < MIN_COVERAGE * len(template):
             continue
-        reach = int(len(template) * MAX_STRETCH) + 1
-        done = 0
+        # Parts that are tried begin ``stride`` words apart or more, and are that much longer than the longest that may match.
+        least, stride = MIN_COVERAGE * len(template), max(1, len(template) // STRIDES)
+        reach = int(len(template) * MAX_STRETCH) + stride
+        done = wait = 0
         for k, first in enumerate(at):
-            if first < done:
+            if first < max(done, wait):
                 continue
-            # The part from this hit; a hit that no alignment uses leaves the next one to begin its own.
+            # The part from this hit; a hit that no alignment uses leaves a later one to begin its own.
             low, high = max(done, first - len(template) // 4), min(len(words), first + reach)
             if bisect_left(at, high) - k < max(1, len(template) // 8):
                 continue
-            if len(template) > LONG and (Counter(words[low:high]) & counts[name]).total() < MIN_COVERAGE * len(template):
+            if len(template) > LONG and (bound := (Counter(words[low:high]) & counts[name]).total()) < least:
+                wait = first + max(stride, int(least - bound))
                 continue
             matched = align(words[low:high], template)
-            if len(matched) >= MIN_COVERAGE * len(template):
-                start, end = low + matched[0][0], low + matched[-1][0] + 1
+            if len(matched) >= least:
+                matched, start, end = widened(words, template, at[k : bisect_left(at, first + reach + len(template))], low, matched, reach)
                 found.append((len(matched), len(matched) / len(template), name, start, end))
                 done = end
+            else:  # a part that reaches d words further has d aligned words more at most
+                wait = first + max(stride, int(least - len(matched)))
     found.sort(key=lambda f: (-f[0], -f[1], f[2], f[3]))
     kept: list[tuple[str, float, int, int]] = []
     for _, coverage, name, start, end in found:

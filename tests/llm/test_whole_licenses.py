@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -56,3 +57,61 @@ def test_very_long_text():
     draw = random.Random(3)
     text = " ".join([prose(draw, 150_000), licenses.TEMPLATES["MIT"], prose(draw, 150_000), licenses.all_templates()["GPL-2-text"], prose(draw, 10)])
     assert [f[0] for f in licenses.scan(text)] == ["MIT", "GPL-2-text"]
+
+
+def longest_common(a, b):
+    """Words of a longest common subsequence, by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_all_licenses_in_one_text():
+    """Each template, one after another, is found whole, or inside a longer one; in time that grows with the text."""
+    texts = licenses.all_templates()
+    began = time.time()
+    found = licenses.scan("".join(f"{text}\n{'own words ' * 150}\n" for text in texts.values()))
+    assert time.time() - began < 10
+    names = {name for name, *_ in found}
+    assert all(cover == 1.0 for _, cover, _, _ in found)
+    inside = {n for n, t in texts.items() for m in names if " ".join(licenses.words_of(t)) in " ".join(licenses.words_of(texts[m]))}
+    assert set(texts) <= inside | names
+    assert all(a[3] <= b[2] for a, b in zip(found, found[1:]))
+
+
+def test_scrambled_and_partial_licenses_end_soon():
+    draw = random.Random(4)
+    text = licenses.all_templates()["GPL-3-text"]
+    words = licenses.words_of(text)
+    sentences = text.split(".")
+    draw.shuffle(sentences)
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 3)]
+    parts = [".".join(sentences), " ".join(words[: 7 * len(words) // 10] + ["other"] * 2000), " ".join(draw.choices(runs, k=2700))]
+    began = time.time()
+    assert [[n for n, *_ in licenses.scan(p) if n == "GPL-3-text"] for p in parts] == [[], [], []]
+    assert time.time() - began < 5
+
+
+def test_several_parts_against_the_longest_common_subsequence():
+    """Licenses with words left out and put in, between other text: each is found, aligned almost as far as can be."""
+    draw = random.Random(6)
+    texts = {n: licenses.words_of(t) for n, t in licenses.all_templates().items()}
+    names = ["MIT", "ISC-text", "BSD-2-text", "Apache-header", "GPL-header", "Zlib", "Unlicense-text"]
+    for _ in range(6):
+        said, want = [], []
+        for name in draw.sample(names, 3):
+            said += [f"own{draw.randrange(99)}" for _ in range(draw.randint(3, 40))]
+            own = [w for w in texts[name] if draw.random() > 0.06]
+            for _ in range(len(own) // 12):
+                own.insert(draw.randrange(len(own)), f"new{draw.randrange(99)}")
+            want.append((name, len(said), own))
+            said += own
+        found = licenses.scan(" ".join(said))
+        for name, start, own in want:
+            (cover,) = [c for n, c, s, e in found if n == name and s >= start - 3 and e <= start + len(own) + 3]
+            best = longest_common(own, texts[name]) / len(texts[name])
+            assert 0.95 * best <= cover <= best
+        assert len(found) == 3
