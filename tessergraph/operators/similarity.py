@@ -222,6 +222,105 @@ def bm25(docs: DataFrame, targets: DataFrame, doc_col: str = "doc", target_col:
     )
 
 
+#: Digits to which scores are compared: sums of doubles in another order differ beyond.
+DIGITS = 6
+
+
+class _Impacts:
+    """Some documents' terms turned around: for each term its documents and their weights, and the highest of them."""
+
+    def __init__(self, docs: list, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.docs, self.weights = np.array(docs, object), weights[order]
+        self.holders = np.repeat(np.arange(len(docs)), sizes)[order]
+        self.terms, self.starts = np.unique(terms[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(terms))
+        self.most = np.maximum.reduceat(self.weights, self.starts) if len(terms) else np.zeros(0)
+
+    def best(self, terms: np.ndarray, times: np.ndarray, held: list, count: int) -> list:
+        """The best (-score, document) of a target among those held and these; none are summed if their highest weights fall short."""
+        at = np.searchsorted(self.terms, terms)
+        there = np.flatnonzero((at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)) if len(self.terms) else []
+        if not len(there):
+            return held
+        at, times = at[there], times[there]
+        if len(held) == count and (np.maximum(self.most[at], 0) * times).sum() < -held[-1][0] - 10.0**-DIGITS:
+            return held
+        lengths = self.ends[at] - self.starts[at]
+        before = np.cumsum(lengths) - lengths
+        places = np.repeat(self.starts[at] - before, lengths) + np.arange(lengths.sum())
+        own = self.holders[places]
+        scores = np.round(np.bincount(own, self.weights[places] * np.repeat(times, lengths), len(self.docs)), DIGITS)
+        some = np.unique(own)
+        if len(some) > count:
+            some = some[scores[some] >= np.partition(scores[some], len(some) - count)[len(some) - count]]
+        return sorted(held + list(zip((-scores[some]).tolist(), self.docs[some].tolist())))[:count]
+
+
+def _impact_heaps(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (block, side, id, terms, weights), a block's targets first, to (target, doc, lexical)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, targets = None, []
+
+        def done() -> pa.RecordBatch:
+            rows = [(t, doc, -score) for t, _, _, held in targets for score, doc in held]
+            columns = list(zip(*rows)) if rows else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["target", "doc", "lexical"])
+
+        for batch in batches:
+            blocks, sides = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            edges = [0, *(i for i in range(1, batch.num_rows) if blocks[i] != blocks[i - 1] or sides[i] != sides[i - 1]), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    if targets:
+                        yield done()
+                    block, targets = blocks[a], []
+                part = batch.slice(a, b - a)
+                names, sizes = part.column(2).to_pylist(), part.column(3).value_lengths().to_numpy()
+                terms, weights = part.column(3).flatten().to_numpy(), part.column(4).flatten().to_numpy()
+                if sides[a] == 0:
+                    cuts = np.cumsum(sizes)[:-1]
+                    targets += [[n, t, w, []] for n, t, w in zip(names, np.split(terms, cuts), np.split(weights, cuts))]
+                    continue
+                held = _Impacts(names, sizes, terms, weights)
+                for target in targets:
+                    target[3] = held.best(target[1], target[2], target[3], count)
+        if targets:
+            yield done()
+
+    return run
+
+
+def top_bm25(docs: DataFrame, targets: DataFrame, count: int, doc_col: str = "doc", target_col: str = "target", terms: str = "terms") -> DataFrame:
+    """(target, doc, lexical, place): each target's first ``count`` documents by bm25(), to six digits, then by id; ids as strings.
+
+    Documents are dealt to parts and targets to blocks, and each part's postings meet each block in batches. A target looks at a
+    batch only if the highest weights of its terms there can reach its last place; nothing is joined on a term that
+    many documents have, and no table of all scores is written.
+    """
+    tf, df, totals = term_statistics(docs, doc_col, terms)
+    numbers = materialize(inverse_frequency(df, totals).select("term", "idf", F.monotonically_increasing_id().alias("number")))
+    length = 1 - B + B * F.col("length") / F.col("mean_length")
+    weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * length)
+    listed = lambda value: F.sort_array(F.collect_list(F.struct("number", value.cast("double").alias("weight"))))
+    held = tf.join(numbers, "term").join(F.broadcast(totals.select("mean_length"))).groupBy(doc_col).agg(listed(weight).alias("_list"))  # one row
+    times = targets.select(target_col, F.explode(terms).alias("term")).groupBy(target_col, "term").agg(F.count("*").alias("times"))
+    asked = materialize(times.join(numbers, "term").groupBy(target_col).agg(listed(F.col("times")).alias("_list")))
+    blocks, parts = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-docs.count() // PAIR_BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = lambda df, side, name: df.select(F.concat_ws(":", "_b", "_s").alias("block"), F.lit(side).alias("side"), F.col(name).cast("string").alias("id"), F.col("_list.number").alias("terms"), F.col("_list.weight").alias("weights"))
+    left = row(asked.select("*", dealt(target_col, blocks).alias("_b"), every(parts).alias("_s")), 0, target_col)
+    right = row(held.select("*", every(blocks).alias("_b"), dealt(doc_col, parts).alias("_s")), 1, doc_col)
+    rows = left.unionByName(right).repartition("block").sortWithinPartitions("block", "side")
+    found = rows.mapInArrow(_impact_heaps(count), "target string, doc string, lexical double")
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("lexical"), "doc"))
+    return found.withColumn("place", place).where(F.col("place") <= count)
+
+
 def fuse(scored: DataFrame, count: int = DEMONSTRATIONS, order: str = "doc_ord") -> DataFrame:
     """Reciprocal rank fusion of lexical, semantic and structural, and each target's first ``count`` by it.
 

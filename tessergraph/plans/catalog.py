@@ -262,19 +262,31 @@ def initial_top5(spark, d):
     return retrieve.first_pairs((adapters.queries(spark, d), adapters.pair_vectors(spark, d))).select("query_id", "pair_id", "score", "place")
 
 
-@registered(
-    r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_.$]*|\p{Nd}+') AS t FROM documents), q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_.$]*|\p{Nd}+') AS t FROM benchmark),
+_BM25 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_.$]*|\p{Nd}+') AS t FROM documents), q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_.$]*|\p{Nd}+') AS t FROM benchmark),
     tf AS (SELECT doc_id, len(t) AS dl, term, count(*) AS f FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY doc_id, len(t), term), tot AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
     raw AS (SELECT term, ln(any_value(tot.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf, tot GROUP BY term),
-    idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw), qt AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(t) AS term FROM q) GROUP BY 1, 2)
-    SELECT item_id AS target, doc_id AS doc, round(sum(k * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / mean))), 5) AS lexical FROM tf JOIN idf USING (term) JOIN qt USING (term), tot GROUP BY 1, 2"""
-)
+    idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw), qt AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(t) AS term FROM q) GROUP BY 1, 2)"""
+_BM25_SCORE = "sum(k * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / mean)))"
+
+
+@registered(_BM25 + f" SELECT item_id AS target, doc_id AS doc, round({_BM25_SCORE}, 5) AS lexical FROM tf JOIN idf USING (term) JOIN qt USING (term), tot GROUP BY 1, 2")
 def bm25_scores(spark, d):
     docs = adapters.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), text.tokens(F.col("text")).alias("terms"))
     asked = adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("target"), text.tokens(F.col("text")).alias("terms"))
     return similarity.bm25(docs, asked).withColumn("lexical", F.round("lexical", 5))
 
 
+@registered(
+    _BM25
+    + f""" SELECT target, doc, lexical, place FROM (SELECT CAST(item_id AS VARCHAR) AS target, CAST(doc_id AS VARCHAR) AS doc, round({_BM25_SCORE}, 6) AS lexical,
+    row_number() OVER (PARTITION BY item_id ORDER BY round({_BM25_SCORE}, 6) DESC, CAST(doc_id AS VARCHAR)) AS place FROM tf JOIN idf USING (term) JOIN qt USING (term), tot GROUP BY item_id, doc_id) WHERE place <= 10"""
+)
+def bm25_topk(spark, d):
+    docs = adapters.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), text.tokens(F.col("text")).alias("terms"))
+    asked = adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("target"), text.tokens(F.col("text")).alias("terms"))
+    return similarity.top_bm25(docs, asked, 10)
+
+
 @registered(
     with_views("v_scores")
     + """, s AS (SELECT query_id AS target, CAST(right(pair_id, 6) AS BIGINT) AS doc_ord, pair_id AS doc, score AS semantic, CAST((CAST(right(pair_id, 6) AS BIGINT) * 7) % 13 AS DOUBLE) AS lexical, CAST((CAST(right(pair_id, 6) AS BIGINT) * 5) % 11 AS DOUBLE) AS structural FROM v_scores),
