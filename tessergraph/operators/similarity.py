@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,13 +27,12 @@ def hashed_encoder(width: int = 256) -> Callable[[list[str]], np.ndarray]:
     """The offline encoder: a signed hashed bag of words, L2-normalised. Any function of the same shape may replace it."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), width), np.float32)
-        for row, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[row, h % width] += 1 if h >> 31 else -1
+        words = [text.lower().split() for text in texts]
+        codes, names = pd.factorize(np.array([w for own in words for w in own], object))
+        hashes = np.fromiter((zlib.crc32(w.encode()) for w in names), np.int64, len(names))[codes]
+        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        counts = np.bincount(rows * width + hashes % width, np.where(hashes >> 31, 1.0, -1.0), len(texts) * width)
+        out = counts.reshape(len(texts), width).astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
