@@ -226,7 +226,7 @@ def _saved(**parts: DataFrame) -> State:
     for name, df in parts.items():
         own = df.select(F.lit(name).alias("part"), *IDS, F.struct(*[c for c in df.columns if c not in IDS]).alias(name))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-    held = materialize(rows)
+    held = materialize(rows.hint("rebalance"))  # in few files, however many parts have met
     return State(**{name: held.where(F.col("part") == name).select(*IDS, f"{name}.*") for name in parts}, held=held)
 
 
