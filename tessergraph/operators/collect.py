@@ -19,7 +19,7 @@ PAIR_COLUMNS = ["pair_id", "dataset", "ku_source", "raw_api", "canonical_api", "
 REFERENCE_COLUMNS = ["canonical_api", "reference", "reference_origin"]
 
 #: Rows of a block that is numbered by itself.
-BLOCK_BITS = 20
+BLOCK_BITS = 13
 
 
 def number_rows(df: DataFrame, rank: str, order: str = "_ord") -> Column | DataFrame:

@@ -105,6 +105,20 @@ def test_numbering_over_blocks(spark):
     assert got == list(range(1, len(got) + 1))
 
 
+def test_numbering_is_dealt_out(spark):
+    """Neighbouring rows, with their texts, are numbered by several tasks."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = spark.range(400_000).select(F.lit(0).alias("rank"), F.col("id").alias("_ord"))
+        found = collect.number_rows(rows, "rank").withColumn("part", F.spark_partition_id())
+        own = found.groupBy("part").agg(F.count("*").alias("n"), F.sum((F.col("index") == F.col("_ord") + 1).cast("int")).alias("right")).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r.right for r in own) == 400_000 and max(r.n for r in own) < 200_000
+
+
 PAIRS = ["pair_id", "dataset", "ku_source", "canonical_api", "ku", "identified_relevance", "lamic_role", "canonical_owner"]
 
 
