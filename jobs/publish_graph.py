@@ -42,7 +42,7 @@ def read_graph(spark: SparkSession, output: str) -> DataFrame:
 def parts(admitted: DataFrame, references: DataFrame | None, declarations: DataFrame | None) -> DataFrame:
     """All rows of the graphs of admitted pairs, in the table's columns."""
     nodes, edges = build.assemble(admitted, references, declarations, expand=False)
-    classes = build.identity_classes(build.ku_nodes(admitted))
+    classes = build.identity_classes(nodes.where("kind = 'KU'"))  # from the written nodes, whose identities are known
     homes = nodes.select(F.col("node_id").alias("source"), "dataset").distinct()
     rows = {
         "node": nodes.select("dataset", F.struct(*NODE, "_ord").alias("node")),

@@ -150,6 +150,14 @@ def test_graph_without_pairs(spark, tmp_path, small):
     assert publish_graph.run(spark, config).count() == 0
 
 
+def test_identities_are_worked_out_once(spark, tmp_path, small):
+    """Classes are made of the written nodes: no digest of a text is left in the plan of what is published."""
+    config = graph_config(tmp_path, small)
+    pairs = publish_graph.shaped(publish_graph.load(spark, config["pairs"]), config["pairs"])
+    rows = publish_graph.parts(publish_graph.build.own_datasets(publish_graph.build.admit(pairs)), None, None)
+    assert "identity_classes" in publish_graph.parts.__code__.co_names and "sha2" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_command_lines(spark, tmp_path, small):
     """Both command lines in sessions of their own, the config's paths replaced; they log what they read and wrote."""
     runs = {
