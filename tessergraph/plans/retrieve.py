@@ -89,6 +89,16 @@ def frontier(found: DataFrame, units: DataFrame, scores: DataFrame | tuple[DataF
     return best.select(*IDS, F.col("key").alias("api"), F.col("group").alias("role"), "pair_id", "score")
 
 
+def opened(found: DataFrame, index: Index, budget: Budget, known: DataFrame | None = None) -> DataFrame:
+    """frontier() of APIs that queries have found, at what a loop can read; taken from ``known`` for those that it has."""
+    most = SEED + budget.max_actions * budget.read_batch
+    if known is None:
+        return frontier(found, index.units, index.scores, most)
+    by = [*IDS, "api"]
+    have, rest = known.join(found, by, "left_semi"), found.join(known.select(*by).distinct(), by, "left_anti")
+    return have if rest.isEmpty() else have.unionByName(frontier(rest, index.units, index.scores, most))
+
+
 def library(pairs: DataFrame, roles: DataFrame) -> DataFrame:
     """(dataset, pair_id, api, roles): a pair without a role has ``all``."""
     own = roles.groupBy("pair_id").agg(F.collect_set("role").alias("roles"))
@@ -246,29 +256,30 @@ def retrieve(
     budget: Budget = Budget(),
     verify: Callable[[DataFrame, int], DataFrame] = constant_verifier,
     choose: Callable[[DataFrame, int, DataFrame], DataFrame] = heuristic_policy,
+    known: DataFrame | None = None,
 ) -> tuple[DataFrame, State, DataFrame]:
     """(ranked, state, seeds): ranked is (ids, place, pair_id, api, score, assessment) of each query's best pairs; see results().
 
     verify gets the asked pairs and the step; choose the legal actions, the step and evidence(). A step is two or three written
     tables, which go with the next one; the loop ends early when every query has stopped. Every score is worked out once:
-    a pair's when its API is found, or when an expansion reaches it.
+    a pair's when its API is found, or when an expansion reaches it. known: the frontier of a run of the same queries over
+    the same index with the same budget, whose scores are not worked out again.
     """
     apis = index.units.select("dataset", "pair_id", "api")
-    most = SEED + budget.max_actions * budget.read_batch
     seeds = materialize(index.best.join(queries.select(*IDS), IDS, "left_semi").select(*IDS, "pair_id", "score", "place"))
     assessed = _answers(verify, seeds.select(*IDS, "pair_id"), index, queries, 0)
     found, read = seeds.join(apis, ["dataset", "pair_id"]).select(*IDS, "api").distinct(), seeds.select(*IDS, "pair_id", "score")
     state = _saved(
         examined=read,
         discovered=found,
-        frontier=frontier(found, index.units, index.scores, most),
+        frontier=opened(found, index, budget, known),
         assessed=assessed,
         pool=cap_pool(accepted(assessed).join(read, [*IDS, "pair_id"]), budget.candidate_cap).select(*IDS, "pair_id", "place"),
         control=queries.select(*IDS, F.lit(0).alias("expanded"), F.lit(False).alias("stopped")),
         trace=queries.sparkSession.createDataFrame([], f"dataset string, query_id int, {EVENT}").select(*[F.col(c).cast(queries.schema[c].dataType) for c in IDS], *[c.split()[0] for c in EVENT.split(", ")]),
     )
     for step in range(1, budget.max_actions + 1):
-        state = _step(state, index, queries, budget, verify, choose, step)
+        state = _step(state, index, queries, budget, verify, choose, step, known)
         if state.control.where(~F.col("stopped")).isEmpty():
             break
     retained = state.pool
@@ -303,13 +314,13 @@ def _decisions(state: State, index: Index, queries: DataFrame, budget: Budget, c
     return out if idle.isEmpty() else [*out, kept(choose(moves(state, index, idle, budget), step))]
 
 
-def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify: Callable, choose: Callable, step: int) -> State:
+def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify: Callable, choose: Callable, step: int, known: DataFrame | None = None) -> State:
     apis = index.units.select("dataset", "pair_id", "api")
     decisions = _decisions(state, index, queries, budget, choose, step)
     chosen = reduce(DataFrame.unionByName, decisions)
     kind = F.col("type")
     read = chosen.where(kind == "READ_API").select(*IDS, F.explode(F.arrays_zip("pair_ids", "scores")).alias("_read")).select(*IDS, F.col("_read.pair_ids").alias("pair_id"), F.col("_read.scores").alias("score"))
-    returned, discovered, opened = read, state.discovered, state.frontier
+    returned, discovered, open_ = read, state.discovered, state.frontier
     if not chosen.where(kind.isin("EXPAND_API", "EXPAND_KU")).isEmpty():
         reached = chosen.where(kind == "EXPAND_KU").select(*IDS, F.col("target_pair").alias("pair_id"))
         returned = read.unionByName(scorer(index.scores)(reached).select(*IDS, "pair_id", "score"))
@@ -318,7 +329,7 @@ def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify
         decisions.append(found)
         if not found.isEmpty():
             discovered = discovered.unionByName(found)
-            opened = opened.unionByName(frontier(found, index.units, index.scores, SEED + budget.max_actions * budget.read_batch))
+            open_ = open_.unionByName(opened(found, index, budget, known))
     new = _answers(verify, returned.select(*IDS, "pair_id"), index, queries, step)
     assessed = state.assessed.join(new, [*IDS, "pair_id"], "left_anti").unionByName(new)
     examined = state.examined.unionByName(returned)
@@ -344,7 +355,7 @@ def _step(state: State, index: Index, queries: DataFrame, budget: Budget, verify
     out = _saved(
         examined=examined,
         discovered=discovered,
-        frontier=opened,
+        frontier=open_,
         assessed=assessed,
         pool=pool,
         control=control,
