@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,7 +217,9 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             used[n] += each * times
             at += each * n
         base += times
-    places = spark.createDataFrame(rows, "length long, low long, high long, base long, each long, at long")
+    names = ("length", "low", "high", "base", "each", "at")
+    # From Arrow the rows reach the JVM as they are; a list of them would start Python workers of another kind on the executors.
+    places = spark.createDataFrame(pa.table(dict(zip(names, np.array(rows, np.int64).reshape(-1, len(names)).T))))
     salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity * SALTS rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))

@@ -25,11 +25,11 @@ from tessergraph.llm.common import bounded_batches, materialize, plain_id, resto
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 SIDE = PERIOD - 1
-#: Bytes of text hashed at a time.
-CHUNK = 1 << 18
+#: Bytes of text hashed at a time. Workers keep the powers of twice as many places for each hash.
+CHUNK = 1 << 16
 ROW = "h long, c long, k long, t long, p int, done boolean"
-#: Rows that are looked at together before they are dealt.
-MERGED_ROWS = 200_000
+#: Rows that are looked at together before they are dealt; several copies of them are in memory, in the JVM and in Python.
+MERGED_ROWS = 50_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -46,12 +46,15 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2**64."""
-    if base not in _powers or len(_powers[base]) <= n:
-        out = np.full(max(n + 1, 2 * CHUNK), base, np.uint64)
-        out[0] = 1
-        _powers[base] = np.multiply.accumulate(out)
-    return _powers[base][: n + 1]
+    """base ** 0 .. base ** n modulo 2**64. Those of a long text are made for it alone, and not kept."""
+    if n < 2 * CHUNK and base in _powers:
+        return _powers[base][: n + 1]
+    out = np.full(max(n + 1, 2 * CHUNK), base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n < 2 * CHUNK:
+        _powers[base] = out
+    return out[: n + 1]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
